@@ -126,3 +126,29 @@ def shingles(text: str | None, hashes: WordHashes, k: int = 5) -> np.ndarray:
     for i in range(min(k, len(w))):
         h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + w[i : i + n])
     return np.unique(h)
+
+
+NO_NODE = -(2**63)
+
+
+def link_result(rows: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame:
+    """One row per row of rows (id, k): id, n_links, component_id, kept.
+
+    reps: (k, least, times), a distinct item, its smallest id and its number of rows. found: (a, b, w), where b is
+    NO_NODE it says that k = a has w linked rows with other k, else it is an edge. A null k links with nothing.
+    """
+    links = found.filter(F.col("b") == NO_NODE).groupBy(F.col("a").alias("k")).agg(F.sum("w").alias("w"))
+    parts = connected_components(found.filter(F.col("b") != NO_NODE).select("a", "b")).select(F.col("node").alias("k"), "component")
+    info = reps.select("k", "least", "times").join(links, "k", "left").join(parts, "k", "left").withColumn("component", F.coalesce("component", "k"))
+    least = info.groupBy("component").agg(F.min("least").alias("component_id"))
+    info = info.join(least, "component").select("k", (F.coalesce("w", F.lit(0)) + F.col("times") - 1).alias("n_links"), "component_id")
+    out = rows.select("id", "k").join(info, "k", "left")
+    out = out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def sound_vector(name: str):
+    """True for a vector that is not null, not zero, and has finite components only."""
+    x = F.col(name)
+    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    return F.coalesce(x.isNotNull() & finite & F.exists(x, lambda v: v != 0), F.lit(False))

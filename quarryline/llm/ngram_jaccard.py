@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import WordHashes, connected_components, cut, mix64, shingles, star_labels
+from quarryline.llm.common import NO_NODE, WordHashes, connected_components, cut, link_result, mix64, shingles, star_labels
 
 COORDINATES = 128
 
@@ -148,7 +148,7 @@ def _verify(threshold: float, k: int):
         some = np.nonzero(w)[0]
         label = star_labels(len(sets), *np.nonzero(linked))
         far = np.nonzero(label != np.arange(len(sets)))[0]
-        none = np.full(len(some), np.iinfo(np.int64).min)
+        none = np.full(len(some), NO_NODE)
         return [np.stack([key[some], none, w[some]], 1), np.stack([key[far], key[label[far]], np.zeros(len(far), np.int64)], 1)]
 
     return run
@@ -210,12 +210,5 @@ def jaccard_groups(docs: DataFrame, *, threshold: float = 0.8, words: int = 5, r
     tasks = tasks.select(F.xxhash64("g", "i", "j").alias("task"), "k", "times", "block", "i", "j", "text")
     found = cut(tasks.repartition("task").sortWithinPartitions("task").mapInPandas(_verify(threshold, words), "a long, b long, w long"))
 
-    none = -(2**63)
-    links = found.filter(F.col("b") == none).groupBy(F.col("a").alias("k")).agg(F.sum("w").alias("w"))
-    parts = connected_components(found.filter(F.col("b") != none).select("a", "b")).select(F.col("node").alias("k"), "component")
-    info = reps.select("k", "doc", "times").join(links, "k", "left").join(parts, "k", "left").withColumn("component", F.coalesce("component", "k"))
-    least = info.groupBy("component").agg(F.min("doc").alias("component_id"))
-    info = info.join(least, "component").select("k", (F.coalesce("w", F.lit(0)) + F.col("times") - 1).alias("n_links"), "component_id")
-    out = signed.select("doc_id", "k").join(info, "k", "left")
-    out = out.select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)) | F.col("component_id").isNull())
+    rows = signed.select(F.col("doc_id").alias("id"), "k")
+    return link_result(rows, reps.select("k", F.col("doc").alias("least"), "times"), found).withColumnRenamed("id", "doc_id")
