@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import NO_NODE, cut, link_result, sound_vector, star_labels
+from quarryline.llm.common import NO_NODE, cut, link_result, mix64, sound_vector, star_labels
 
 _SLACK = 1e-6
 
@@ -39,7 +39,7 @@ def _assign(pivots, radius: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = {g: (p, np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))) for g, p in pivots.value.items()}
         for pdf in batches:
-            parts = [pdf.head(0).drop(columns="g").assign(cell=[], home=[])]
+            parts = [pdf.head(0).drop(columns="g").assign(cell=np.empty(0, np.int64), home=np.empty(0, bool))]
             for g, rows in pdf.groupby("g", sort=False):
                 if g not in held:
                     parts.append(rows.drop(columns="g").assign(cell=g, home=True))
@@ -51,10 +51,9 @@ def _assign(pivots, radius: float):
                 near = (d - best <= 2 * radius + _SLACK) & (d * d - best * best <= 2 * radius * apart[home] + _SLACK)
                 near[np.arange(len(d)), home] = True
                 at, to = np.nonzero(near)
-                cell = (np.uint64(g & 0xFFFFFFFFFFFFFFFF) * np.uint64(0x9E3779B97F4A7C15) + to.astype(np.uint64) + np.uint64(1)).astype(np.int64)
+                cell = mix64(np.uint64(g & 0xFFFFFFFFFFFFFFFF) ^ mix64(to.astype(np.uint64) + np.uint64(1))).astype(np.int64)
                 parts.append(rows.drop(columns="g").iloc[at].assign(cell=cell, home=to == home[at]))
-            out = pd.concat(parts, ignore_index=True)
-            yield out.astype({"cell": "int64", "home": "bool"})
+            yield pd.concat(parts, ignore_index=True)
 
     return run
 

@@ -86,19 +86,21 @@ def _true_neighbours(queries, k: int):
 
 
 def _route(plan):
-    """Per query and shard, the cells to look into; bound is an upper limit of the k-th distance, from a fixed sample."""
+    """Per query and shard, the cells to look into; bound is an upper limit of the k-th distance found in them, from the
+    entries of a fixed sample that lie there (none if they are too few)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (first, second), counts, shard_from, shard_to, sample, budget, k = plan.value
+        (first, second), counts, shard_from, shard_to, sample, sample_cells, budget, k = plan.value
         h = first.shape[1]
         for pdf in batches:
             out = {"shard": [], "id": [], "vector": [], "bound": [], "cells": []}
             for vec_id, vector in zip(pdf["id"], pdf["vector"], strict=True):
                 x = np.asarray(vector, np.float64)[None]
-                d = np.sort(_squared(x, sample)[0]) if len(sample) > k else np.array([np.inf])
-                bound = float(d[min(k, len(d) - 1)])
+                visited = traverse(_squared(x[:, :h], first)[0], _squared(x[:, h:], second)[0], counts, budget)
+                d = _squared(x, sample[np.isin(sample_cells, visited)])[0]
+                bound = float(np.partition(d, k)[k]) if len(d) > k else np.inf
                 by_shard: dict[int, list[int]] = {}
-                for cell in traverse(_squared(x[:, :h], first)[0], _squared(x[:, h:], second)[0], counts, budget):
+                for cell in visited:
                     for shard in range(shard_from[cell], shard_to[cell] + 1):
                         by_shard.setdefault(shard, []).append(cell)
                 for shard, cells in by_shard.items():
@@ -215,7 +217,9 @@ def nearest_neighbours(
             shard, filled = shard + 1, 0
         shard_from[cell], shard_to[cell] = shard, shard + blocks[cell] - 1
         shard, filled = (shard + blocks[cell], 0) if blocks[cell] > 1 else (shard, filled + rows)
-    plan = spark.sparkContext.broadcast(((first, second), counts, shard_from.tolist(), shard_to.tolist(), sample[:bound_rows], budget, k))
+    known = sample[:bound_rows]
+    known_cells = _squared(known[:, :h], first).argmin(axis=1) * width + _squared(known[:, h:], second).argmin(axis=1)
+    plan = spark.sparkContext.broadcast(((first, second), counts, shard_from.tolist(), shard_to.tolist(), known, known_cells, budget, k))
     table = spark.createDataFrame([(cell, int(shard_from[cell]), int(blocks[cell])) for cell in np.nonzero(counts)[0].tolist()], "cell int, start int, blocks int")
     entry_rows = placed.join(table, "cell").select(
         (F.col("start") + F.pmod(F.col("k1"), F.col("blocks"))).cast("int").alias("shard"), F.lit(False).alias("ask"), F.lit(None).cast("long").alias("id"), "vector", "ids", "cell", F.lit(None).cast("double").alias("bound"), F.lit(None).cast("array<int>").alias("cells")
