@@ -42,11 +42,12 @@ def measures(text: str | None) -> list[float]:
         sum(len(w) >= 15 for w in words) / m,
         sum(x[-1:] in ".!?" for x in map(str.rstrip, lines)) / k,
         (sum(map(len, words)) - sum(map(len, distinct))) / n,
+        sum(map(str.__eq__, words, words[1:])) / m,
     ]
     return out
 
 
-N_MEASURES = len(MARKS) + 15
+N_MEASURES = len(MARKS) + 16
 WIDTH = 1 + N_MEASURES * (1 + len(_STEPS))
 
 

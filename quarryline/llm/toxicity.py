@@ -1,10 +1,11 @@
-"""Toxicity scores by class-conditional Kneser-Ney models over hashed words."""
+"""Toxicity scores by class-conditional Kneser-Ney models over the characters of words."""
 
 from __future__ import annotations
 
 import math
+import zlib
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,167 +13,205 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import WordHashes
+from quarryline.llm.common import cut, mix64
 
-WORDS, PAIRS = 1 << 16, 1 << 18
-#: Of the count tables: rows of the sums (by class, and over all texts) and of the bitmaps (distinct neighbours).
 ORDINARY, TOXIC = 0, 1
-_CHUNK = 4096
-_TABLES = {"pair0": PAIRS, "pair1": PAIRS, "word0": WORDS, "word1": WORDS, "word2": WORDS}
-_MAPS = {"before0": WORDS, "before1": WORDS, "before2": WORDS, "after0": WORDS, "after1": WORDS}
+#: Characters in an n-gram, longest first; each backs off to the next, and the last to the pairs that all texts share.
+ORDERS = (5, 4, 3)
+SHARED = 1 << 16
+_SLOTS = 1 << 19
+_MARKS = "\"'()[]{}<>.,;:!?*#$%&|-_/\\«»„“”‘’…"
+_BEGIN, _END = 1, 2
+
+
+def words_of(text: str | None) -> list[str]:
+    """The whole text's words in lower case, split at white space, without the marks around them."""
+    return [w.strip(_MARKS) or w for w in (text or "").lower().split()]
+
+
+def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of the characters of words, each with a begin and an end mark, laid out flat: the word's number, the place in the
+    word, and by n the hash of the n characters that end there (n from 0; those before the word's begin don't exist)."""
+    n = np.array([len(w) + 2 for w in words], np.int64)
+    ends = np.cumsum(n)
+    code = np.empty(int(ends[-1]) if len(words) else 0, np.uint64)
+    inner = np.ones(len(code), bool)
+    inner[ends - 1] = inner[ends - n] = False
+    code[ends - n], code[ends - 1] = _BEGIN, _END
+    code[inner] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    word = np.repeat(np.arange(len(words)), n)
+    place = np.arange(len(code)) - np.repeat(ends - n, n)
+    hashes = [np.zeros(len(code), np.uint64)]
+    for _ in range(max(ORDERS) + 1):
+        before = np.r_[np.uint64(0), hashes[-1][:-1]] if len(code) else hashes[-1]
+        hashes.append(mix64(before * np.uint64(0x9E3779B97F4A7C15) + code + np.uint64(1)))
+    return word, place, hashes
+
+
+def shared_slots(place: np.ndarray, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the pair of characters that ends at each place but a word's first, and of its first character."""
+    at = place > 0
+    pair = (hashes[2][at] & np.uint64(SHARED - 1)).astype(np.int64)
+    first = (np.r_[np.uint64(0), hashes[1][:-1]][at] & np.uint64(SHARED - 1)).astype(np.int64) if len(place) else pair
+    return pair, first
+
+
+class Table:
+    """Values by 64-bit key in a fixed number of slots with 16-bit tags; where keys meet, the larger first value stays."""
+
+    def __init__(self, tags: np.ndarray, values: np.ndarray):
+        self.tags, self.values = tags, values
 
-
-@dataclass
-class Counts:
-    """Bounded tables, whatever the number of texts: counts of hashed words and pairs, and 64-bit maps of neighbours."""
-
-    sums: dict[str, np.ndarray]
-    maps: dict[str, np.ndarray]
+    @staticmethod
+    def _place(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (keys & np.uint64(_SLOTS - 1)).astype(np.int64), (keys >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
 
     @classmethod
-    def empty(cls) -> Counts:
-        return cls({k: np.zeros(n, np.int64) for k, n in _TABLES.items()}, {k: np.zeros(n, np.uint64) for k, n in _MAPS.items()})
-
-
-def tokens(text: str | None, hashes: WordHashes) -> np.ndarray:
-    """Hashed words of the whole text (lower case, split at white space, without the marks around them), after a start mark."""
-    words = (text or "").lower().split()
-    return np.r_[np.uint64(0), hashes(words)] if words else np.empty(0, np.uint64)
-
-
-class BareWords(WordHashes):
-    """Hashes of words without the marks around them; what has none but marks hashes as it is."""
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        from xxhash import xxh64_intdigest
-
-        if len(self.seen) > self.most:
-            self.seen.clear()
-        seen = self.seen
-        for w in set(words):
-            if w not in seen:
-                seen[w] = xxh64_intdigest((w.strip("\"'()[]{}<>.,;:!?*#$%&|-_/\\«»„“”‘’…") or w).encode("utf-8", "surrogatepass"))
-        return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-
-
-def _slots(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word and predecessor slots of the tokens after the start mark, and their pair slots."""
-    word = (t & np.uint64(WORDS - 1)).astype(np.int64)
-    h, w = word[:-1], word[1:]
-    pair = ((h * 0x9E3779B1 + w * 0x85EBCA77) >> 5) & (PAIRS - 1)
-    return h, w, pair
+    def build(cls, keys: np.ndarray, values: np.ndarray) -> Table:
+        order = np.argsort(values.sum(axis=1), kind="stable")
+        slot, tag = cls._place(keys[order])
+        tags, held = np.zeros(_SLOTS, np.uint16), np.zeros((_SLOTS, values.shape[1]), np.float32)
+        tags[slot], held[slot] = tag, values[order]
+        return cls(tags, held)
 
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        slot, tag = self._place(keys)
+        return np.where((self.tags[slot] == tag)[:, None], self.values[slot], np.float32(0))
 
-def _bit(t: np.ndarray) -> np.ndarray:
-    return np.uint64(1) << (t >> np.uint64(58))
 
+class Model:
+    """Interpolated Kneser-Ney over the characters of words, one for each class.
 
-def add_text(counts: Counts, t: np.ndarray, label: int | None) -> None:
-    """Count a text's tokens: its pairs and words in its class, if it has one, and its words for the shared backoff."""
-    if len(t) < 2:
-        return
-    h, w, pair = _slots(t)
-    before, after = _bit(t[:-1]), _bit(t[1:])
-    np.add.at(counts.sums["word2"], w, 1)
-    np.bitwise_or.at(counts.maps["before2"], w, before)
-    if label is not None:
-        np.add.at(counts.sums[f"pair{label}"], pair, 1)
-        np.add.at(counts.sums[f"word{label}"], w, 1)
-        np.bitwise_or.at(counts.maps[f"before{label}"], w, before)
-        np.bitwise_or.at(counts.maps[f"after{label}"], h, after)
-
-
-def _distinct(maps: np.ndarray) -> np.ndarray:
-    """Distinct neighbours that a 64-bit map stands for, by linear counting."""
-    zero = 64 - np.bitwise_count(maps).astype(np.float64)
-    return -64 * np.log(np.maximum(zero, 0.5) / 64)
-
+    At the highest order, and for n-grams at a word's begin, counts are numbers of documents; at lower orders they are
+    numbers of different characters before. Each order backs off to the next, and the last to the counts of pairs in
+    all texts, the same for both classes: what a class has seen too rarely to outlive the discount counts the same.
+    """
 
-class Model:
-    """Interpolated Kneser-Ney of each class: pairs back off to the class's continuation counts, and those to the
-    continuation counts that all texts share, so that rare expressions count the same for both classes."""
-
-    discount = 0.75
-
-    def __init__(self, counts: Counts):
-        shared = _distinct(counts.maps["before2"])
-        shared = (shared + 0.5) / (shared.sum() + 0.5 * WORDS)
-        self.word, self.kept, self.weight, self.total = [], [], [], []
-        for c in (ORDINARY, TOXIC):
-            n1 = _distinct(counts.maps[f"before{c}"])
-            total = max(n1.sum(), 1.0)
-            kinds = (n1 > 0).sum()
-            lower = np.maximum(n1 - self.discount, 0) / total + max(self.discount * kinds / total, 1e-6) * shared
-            self.word.append(lower / lower.sum())
-            self.kept.append(np.maximum(counts.sums[f"pair{c}"] - self.discount, 0))
-            self.total.append(np.maximum(self._context_totals(counts, c), 1))
-            seen = np.minimum(_distinct(counts.maps[f"after{c}"]), self.total[c])
-            self.weight.append(np.where(seen > 0, self.discount * seen / self.total[c], 1.0))
+    def __init__(self, parts: tuple, most_words: int = 400_000):
+        shared, tables = parts
+        self.pair, self.first = shared
+        self.tables = [(n, Table(*gram), Table(*context)) for n, gram, context in tables]
+        self.seen: dict[str, float] = {}
+        self.most_words = most_words
 
     @staticmethod
-    def _context_totals(counts: Counts, c: int) -> np.ndarray:
-        # A word's count as a predecessor is its own count, but for the ends of texts; the start mark's is larger.
-        return counts.sums[f"word{c}"].astype(np.float64)
-
-    def gain(self, t: np.ndarray) -> np.ndarray:
-        """Per token, the log-likelihood under the toxic model less that under the ordinary one."""
-        if len(t) < 2:
-            return np.zeros(0)
-        h, w, pair = _slots(t)
-        p = [self.kept[c][pair] / self.total[c][h] + self.weight[c][h] * self.word[c][w] for c in (ORDINARY, TOXIC)]
-        return np.log(p[TOXIC]) - np.log(p[ORDINARY])
-
-    def features(self, t: np.ndarray, window: int = 24) -> tuple[float, float]:
-        """The length-normalised gain of the whole text, and that of its most toxic window."""
-        g = self.gain(t)
+    def learn(shared: np.ndarray, words: list[str], counts: np.ndarray, discount: float = 3.0) -> tuple:
+        """Parts of a model, of a fixed size, from the shared pair counts and (words, 2) numbers of documents by class."""
+        word, place, hashes = grams_of(words)
+        tables = []
+        for n in ORDERS:
+            # A gram shorter than n that starts its word is a gram at its own order only where that is its length.
+            at = place >= n - 1
+            key, begins, weight = hashes[n][at], place[at] == n - 1, counts[word[at]]
+            context = np.r_[np.uint64(0), hashes[n - 1][:-1]][at]
+            unique, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+            total = np.stack([np.bincount(inverse, weights=weight[:, c], minlength=len(unique)) for c in (0, 1)], 1)
+            if n < max(ORDERS):
+                longer = hashes[n + 1][at]
+                for c in (0, 1):
+                    used = ~begins & (weight[:, c] > 0)
+                    _, one = np.unique(longer[used], return_index=True)
+                    kinds = np.bincount(inverse[used][one], minlength=len(unique))
+                    total[:, c] = np.where(begins[first], total[:, c], kinds)
+            kept = np.maximum(total - discount, 0)
+            contexts, of = np.unique(context[first], return_inverse=True)
+            sums = np.stack([np.bincount(of, weights=total[:, c], minlength=len(contexts)) for c in (0, 1)], 1)
+            rest = sums - np.stack([np.bincount(of, weights=kept[:, c], minlength=len(contexts)) for c in (0, 1)], 1)
+            share = kept / np.maximum(sums[of], 1e-9)
+            some, used = (kept > 0).any(axis=1), (rest < sums).any(axis=1)
+            # Of contexts the taken share is stored, so that an absent one passes everything on.
+            taken = 1 - rest / np.maximum(sums, 1e-9)
+            gram_table, context_table = Table.build(unique[some], share[some]), Table.build(contexts[used], np.where(sums[used] > 0, taken[used], 0))
+            tables.append((n, (gram_table.tags, gram_table.values), (context_table.tags, context_table.values)))
+        pair = (shared[0] + 0.1).astype(np.float64)
+        return (pair, shared[1] + 0.1 * 200.0), tables
+
+    def _gains(self, words: list[str]) -> np.ndarray:
+        word, place, hashes = grams_of(words)
+        at = place > 0
+        slots = shared_slots(place, hashes)
+        base = self.pair[slots[0]] / self.first[slots[1]]
+        p = np.stack([base, base], 1)
+        for n, grams, contexts in reversed(self.tables):
+            ok = place[at] >= n - 1
+            own = grams(hashes[n][at][ok])
+            left = 1 - contexts(np.r_[np.uint64(0), hashes[n - 1][:-1]][at][ok])
+            p[ok] = own + np.maximum(left, 1e-4) * p[ok]
+        return np.bincount(word[at], weights=np.log(p[:, TOXIC]) - np.log(p[:, ORDINARY]), minlength=len(words))
+
+    def gain(self, words: list[str]) -> np.ndarray:
+        """Per word, the log-likelihood under the toxic model less that under the ordinary one."""
+        seen = self.seen
+        if len(seen) > self.most_words:
+            seen.clear()
+        new = list({w for w in words if w not in seen})
+        for i in range(0, len(new), 20_000):
+            seen.update(zip(new[i : i + 20_000], self._gains(new[i : i + 20_000]).tolist(), strict=True))
+        return np.fromiter(map(seen.__getitem__, words), np.float64, len(words))
+
+    def features(self, text: str | None, window: int = 16) -> tuple[float, ...]:
+        """Gains of a text: length-normalised, of its most toxic window, of its three highest words, of all words over a
+        level by the root of the length, and the length itself."""
+        g = np.clip(self.gain(words_of(text)), -8, 8)
         if not len(g):
-            return 0.0, 0.0
+            return (0.0,) * N_FEATURES
         sums = np.cumsum(np.r_[0, g])
         n = min(window, len(g))
-        return float(g.mean()), float((sums[n:] - sums[:-n]).max() / n)
+        top = np.partition(g, len(g) - min(3, len(g)))[-3:].sum()
+        return float(g.mean()), float((sums[n:] - sums[:-n]).max() / window), float(top), float(np.maximum(g - 2.5, 0).sum() / math.sqrt(len(g))), math.log1p(len(g))
 
 
-def _count(labels):
-    """Per partition: the count tables of its texts, in compressed chunks."""
+N_FEATURES = 5
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
 
-        counts, hashes, of = Counts.empty(), BareWords(), labels.value
+def _count(learners):
+    """Per partition: counts of character pairs of all its texts, and the words of those that learners names, once a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, shared = learners.value, np.zeros((2, SHARED), np.int64)
         for batch in batches:
+            counts: Counter = Counter()
+            known: dict[str, list[int]] = {}
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                add_text(counts, tokens(text.as_py(), hashes), of.get(doc))
-        names, chunks, data = [], [], []
-        for name, x in {**counts.sums, **counts.maps}.items():
-            for i in range(0, len(x), _CHUNK):
-                if x[i : i + _CHUNK].any():
-                    names.append(name), chunks.append(i // _CHUNK), data.append(zlib.compress(x[i : i + _CHUNK].tobytes(), 1))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(chunks, pa.int32()), pa.array(data, pa.binary())], ["name", "chunk", "data"])
+                words = words_of(text.as_py())
+                counts.update(words)
+                if (label := of.get(doc)) is not None:
+                    for w in set(words):
+                        known.setdefault(w, [0, 0])[label] += 1
+            words = list(counts)
+            for i in range(0, len(words), 50_000):
+                some = words[i : i + 50_000]
+                word, place, hashes = grams_of(some)
+                times = np.array([counts[w] for w in some], np.float64)[word[place > 0]]
+                for table, slots in zip(shared, shared_slots(place, hashes), strict=True):
+                    table += np.bincount(slots, weights=times, minlength=SHARED).astype(np.int64)
+            rows = list(known)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array([known[w][0] for w in rows], pa.int64()), pa.array([known[w][1] for w in rows], pa.int64()), pa.array([None] * len(rows), pa.binary())], _NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([zlib.compress(shared.tobytes(), 1)], pa.binary())], _NAMES)
 
     return run
 
 
-def _add_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sum (or unite) the chunks of one table place; a partition holds a bounded number of places."""
-    import zlib
+_NAMES = ["word", "n0", "n1", "shared"]
+_SCHEMA = "word string, n0 long, n1 long, shared binary"
+
 
-    total: dict = {}
+def _add_shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total = np.zeros(2 * SHARED, np.int64)
     for pdf in batches:
-        for name, chunk, data in zip(pdf["name"], pdf["chunk"], pdf["data"], strict=True):
-            x = np.frombuffer(zlib.decompress(data), np.uint64 if name in _MAPS else np.int64)
-            old = total.get((name, chunk))
-            total[name, chunk] = x if old is None else old | x if name in _MAPS else old + x
-    yield pd.DataFrame({"name": [k[0] for k in total], "chunk": [k[1] for k in total], "data": [zlib.compress(x.tobytes(), 1) for x in total.values()]}).astype({"chunk": "int32"})
+        for data in pdf["shared"]:
+            total += np.frombuffer(zlib.decompress(data), np.int64)
+    yield pd.DataFrame({"shared": [zlib.compress(total.tobytes(), 1)]})
 
 
-def _score(model, scale):
+def _score(parts, scale):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, (a, b, c), hashes = model.value, scale, BareWords()
+        m, (coefficients, constant) = Model(parts.value), scale
         for batch in batches:
             out = []
             for text in batch.column("text"):
-                mean, most = m.features(tokens(text.as_py(), hashes))
-                out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, a * mean + b * most + c)))))
+                z = constant + sum(a * x for a, x in zip(coefficients, m.features(text.as_py()), strict=True))
+                out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
 
     return run
@@ -200,56 +239,53 @@ def held_out(doc_id, parts: int, part: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most_per_class: int = 10_000, calibration_share: float = 0.25, window: int = 24):
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most_per_class: int = 2_000, calibration_share: float = 0.25):
     """(model, scale) learnt from the texts of docs and the labelled rows of labels (doc_id, toxic).
 
     The shared backoff counts cover every text of docs. The class counts come from a bounded sample of the labelled rows,
-    at most most_per_class of each class by hash, as only they can be broadcast; calibration_share of them are left out
-    of the counts and set the scale (a logistic curve over the mean gain and the most toxic window's), weighted to the
-    labels' own proportions. The count tables have a fixed size; partitions are summed through a shuffle of their chunks.
+    by hash, as many of either class and at most most_per_class of each, as only their ids can be broadcast;
+    calibration_share of them, and as many as most_per_class more ordinary ones, are left out of the counts and set the
+    scale (a logistic curve over the text's gains), weighted to the labels' own proportions.
     """
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
     known = known.withColumn("draw", F.xxhash64("doc_id", F.lit("toxicity")))
-    share = dict(known.groupBy("y").count().collect())
-    drawn: dict[int, int] = {}
-    for y in (0, 1):
-        drawn |= {r["doc_id"]: y for r in known.filter(F.col("y") == y).orderBy("draw", "doc_id").select("doc_id").limit(most_per_class).collect()}
-    order = sorted(drawn, key=lambda i: (i * 2654435761) % 2**32)
-    judges = {i: drawn[i] for y in (0, 1) for i in [i for i in order if drawn[i] == y][: int(calibration_share * sum(v == y for v in drawn.values()))]}
-    learners = spark.sparkContext.broadcast({i: y for i, y in drawn.items() if i not in judges})
+    share = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    even = min(most_per_class, share.get(0, 0), share.get(1, 0))
+    judges, learn = {}, {}
+    for y, more in ((0, most_per_class), (1, 0)):
+        ids = [r["doc_id"] for r in known.filter(F.col("y") == y).orderBy("draw", "doc_id").select("doc_id").limit(even + more).collect()]
+        cut_at = even - int(calibration_share * even)
+        learn |= dict.fromkeys(ids[:cut_at], y)
+        judges |= dict.fromkeys(ids[cut_at:], y)
+    learners = spark.sparkContext.broadcast(learn)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = texts.mapInArrow(_count(learners), "name string, chunk int, data binary")
-    spread = chunks.withColumn("part", F.pmod(F.hash("data"), F.lit(16)))
-    summed = spread.repartition("name", "chunk", "part").mapInPandas(_add_chunks, "name string, chunk int, data binary")
-    summed = summed.repartition("name", "chunk").mapInPandas(_add_chunks, "name string, chunk int, data binary")
-    import zlib
-
-    counts = Counts.empty()
-    for row in summed.collect():
-        name, at = row["name"], slice(row["chunk"] * _CHUNK, (row["chunk"] + 1) * _CHUNK)
-        (counts.maps if name in _MAPS else counts.sums)[name][at] = np.frombuffer(zlib.decompress(bytes(row["data"])), np.uint64 if name in _MAPS else np.int64)
-    model = Model(counts)
+    counted = cut(texts.mapInArrow(_count(learners), _SCHEMA))
+    shared = counted.filter("shared is not null").select("shared", F.pmod(F.hash("shared"), F.lit(64)).alias("part")).repartition("part").select("shared").mapInPandas(_add_shared, "shared binary")
+    pairs = np.zeros((2, SHARED), np.int64)
+    for row in shared.toLocalIterator():
+        pairs += np.frombuffer(zlib.decompress(bytes(row["shared"])), np.int64).reshape(2, SHARED)
+    words = counted.filter("word is not null").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
+    parts = spark.sparkContext.broadcast(Model.learn(pairs, words["word"].to_list(), words[["n0", "n1"]].to_numpy(np.float64)))
     judged_by = spark.sparkContext.broadcast(judges)
-    shared = spark.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, of, hashes, rows = shared.value, judged_by.value, BareWords(), []
+        m, of, rows = Model(parts.value), judged_by.value, []
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 if doc in of:
-                    rows.append((*m.features(tokens(text.as_py(), hashes), window), of[doc]))
-        mean, most, y = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(mean, pa.float64()), pa.array(most, pa.float64()), pa.array(y, pa.int32())], ["mean", "most", "y"])
+                    rows.append((*m.features(text.as_py()), of[doc]))
+        x, y = [r[:-1] for r in rows], [r[-1] for r in rows]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], ["x", "y"])
 
-    seen = texts.mapInArrow(judge, "mean double, most double, y int").toPandas()
+    seen = texts.mapInArrow(judge, "x array<double>, y int").toPandas()
     if seen["y"].nunique() < 2:
-        return shared, (20.0, 0.0, -2.0)
+        return parts, ((2.0, 2.0, 0.2, 1.0, 0.0), -6.0)
     y = seen["y"].to_numpy()
     weight = np.where(y == 1, share.get(1, 1) / max(1, (y == 1).sum()), share.get(0, 1) / max(1, (y == 0).sum()))
-    coefficients, constant = logistic(seen[["mean", "most"]].to_numpy(), y, weight)
-    return shared, (float(coefficients[0]), float(coefficients[1]), constant)
+    coefficients, constant = logistic(np.array(seen["x"].to_list()), y, weight)
+    return parts, (tuple(map(float, coefficients)), constant)
 
 
 def score_toxicity(docs: DataFrame, fitted) -> DataFrame:
