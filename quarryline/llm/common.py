@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -147,6 +150,23 @@ def link_result(rows: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
+def with_scores(docs: DataFrame, name: str, scorer: Callable) -> DataFrame:
+    """docs with a further column of scores; rows pass through whole, so that texts are neither shuffled nor read twice.
+
+    scorer() is called once in each task and gives a function from a list of texts to a list of scores.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = scorer()
+        for batch in batches:
+            texts, out = batch.column("text"), []
+            for i in range(0, batch.num_rows, 1000):
+                out += score(texts.slice(i, 1000).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField(name, DoubleType())]))
+
+
 def sound_vector(name: str):
     """True for a vector that is not null, not zero, and has finite components only."""
     x = F.col(name)

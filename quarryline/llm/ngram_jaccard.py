@@ -212,3 +212,14 @@ def jaccard_groups(docs: DataFrame, *, threshold: float = 0.8, words: int = 5, r
 
     rows = signed.select(F.col("doc_id").alias("id"), "k")
     return link_result(rows, reps.select("k", F.col("doc").alias("least"), "times"), found).withColumnRenamed("id", "doc_id")
+
+
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs of which one of each group is left, the one of the smallest doc_id; repeated rows go as well.
+
+    Rows with a null doc_id stay, as nothing names them.
+    """
+    gone = jaccard_groups(docs, **options).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    left = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id", "text"])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.llm.common import with_scores
 from quarryline.llm.toxicity import held_out, logistic
 
 #: Characters whose share of the text is a feature.
@@ -112,15 +113,14 @@ def non_negative_fit(unlabelled: np.ndarray, positive: np.ndarray, prior: float,
     return shift.T @ w
 
 
-def _score(weights, scale):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, (a, b) = weights, scale
-        for batch in batches:
-            out = [features(batch.column("text").slice(i, 1000).to_pylist()) @ w for i in range(0, batch.num_rows, 1000)]
-            g = np.concatenate(out) if out else np.empty(0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(a * g + b, -500, 500))), pa.float64())], ["doc_id", "score"])
+def scorer(fitted) -> Callable:
+    """What with_scores calls in each task."""
+    weights, (a, b) = fitted
 
-    return run
+    def start():
+        return lambda texts: (1 / (1 + np.exp(-np.clip(a * (features(texts) @ weights) + b, -500, 500)))).tolist()
+
+    return start
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, most_positives: int = 20_000, most_judges: int = 5_000):
@@ -174,7 +174,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, most_positives: int = 20_
 def score_quality(docs: DataFrame, fitted) -> DataFrame:
     """Per row of docs: doc_id, score between 0 and 1."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_score(*fitted), "doc_id long, score double")
+    return with_scores(texts, "score", scorer(fitted)).select("doc_id", "score")
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, *, parts: int = 3, part: int = 1, **options) -> DataFrame:
@@ -188,3 +188,12 @@ def classify_quality(docs: DataFrame, labels: DataFrame, *, parts: int = 3, part
     learnt = labels.filter(~held_out(F.col("doc_id"), parts, part))
     scored = score_quality(docs, fit_quality(docs, learnt, **options))
     return scored.select("doc_id", held_out(F.col("doc_id"), parts, part).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_low_quality(docs: DataFrame, labels: DataFrame, *, parts: int = 3, part: int = 1, **options) -> DataFrame:
+    """The rows of docs that are scored as good, whole. A score column of docs' own, if it has one, is left alone."""
+    fitted = fit_quality(docs, labels.filter(~held_out(F.col("doc_id"), parts, part)), **options)
+    name = "_quality"
+    while name in docs.columns:
+        name = f"_{name}"
+    return with_scores(docs, name, scorer(fitted)).filter(F.col(name) >= 0.5).drop(name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import cut, mix64
+from quarryline.llm.common import cut, mix64, with_scores
 
 ORDINARY, TOXIC = 0, 1
 #: Characters in an n-gram, longest first; each backs off to the next, and the last to the pairs that all texts share.
@@ -204,17 +204,20 @@ def _add_shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"shared": [zlib.compress(total.tobytes(), 1)]})
 
 
-def _score(parts, scale):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, (coefficients, constant) = Model(parts.value), scale
-        for batch in batches:
-            out = []
-            for text in batch.column("text"):
-                z = constant + sum(a * x for a, x in zip(coefficients, m.features(text.as_py()), strict=True))
-                out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
+def scorer(fitted) -> Callable:
+    """What with_scores calls in each task."""
+    parts, (coefficients, constant) = fitted
 
-    return run
+    def start():
+        m = Model(parts.value)
+
+        def score(texts: list[str | None]) -> list[float]:
+            z = [constant + sum(a * x for a, x in zip(coefficients, m.features(t), strict=True)) for t in texts]
+            return [1 / (1 + math.exp(-max(-500.0, min(500.0, v)))) for v in z]
+
+        return score
+
+    return start
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> tuple[np.ndarray, float]:
@@ -291,7 +294,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most_per_class: int = 2_
 def score_toxicity(docs: DataFrame, fitted) -> DataFrame:
     """Per row of docs: doc_id, score between 0 and 1. A null or empty text scores as one without any evidence."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_score(*fitted), "doc_id long, score double")
+    return with_scores(texts, "score", scorer(fitted)).select("doc_id", "score")
 
 
 def classify_toxicity(docs: DataFrame, labels: DataFrame, *, parts: int = 5, part: int = 0, **options) -> DataFrame:
@@ -304,3 +307,12 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, *, parts: int = 5, par
     learnt = labels.filter(~held_out(F.col("doc_id"), parts, part))
     scored = score_toxicity(docs, fit_toxicity(docs, learnt, **options))
     return scored.select("doc_id", held_out(F.col("doc_id"), parts, part).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, parts: int = 5, part: int = 0, **options) -> DataFrame:
+    """The rows of docs that aren't scored toxic, whole. A score column of docs' own, if it has one, is left alone."""
+    fitted = fit_toxicity(docs, labels.filter(~held_out(F.col("doc_id"), parts, part)), **options)
+    name = "_toxicity"
+    while name in docs.columns:
+        name = f"_{name}"
+    return with_scores(docs, name, scorer(fitted)).filter(F.col(name) < 0.5).drop(name)
