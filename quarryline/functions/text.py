@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quarryline.functions.quantities import clean
 
@@ -44,7 +45,7 @@ def combined_text(df: DataFrame, columns: list[str]) -> Column:
     return F.trim(F.concat(*(x for c in columns for x in (F.lit(f" __FIELD_{c.upper()}__ "), F.coalesce(F.col(c).cast("string"), F.lit(""))))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compatibility_form(text: pd.Series) -> pd.Series:
     """NFKC, for which Spark has no function."""
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")

@@ -158,7 +158,7 @@ def target_leaks(df: DataFrame, target: str, features: list[str]) -> DataFrame:
         both = F.col(c).isNotNull() & F.col(target).isNotNull()
         x, y = F.when(both, F.col(c).cast("double")), F.when(both, F.col(target).cast("double"))
         varied = (F.count(x) >= 20) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-        per.append(F.struct(F.lit(c).alias("feature"), F.count(x).alias("n"), F.coalesce(F.bool_and(x == y), F.lit(False)).alias("is_clone"), F.when(varied, F.corr(x, y)).alias("correlation")))
+        per.append(F.struct(F.lit(c).alias("feature"), F.count(x).alias("n"), F.coalesce(F.bool_and(x == y), F.lit(False)).alias("is_clone"), F.when(varied, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))).alias("correlation")))
     return df.agg(F.array(*per).alias("all")).select(F.explode("all").alias("p")).select("p.*")
 
 

@@ -22,7 +22,7 @@ RETRIED = (408, 425, 429, 500, 502, 503, 504)
 
 def normal_url(url: Column) -> Column:
     """http(s) without credentials, host in lower case, no default port or fragment, at least the path /; else null."""
-    pattern = r"^(?i)(https?)://([^/?#@\s]+)([^?#\s]*)(\?[^#\s]*)?(?:#\S*)?$"
+    pattern = r"^(?i)(https?)://([^/?#@\s]+)(/[^?#\s]*)?(\?[^#\s]*)?(?:#\S*)?$"
     part = lambda i: F.regexp_extract(F.trim(url), pattern, i)
     scheme = F.lower(part(1))
     host = F.lower(part(2))

@@ -50,10 +50,13 @@ def regression_strata(df: DataFrame, target: str, *, n_splits: int = 5, bins: in
     tries = list(range(bins, 1, -1))
     edges = df.agg(*(F.percentile(target, F.array(*(F.lit(i / b) for i in range(b + 1)))).alias(str(b)) for b in tries)).first()
     cuts = {b: sorted(set(edges[str(b)] or [])) for b in tries}
+    tries = [b for b in tries if len(cuts[b]) >= 3]
+    if not tries:
+        raise InfeasibleStrata("the target has too few values for bins")
     bin_of = lambda b: sum(((F.col(target) > e).cast("int") for e in cuts[b][1:-1]), F.lit(0))
-    sizes = df.agg(*(F.count_if(bin_of(b) == i).alias(f"{b}_{i}") for b in tries for i in range(max(len(cuts[b]) - 1, 0)))).first()
+    sizes = df.agg(*(F.count_if(bin_of(b) == i).alias(f"{b}_{i}") for b in tries for i in range(len(cuts[b]) - 1))).first()
     for b in tries:
-        n = [sizes[f"{b}_{i}"] for i in range(max(len(cuts[b]) - 1, 0))]
+        n = [sizes[f"{b}_{i}"] for i in range(len(cuts[b]) - 1)]
         if len(n) >= 2 and min(n) >= n_splits:
             return bin_of(b), len(n)
     raise InfeasibleStrata("the target has too few rows per bin")

@@ -45,7 +45,14 @@ def predicted(spark: SparkSession, d: str) -> DataFrame:
 
 _P = "SELECT o_orderkey, o_custkey, o_orderpriority, o_orderdate, o_orderstatus, o_totalprice AS y, o_totalprice * (1 + ((o_orderkey % 21) - 10) / 50.0::DOUBLE) AS p, (o_orderkey % 5)::INT AS fold FROM orders"
 _S = "CASE WHEN abs(y) + abs(p) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * abs(p - y) / (abs(y) + abs(p)) END"
-Y, P = F.col("y"), F.col("p")
+
+
+def Y():  # noqa: N802
+    return F.col("y")
+
+
+def P():  # noqa: N802
+    return F.col("p")
 
 
 def catalog(spark: SparkSession, d: str) -> DataFrame:
@@ -75,17 +82,17 @@ _C = """SELECT p_partkey AS PRODUCT_ID, CASE WHEN p_partkey % 6 = 0 THEN p_name
 
 def _metric(name: str, column, sql: str) -> None:
     def run(spark, d):
-        return rounded(predicted(spark, d).agg(column.alias("value")))
+        return rounded(predicted(spark, d).agg(column(Y(), P()).alias("value")))
 
     run.__name__ = f"metric_{name}"
     query(f"WITH t AS ({_P}) SELECT round({sql}, 6) AS value FROM t")(run)
 
 
-_metric("smape", metrics.smape(Y, P), f"avg({_S})")
-_metric("mape_epsilon", metrics.mape(Y, P), "avg(abs(y - p) / greatest(abs(y), 1e-8::DOUBLE))")
-_metric("mape_ignore", metrics.mape(F.when(F.col("o_orderkey") % 9 == 0, 0.0).otherwise(Y), P, "ignore"), "avg(abs(y - p) / abs(y)) FILTER (o_orderkey % 9 <> 0)")
-_metric("mae", metrics.mae(Y, P), "avg(abs(y - p))")
-_metric("rmse", metrics.rmse(Y, P), "sqrt(avg((y - p) * (y - p)))")
+_metric("smape", metrics.smape, f"avg({_S})")
+_metric("mape_epsilon", metrics.mape, "avg(abs(y - p) / greatest(abs(y), 1e-8::DOUBLE))")
+_metric("mape_ignore", lambda y, p: metrics.mape(F.when(F.col("o_orderkey") % 9 == 0, 0.0).otherwise(y), p, "ignore"), "avg(abs(y - p) / abs(y)) FILTER (o_orderkey % 9 <> 0)")
+_metric("mae", metrics.mae, "avg(abs(y - p))")
+_metric("rmse", metrics.rmse, "sqrt(avg((y - p) * (y - p)))")
 
 
 @query(f"WITH t AS ({_P}) SELECT round(avg((o_orderstatus = CASE WHEN o_orderkey % 4 = 0 THEN 'F' ELSE o_orderstatus END)::INT), 6) AS accuracy FROM t")
@@ -113,7 +120,7 @@ _OBJECTIVES = {
 def _objective(kind: str, grad: str, hess: str) -> None:
     def run(spark, d):
         t = predicted(spark, d).select("o_orderkey", F.log1p("y").alias("y"), F.log1p("p").alias("p"))
-        g, h = metrics.surrogate(kind, Y, P)
+        g, h = metrics.surrogate(kind, Y(), P())
         return rounded(t.select("o_orderkey", g.alias("grad"), h.alias("hess")))
 
     run.__name__ = f"obj_{kind}"
@@ -127,7 +134,7 @@ for _k, _v in _OBJECTIVES.items():
 
 @query(f"WITH t AS ({_P}) SELECT o_orderkey, round(2 * (sign(p - y) * (abs(y) + abs(p)) - abs(p - y) * sign(p)) / ((abs(y) + abs(p)) * (abs(y) + abs(p))) * 1000000.0::DOUBLE, 6) AS slope FROM t")
 def smape_gradient(spark, d):
-    return rounded(predicted(spark, d).select("o_orderkey", (metrics.smape_gradient(Y, P) * 1e6).alias("slope")))
+    return rounded(predicted(spark, d).select("o_orderkey", (metrics.smape_gradient(Y(), P()) * 1e6).alias("slope")))
 
 
 # Residuals
@@ -351,7 +358,7 @@ def impute_median(spark, d):
 @query(f"WITH t AS ({_P}) SELECT o_orderkey, round(y, 6) AS y, round(p * 1.01::DOUBLE, 6) AS b FROM t")
 def align_strict(spark, d):
     t = predicted(spark, d)
-    return rounded(align.align_exact(t.select("o_orderkey", "y"), t.select("o_orderkey", (P * 1.01).alias("b")), "o_orderkey"))
+    return rounded(align.align_exact(t.select("o_orderkey", "y"), t.select("o_orderkey", (P() * 1.01).alias("b")), "o_orderkey"))
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'test' WHEN 1 THEN '-1' WHEN 2 THEN 'held-out' WHEN 3 THEN NULL WHEN 4 THEN '3' ELSE 'a' END AS fold FROM orders WHERE o_orderkey % 6 IN (4, 5)")
@@ -375,8 +382,8 @@ def anti_missing_ids(spark, d):
 @query(f"WITH t AS ({_P}) SELECT o_orderkey, fold, round(p, 4) AS a, round(p * 0.9::DOUBLE, 4) AS b FROM t")
 def align_oof(spark, d):
     t = predicted(spark, d)
-    one = t.select("o_orderkey", "y", "fold", P.alias("prediction"))
-    two = t.select(F.col("o_orderkey").cast("double").alias("o_orderkey"), "y", "fold", (P * 0.9).alias("prediction"))
+    one = t.select("o_orderkey", "y", "fold", P().alias("prediction"))
+    two = t.select(F.col("o_orderkey").cast("double").alias("o_orderkey"), "y", "fold", (P() * 0.9).alias("prediction"))
     return rounded(align.align_predictions({"a": one, "b": two}, "o_orderkey", "y", "fold").select("o_orderkey", "fold", "a", "b"), 4)
 
 
@@ -497,13 +504,13 @@ def audit_findings(spark, d):
 
 @query(f"WITH t AS ({_P}) SELECT o_orderkey, round(0.25::DOUBLE * p + 0.75::DOUBLE * (y + 1), 6) AS b FROM t")
 def blend_arith(spark, d):
-    t = predicted(spark, d).withColumn("q", Y + 1)
+    t = predicted(spark, d).withColumn("q", Y() + 1)
     return rounded(t.select("o_orderkey", blend.blend(["p", "q"], [0.25, 0.75]).alias("b")))
 
 
 @query(f"WITH t AS ({_P}) SELECT o_orderkey, round(exp(0.25::DOUBLE * ln(p) + 0.75::DOUBLE * ln(y + 1)), 4) AS b FROM t")
 def blend_geo(spark, d):
-    t = predicted(spark, d).withColumn("q", Y + 1)
+    t = predicted(spark, d).withColumn("q", Y() + 1)
     return rounded(t.select("o_orderkey", blend.blend(["p", "q"], [0.25, 0.75], "geometric").alias("b")), 4)
 
 
@@ -514,31 +521,31 @@ def alpha_grid(spark, d):
 
 @query("SELECT 1.25::DOUBLE AS alpha")
 def calibrated(spark, d):
-    t = predicted(spark, d).withColumn("q", Y / 1.25)
+    t = predicted(spark, d).withColumn("q", Y() / 1.25)
     return spark.createDataFrame([(round(blend.best_multiplier(t, "y", "q"), 6),)], "alpha double")
 
 
 @query(f"WITH t AS ({_P}) SELECT 'p' AS i, 'p' AS j, round(sum(p / 1000 * p / 1000), 0) AS value FROM t UNION ALL SELECT 'p', 'y', round(sum(p / 1000 * y / 1000), 0) FROM t UNION ALL SELECT 'y', 'y', round(sum(y / 1000 * y / 1000), 0) FROM t")
 def gram_matrix(spark, d):
-    t = predicted(spark, d).select((P / 1000).alias("p"), (Y / 1000).alias("y"))
+    t = predicted(spark, d).select((P() / 1000).alias("p"), (Y() / 1000).alias("y"))
     return rounded(blend.gram_matrix(t, ["p"], "y"), 0)
 
 
 @query("SELECT 0.25::DOUBLE AS a, 0.75::DOUBLE AS b")
 def blend_weights(spark, d):
-    t = predicted(spark, d).select(Y.alias("y"), (Y * 0.7).alias("a"), (Y * 1.1).alias("b"))
+    t = predicted(spark, d).select(Y().alias("y"), (Y() * 0.7).alias("a"), (Y() * 1.1).alias("b"))
     w = blend.optimize_weights(t, ["a", "b"], "y").weights
     return spark.createDataFrame([tuple(round(x, 3) for x in w)], "a double, b double")
 
 
 @query(f"WITH t AS ({_P}) SELECT o_orderkey, round(least(greatest(p, 1000), 200000), 4)::DOUBLE AS p FROM t")
 def clamped(spark, d):
-    return rounded(predicted(spark, d).select("o_orderkey", blend.clamp(P, 1000, 200000).alias("p")), 4)
+    return rounded(predicted(spark, d).select("o_orderkey", blend.clamp(P(), 1000, 200000).alias("p")), 4)
 
 
 @query(f"WITH t AS ({_P}) SELECT o_orderkey, round((p + 2 * p + y) / 3, 4) AS mean, round(quantile_cont(v, 0.5), 4)::DOUBLE AS median, round(exp((ln(p) + ln(2 * p) + ln(y)) / 3), 4) AS geometric FROM (SELECT o_orderkey, p, y, unnest([p, 2 * p, y]) AS v FROM t) GROUP BY o_orderkey, p, y")
 def predict_aggregates(spark, d):
-    t = predicted(spark, d).select("o_orderkey", P.alias("a"), (P * 2).alias("b"), Y.alias("c"))
+    t = predicted(spark, d).select("o_orderkey", P().alias("a"), (P() * 2).alias("b"), Y().alias("c"))
     return rounded(t.select("o_orderkey", *(blend.aggregate_folds(["a", "b", "c"], m).alias(m) for m in ("mean", "median", "geometric"))), 4)
 
 
