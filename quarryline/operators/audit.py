@@ -225,7 +225,8 @@ def audit(train: DataFrame, test: DataFrame, *, target: str | None = None, ids:
         for code, name in (("ID_MISSING", "missing_id_rows"), ("ID_DUPLICATE", "duplicate_id_rows"), ("TRAIN_TEST_ID_OVERLAP", "overlap_rows")):
             if row[name]:
                 say("error", code, ids[0], row[name], f"{row[name]} rows")
-    features = [c for c in train.columns if c in test.columns and c not in ids and c != target]
+    kinds_of = dict(test.dtypes)
+    features = [c for c, kind in train.dtypes if kinds_of.get(c) == kind and c not in ids and c != target]
     kinds = semantic_type(train, features)
     numeric = [c for c in features if kinds[c] == "numeric"]
     if target is None:

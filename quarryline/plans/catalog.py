@@ -165,12 +165,13 @@ def segment_category(spark, d):
     return rounded(residuals.segment_summary(t, "o_orderpriority", key="o_orderkey", target="y", prediction="p"), 4)
 
 
-@query(f"""WITH t AS ({_P}), e AS (SELECT *, {_S} AS s, abs(p - y) AS a FROM t), c AS (SELECT quantile_cont(s, 0.9) AS cut, count(*) AS rows FROM e),
+@query(f"""WITH t AS ({_P}), e AS (SELECT *, round({_S}, 9) AS s, abs(p - y) AS a FROM t), c AS (SELECT quantile_cont(s, 0.9) AS cut, count(*) AS rows FROM e),
  m AS (SELECT unnest(list_filter([CASE WHEN p < 0.5 * y THEN 'severe_under' END, CASE WHEN p > 2 * y THEN 'severe_over' END, CASE WHEN y < 1 THEN 'near_zero_target' END, CASE WHEN p <= 0 THEN 'non_positive_prediction' END,
  CASE WHEN a > 0.5 * abs(y) THEN 'large_abs_error' END, CASE WHEN s <= 0.01 THEN 'near_exact' END, CASE WHEN s > 0.1 AND s <= 0.5 THEN 'moderate' END], lambda x: x IS NOT NULL)) AS mode, s, a, s >= cut AS w, rows FROM e, c)
  SELECT mode, count(*)::BIGINT AS n, round(count(*) / any_value(rows), 4) AS prevalence, round(avg(s), 4) AS smape, round(avg(a), 4) AS mae, round(avg(w::INT), 4) AS share_in_worst_tenth FROM m GROUP BY mode""")
 def failure_modes(spark, d):
-    return rounded(residuals.failure_modes(residuals.row_errors(predicted(spark, d), "y", "p"), "y", "p"), 4)
+    t = residuals.row_errors(predicted(spark, d), "y", "p").withColumn("row_smape", F.round("row_smape", 9))
+    return rounded(residuals.failure_modes(t, "y", "p"), 4)
 
 
 @query(f"""WITH t AS ({_P}), e AS (SELECT *, {_S} AS s, abs(p - y) AS a FROM t) SELECT count(*)::BIGINT AS n, round(avg(s), 4) AS smape, round(avg(a), 4) AS mae, round(sqrt(avg((p - y) * (p - y))), 4) AS rmse, round(avg(p - y), 4) AS bias,
