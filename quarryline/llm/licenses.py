@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -50,7 +51,7 @@ def bigrams(words: list[str]) -> frozenset[str]:
 
 def size_bounds(n: int, threshold: float) -> tuple[int, int]:
     """Numbers of bigrams that a unit can have to reach the threshold with a template of n: 2 min / (n + m) must do."""
-    return -int(-threshold * n // (2 - threshold)), int(n * (2 - threshold) / threshold)
+    return math.ceil(threshold * n / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9)
 
 
 def _scan(threshold: float, templates: tuple):
