@@ -103,12 +103,13 @@ def group_folds(df: DataFrame, group: str, *, n_splits: int = 5, seed: int = 42,
     return df.join(table, F.col(group).eqNullSafe(F.col("_g")), "left").withColumn(fold, chosen.cast("short")).drop("_g", "_f")
 
 
-def stratified_group_folds(df: DataFrame, group: str, strata: Column, *, n_splits: int = 5, fold: str = "fold") -> DataFrame:
+def stratified_group_folds(df: DataFrame, group: str, strata: Column, *, n_splits: int = 5, fold: str = "fold", seed: int = 42, most_listed: int = 100_000) -> DataFrame:
     """No group in two folds; each goes where the strata's counts then differ least between folds. The groups with the
-    most uneven strata go first. Works on group counts, which are as many as there are groups."""
+    most uneven strata go first. At most most_listed groups, the largest, are placed so; of more, the rest go by hash."""
     counts = df.withColumn("_s", strata.cast("string")).groupBy(group).pivot("_s").count().fillna(0)
     names = [c for c in counts.columns if c != group]
-    rows = sorted(counts.collect(), key=lambda r: (-_spread([r[c] for c in names]), str(r[group])))
+    largest = counts.withColumn("_n", sum((F.col(f"`{c}`") for c in names), F.lit(0))).orderBy(F.desc("_n"), group).limit(most_listed).drop("_n")
+    rows = sorted(largest.collect(), key=lambda r: (-_spread([r[c] for c in names]), str(r[group])))
     load, place = [[0] * len(names) for _ in range(n_splits)], []
     totals = [max(1, sum(r[c] for r in rows)) for c in names]
     for r in rows:
@@ -120,7 +121,8 @@ def stratified_group_folds(df: DataFrame, group: str, strata: Column, *, n_split
         load[k] = [x + r[c] for x, c in zip(load[k], names, strict=True)]
         place.append((r[group], k))
     table = df.sparkSession.createDataFrame(place, f"_g {dict(df.dtypes)[group]}, _f int")
-    return df.join(table, F.col(group).eqNullSafe(F.col("_g")), "left").withColumn(fold, F.col("_f").cast("short")).drop("_g", "_f")
+    chosen = F.coalesce("_f", F.pmod(F.xxhash64(group, F.lit(seed)), F.lit(n_splits)).cast("int"))
+    return df.join(table, F.col(group).eqNullSafe(F.col("_g")), "left").withColumn(fold, chosen.cast("short")).drop("_g", "_f")
 
 
 def _spread(x: list[float]) -> float:
@@ -128,13 +130,26 @@ def _spread(x: list[float]) -> float:
     return (sum((v - mean) ** 2 for v in x) / len(x)) ** 0.5
 
 
+def _ranked(values: DataFrame, column: str, ranges: int = 64) -> DataFrame:
+    """Distinct values with _r, their place from 0, and _u, their number. A window sees one range at a time: its place is the number of
+    values in earlier ranges, of which there are few, plus the place within it."""
+    number = F.col(column).cast("timestamp").cast("double") if dict(values.dtypes)[column] in ("timestamp", "date", "timestamp_ntz") else F.col(column).cast("double")
+    cuts = values.agg(F.percentile_approx(number, [i / ranges for i in range(1, ranges)]).alias("q")).first()["q"] or []
+    marked = values.withColumn("_g", sum(((number > c).cast("int") for c in sorted(set(cuts))), F.lit(0)))
+    sizes = marked.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_g", (F.sum("_n").over(Window.orderBy("_g")) - F.col("_n")).alias("_o"), F.sum("_n").over(Window.partitionBy()).alias("_u"))
+    place = F.row_number().over(Window.partitionBy("_g").orderBy(column)) - 1 + F.col("_o")
+    return marked.join(F.broadcast(offsets), "_g").withColumn("_r", place).drop("_g", "_o")
+
+
 def time_folds(df: DataFrame, time: str, *, n_splits: int = 5, fold: str = "fold") -> DataFrame:
     """Blocks of distinct times, the earliest of them a warm-up (-1); equal times stay together.
 
-    Only the distinct times are ranked. With U of them, a block has U div (n + 1), and what is left over leads.
+    Only the distinct times are ranked, within ranges of about equal size. With U of them, a block has U div (n + 1), and
+    what is left over leads.
     """
     times = df.select(time).filter(F.col(time).isNotNull()).distinct()
-    ranked = times.withColumns({"_r": F.row_number().over(Window.orderBy(time)) - 1, "_u": F.count(F.lit(1)).over(Window.partitionBy())})
+    ranked = _ranked(times, time)
     block = F.expr(f"_u div {n_splits + 1}")
     first = F.col("_u") - n_splits * block
     place = ranked.withColumn(fold, F.when(F.col("_r") < first, F.lit(WARM_UP)).otherwise(F.floor((F.col("_r") - first) / block)).cast("short")).select(F.col(time).alias("_t"), fold)
