@@ -56,6 +56,35 @@ def shared_slots(place: np.ndarray, hashes: list[np.ndarray]) -> tuple[np.ndarra
     return pair, first
 
 
+_GRAM = np.dtype([("key", "<u8"), ("longer", "<u8"), ("context", "<u8"), ("begins", "?"), ("n", "<f4", 2)])
+
+
+def _add_up(grams: np.ndarray) -> np.ndarray:
+    """Grams once for each (key, longer), with their numbers added."""
+    _, first, inverse = np.unique(mix64(grams["key"] ^ mix64(grams["longer"])), return_index=True, return_inverse=True)
+    out = grams[first].copy()
+    for c in (0, 1):
+        out["n"][:, c] = np.bincount(inverse, weights=grams["n"][:, c], minlength=len(out))
+    return out
+
+
+def _distinct_grams(words: list[str], counts: np.ndarray, n: int, chunk: int = 20_000) -> np.ndarray:
+    """The n-grams of words with their numbers of documents by class; below the highest order, apart by the character before
+    (longer is the n-gram with it; 0 at a word's begin). Words are taken in chunks, so that memory follows the distinct n-grams."""
+    held: list[np.ndarray] = [np.empty(0, _GRAM)]
+    for i in range(0, len(words), chunk):
+        word, place, hashes = grams_of(words[i : i + chunk])
+        at = place >= n - 1
+        grams = np.empty(int(at.sum()), _GRAM)
+        grams["key"], grams["begins"], grams["n"] = hashes[n][at], place[at] == n - 1, counts[i : i + chunk][word[at]]
+        grams["context"] = np.r_[np.uint64(0), hashes[n - 1][:-1]][at]
+        grams["longer"] = np.where(grams["begins"] | (n == max(ORDERS)), np.uint64(0), hashes[n + 1][at])
+        held.append(_add_up(grams))
+        if sum(map(len, held[1:])) > len(held[0]) + 300_000:
+            held = [_add_up(np.concatenate(held))]
+    return _add_up(np.concatenate(held))
+
+
 class Table:
     """Values by 64-bit key in a fixed number of slots with 16-bit tags; where keys meet, the larger first value stays."""
 
@@ -97,24 +126,19 @@ class Model:
     @staticmethod
     def learn(shared: np.ndarray, words: list[str], counts: np.ndarray, discount: float = 3.0) -> tuple:
         """Parts of a model, of a fixed size, from the shared pair counts and (words, 2) numbers of documents by class."""
-        word, place, hashes = grams_of(words)
         tables = []
         for n in ORDERS:
-            # A gram shorter than n that starts its word is a gram at its own order only where that is its length.
-            at = place >= n - 1
-            key, begins, weight = hashes[n][at], place[at] == n - 1, counts[word[at]]
-            context = np.r_[np.uint64(0), hashes[n - 1][:-1]][at]
-            unique, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-            total = np.stack([np.bincount(inverse, weights=weight[:, c], minlength=len(unique)) for c in (0, 1)], 1)
-            if n < max(ORDERS):
-                longer = hashes[n + 1][at]
-                for c in (0, 1):
-                    used = ~begins & (weight[:, c] > 0)
-                    _, one = np.unique(longer[used], return_index=True)
-                    kinds = np.bincount(inverse[used][one], minlength=len(unique))
-                    total[:, c] = np.where(begins[first], total[:, c], kinds)
+            found = _distinct_grams(words, counts, n)
+            unique, first, inverse = np.unique(found["key"], return_index=True, return_inverse=True)
+            begins, context = found["begins"][first], found["context"][first]
+            total = np.zeros((len(unique), 2))
+            for c in (0, 1):
+                raw = np.bincount(inverse, weights=found["n"][:, c], minlength=len(unique))
+                kinds = np.bincount(inverse, weights=found["n"][:, c] > 0, minlength=len(unique))
+                total[:, c] = raw if n == max(ORDERS) else np.where(begins, raw, kinds)
+            del found, inverse
             kept = np.maximum(total - discount, 0)
-            contexts, of = np.unique(context[first], return_inverse=True)
+            contexts, of = np.unique(context, return_inverse=True)
             sums = np.stack([np.bincount(of, weights=total[:, c], minlength=len(contexts)) for c in (0, 1)], 1)
             rest = sums - np.stack([np.bincount(of, weights=kept[:, c], minlength=len(contexts)) for c in (0, 1)], 1)
             share = kept / np.maximum(sums[of], 1e-9)
@@ -269,8 +293,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most_per_class: int = 2_
     pairs = np.zeros((2, SHARED), np.int64)
     for row in shared.toLocalIterator():
         pairs += np.frombuffer(zlib.decompress(bytes(row["shared"])), np.int64).reshape(2, SHARED)
-    words = counted.filter("word is not null").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
-    parts = spark.sparkContext.broadcast(Model.learn(pairs, words["word"].to_list(), words[["n0", "n1"]].to_numpy(np.float64)))
+    words = counted.filter("word is not null").groupBy("word").agg(F.sum("n0").cast("float").alias("n0"), F.sum("n1").cast("float").alias("n1")).toArrow()
+    by_class = np.stack([words.column(c).to_numpy() for c in ("n0", "n1")], 1)
+    parts = spark.sparkContext.broadcast(Model.learn(pairs, words.column("word").to_pylist(), by_class))
+    del words, by_class
     judged_by = spark.sparkContext.broadcast(judges)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
