@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.llm.common import cut
+
 #: Elements by their part in the layout.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -216,7 +218,7 @@ def host_of(url) -> object:
     return F.coalesce(F.regexp_replace(host, r"^www\.", ""), F.lit(""))
 
 
-def main_text(pages: DataFrame) -> DataFrame:
+def main_text(pages: DataFrame, *, most_broadcast: int = 100_000) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, text, n_chars (code points of text).
 
     Every page votes, with the share of its score, for the tag-class path of the container that holds most of its
@@ -226,10 +228,17 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     A null or empty html has an empty text. Pages whose url is null or has no host vote together. Null and repeated
     page_ids keep their rows; an empty table gives an empty result; other columns are ignored. Votes are added before
-    the shuffle; pages meet their host's path in a join whose hot hosts adaptive execution splits.
+    the shuffle. The hosts' paths are counted: up to most_broadcast of them are broadcast, and no page is shuffled; more
+    meet the pages in a join by host and salt, so that a hot host's pages go to many tasks.
     """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
     votes = base.select("host", "html").mapInArrow(_vote, "host string, path string, vote double").groupBy("host", "path").agg(F.round(F.sum("vote"), 6).alias("votes"))
     winners = votes.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), F.col("path"))).alias("path"))
-    joined = base.join(winners, "host", "left").select("page_id", "url", "html", "path")
+    winners = cut(winners)
+    if winners.count() <= most_broadcast:
+        joined = base.join(F.broadcast(winners), "host", "left")
+    else:
+        salted = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
+        joined = base.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(64)).cast("int")).join(salted, ["host", "salt"], "left")
+    joined = joined.select("page_id", "url", "html", "path")
     return joined.mapInArrow(_extract_rows, "page_id long, url string, text string, n_chars long")
