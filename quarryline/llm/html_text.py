@@ -34,16 +34,18 @@ _SCOPES = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "body
 
 _TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|/?[a-zA-Z].*?(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: An unlinked block of so many characters is prose; so much prose beside the best containers is a part of the article, and less is if it is a twentieth of it.
+PROSE, MUCH = 40, 200
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Block:
-    """A run of text in one block element: the numbers of the containers it lies in, outermost first."""
+    """A run of text in one block element: the numbers of the containers it lies in, outermost first, and whether it is in an h1."""
 
-    __slots__ = ("inside", "linked", "text")
+    __slots__ = ("inside", "linked", "text", "title")
 
-    def __init__(self, text: str, linked: int, inside: tuple[int, ...]):
-        self.text, self.linked, self.inside = text, linked, inside
+    def __init__(self, text: str, linked: int, inside: tuple[int, ...], title: bool = False):
+        self.text, self.linked, self.inside, self.title = text, linked, inside, title
 
 
 def _tag_class(tag: str, attributes: dict[str, str]) -> str:
@@ -81,14 +83,14 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                blocks.append(Block(whole, linked, inside))
+                blocks.append(Block(whole, linked, inside, any(t == "h1" for t, _, _ in stack)))
             text, linked = [], 0
 
     def pop() -> None:
         nonlocal dropped, links, inside
-        tag, drops, container = stack.pop()
-        if tag in BLOCKS:
+        if stack[-1][0] in BLOCKS:
             flush()
+        tag, drops, container = stack.pop()
         dropped -= drops
         links -= tag == "a"
         if container >= 0:
@@ -183,8 +185,51 @@ def best_path(scores: dict[str, float]) -> str | None:
     return min(good)[1] if good else None
 
 
+def _belongs(gained: list[Block], kept: list[Block], depth: int, tag: str, marked: dict[int, bool], in_article: bool) -> bool:
+    """Whether blocks of a container at this depth and of this tag, which lie beside the kept ones, are parts of the article."""
+    plain = [b for b in gained if 2 * b.linked <= len(b.text)]
+    if any(b.title for b in plain) and not any(b.title for b in kept):
+        return True
+    prose = [b for b in plain if len(b.text) >= PROSE]
+    if in_article and tag != "main":  # beyond an article, only further ones are parts
+        prose = [b for b in prose if any(marked[i] for i in b.inside[depth + 1 :])]
+    elif any(len(b.inside) == depth + 1 for b in (prose if tag == "body" else plain)):
+        return True
+    added = sum(len(b.text) for b in prose)
+    return added >= MUCH or added > 0 and 20 * added >= added + sum(len(b.text) for b in kept)
+
+
+def article_blocks(blocks: list[Block], paths: list[str], best: set[int]) -> list[Block]:
+    """The blocks of the article around the best containers (of one path).
+
+    It is the innermost article or main around them, or they themselves, and grows to each outer container that holds
+    more of the article beside it: a title, text of its own, or much prose in other containers. Beyond an article only
+    a title, further articles and a main count. Parts of an outer container that are mostly links don't count.
+    """
+    hits = [b for b in blocks if best.intersection(b.inside)]
+    tags = [p.rsplit("/", 1)[-1].split(".", 1)[0] for p in paths]
+    marked = {i: t in ("article", "main") for i, t in enumerate(tags)}
+    chain = {i for b in hits for i in b.inside}
+    depth = paths[min(best)].count("/")
+    around = [d for d in range(depth + 1) if marked[hits[0].inside[d]]]
+    depth, in_article = (around[-1], True) if around else (depth, False)
+    # by block: the depth of its last container around the best, and the container beside them that it lies in
+    last, sides, sizes = [], [], {}
+    for b in blocks:
+        out = next((d for d, i in enumerate(b.inside) if i not in chain), len(b.inside))
+        side = b.inside[out] if out < len(b.inside) else -1
+        n, m = sizes.get(side, (0, 0))
+        sizes[side] = n + len(b.text), m + b.linked
+        last.append(out - 1), sides.append(side)
+    parts = [(b, d) for b, d, side in zip(blocks, last, sides, strict=True) if side < 0 or 2 * sizes[side][1] <= sizes[side][0]]
+    for d in sorted({d for _, d in parts if 0 <= d < depth}, reverse=True):
+        if _belongs([b for b, x in parts if d <= x < depth], [b for b, x in parts if x >= depth], d, tags[hits[0].inside[d]], marked, in_article):
+            depth = d
+    return [b for b, x in parts if x >= depth]
+
+
 def extract(page: str | None, path: str | None) -> str:
-    """The page's blocks inside containers of the path; where it has none, inside those of its own best path, else all."""
+    """The page's article around the containers of the path; where it has none, around those of its own best path, else all blocks."""
     blocks, paths = parse(page or "")
     wanted = {i for i, p in enumerate(paths) if p == path}
     if not any(wanted.intersection(b.inside) for b in blocks):
@@ -192,7 +237,7 @@ def extract(page: str | None, path: str | None) -> str:
         wanted = {i for i, p in enumerate(paths) if p == own}
         if not wanted:
             return "\n".join(b.text for b in blocks)
-    return "\n".join(b.text for b in blocks if wanted.intersection(b.inside))
+    return "\n".join(b.text for b in article_blocks(blocks, paths, wanted))
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,8 +267,9 @@ def main_text(pages: DataFrame, *, most_broadcast: int = 100_000) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, text, n_chars (code points of text).
 
     Every page votes, with the share of its score, for the tag-class path of the container that holds most of its
-    unlinked text; per host the path with most votes wins (ties to the smaller path); all pages of the host are then
-    extracted by it. A page without such a container is extracted by its own best path, or as a whole. Layout
+    unlinked text; per host the path with most votes wins (ties to the smaller path). In all pages of the host, the
+    article around the containers of that path is then extracted (article_blocks). A page without such a container is
+    extracted around its own best path, or as a whole. Layout
     parts (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments) never count.
 
     A null or empty html has an empty text. Pages whose url is null or has no host vote together. Null and repeated

@@ -347,6 +347,30 @@ def test_page_rules(spark):
     assert html_text.main_text(table.limit(0)).count() == 0
 
 
+STORY = "A long enough sentence of the story, with commas, and more words to count. "
+NESTED = {
+    "lead and sections": ("<article><h1>Head</h1><p>Lead.</p><section><p>{a}</p></section><section><p>{b}</p></section></article><div class=low>{note}</div>", "Head|Lead.|{a}|{b}"),
+    "sections of other classes": ("<article><section class=intro><p>{a}</p></section><section class=rest><p>{b}{b}</p></section></article>", "{a}|{b} {b}"),
+    "lead and body": ("<div class=post><h1>Head</h1><p>Lead.</p><div class=body><p>{a}</p><p>{b}</p></div></div><div class=low><a href=x>{a}</a></div>", "Head|Lead.|{a}|{b}"),
+    "title beside the body": ("<div class=post><div class=top><h1>Head</h1></div><div class=body><p>{a}</p></div><ul><li><a href=x>More of it</a></ul></div>", "Head|{a}|More of it"),
+    "table": ("<article><h1>Head</h1><p>Before.</p><table><tr><td>{a}</td><td>{b}</td></tr></table><p>After.</p></article>", "Head|Before.|{a}|{b}|After."),
+    "table in the body": ("<h1>Head</h1><p>{note}</p><table><tr><td>{a}</td><td>{b}</td></tr></table>", "Head|{note}|{a}|{b}"),
+    "main around": ("<main><h1>Head</h1><article><p>{a}</p></article></main><div class=low>{note}</div>", "Head|{a}"),
+    "two articles": ("<div class=x><article class=one><p>{a}</p></article><article class=two><p>{b}{b}</p></article></div><div class=low>{note}</div>", "{a}|{b} {b}"),
+    "links beside": ("<div class=post><p>Lead.</p><div class=body><p>{a}</p></div><div class=list><a href=x>{note}</a></div></div>", "Lead.|{a}"),
+}
+
+
+@pytest.mark.parametrize("name", NESTED)
+def test_articles_in_nested_containers_are_whole(spark, name):
+    parts = {"a": STORY * 6, "b": (STORY * 8).upper(), "note": "A line of forty characters and some more at the foot."}
+    page, known = NESTED[name]
+    clean = {k: " ".join(v.split()) for k, v in parts.items()}
+    table = spark.createDataFrame([(i, "http://h.example/", f"<html><body>{page.format(**parts)}</body></html>") for i in range(2)], "page_id long, url string, html string")
+    expected = "\n".join(x.format(**clean) for x in known.split("|"))
+    assert rows(html_text.main_text(table), "text") == [(expected,)] * 2
+
+
 # 2: licences
 
 
