@@ -31,10 +31,22 @@ def byte_level_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def added_pattern(tokens: list[dict]) -> re.Pattern | None:
+    """Matches the added tokens of a tokenizers file in raw text, the longest first, each in a group of its own."""
+    def one(t: dict) -> str:
+        word = r"(?<!\w){}(?!\w)" if t.get("single_word") else "{}"
+        return (r"\s*" if t.get("lstrip") else "") + "(" + word.format(re.escape(t["content"])) + ")" + (r"\s*" if t.get("rstrip") else "")
+
+    return re.compile("|".join(map(one, tokens))) if tokens else None
+
+
 class ByteEncoder:
-    """Ids of a tokenizers byte-level BPE file (special tokens' strings are ordinary text), through a bounded memory of words."""
+    """Ids of a tokenizers byte-level BPE file, through a bounded memory of words.
+
+    With added, strings of the file's added tokens get those tokens' ids, as in the library; else they are ordinary text.
+    """
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 400_000, *, added: bool = False):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -42,6 +54,8 @@ class ByteEncoder:
         special, letters = {t["content"] for t in spec["added_tokens"]}, byte_level_alphabet()
         ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.encoding = tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        tokens = sorted(spec["added_tokens"], key=lambda t: -len(t["content"])) if added else []
+        self.added, self.added_ids = added_pattern(tokens), [np.array([t["id"]], "<u4").tobytes() for t in tokens]
         self.words: dict[str, bytes] = {}
         self.most_words = most_words
 
@@ -49,7 +63,17 @@ class ByteEncoder:
         return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids. Words are cut before single spaces, where no token crosses."""
+        """Little-endian unsigned 32-bit ids."""
+        if self.added is None or not self.added.search(text):
+            return self._plain(text)
+        out, at = [], 0
+        for m in self.added.finditer(text):
+            out += self._plain(text[at : m.start()]), self.added_ids[m.lastindex - 1]
+            at = m.end()
+        return b"".join(out) + self._plain(text[at:])
+
+    def _plain(self, text: str) -> bytes:
+        """Ids of text without added tokens. Words are cut before single spaces, where no token crosses."""
         if not text:
             return b""
         if _LOOSE_SPACE.search(text):
@@ -83,7 +107,7 @@ def _pack(tokenizer_path: str, length: int, windows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part, opened, count = ByteEncoder(tokenizer_path), TaskContext.get().partitionId(), [], 0
+        encode, part, opened, count = ByteEncoder(tokenizer_path, added=True), TaskContext.get().partitionId(), [], 0
         end = np.array([0], "<u4").tobytes()
 
         def window() -> dict:
@@ -182,8 +206,8 @@ def _merge_leftovers(length: int):
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, length: int = 1024, windows: int = 16, parts_per_group: int = 64) -> DataFrame:
     """Pieces of documents in sequences of length tokens (a power of two): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Each document is tokenized (ids of the byte-level BPE file at tokenizer_path, read on the executors) and ended by id
-    0. Full windows are cut off; what remains goes to the open window that it fits best. A partition keeps `windows`
+    Each document is tokenized (ids of the byte-level BPE file at tokenizer_path, read on the executors; its added tokens'
+    strings get their own ids, as in the library) and ended by id 0. Full windows are cut off; what remains goes to the open window that it fits best. A partition keeps `windows`
     windows open; where none fits, the fullest is filled up with the head of the piece and emitted, so it has no
     padding. The windows still open at a partition's end are merged by groups of parts_per_group partitions, a bounded
     number of rows, and the last window of a group is cut at powers of two. Sequences are therefore as long as length

@@ -220,6 +220,20 @@ def test_packing(docs, odd, none):
     assert packing.pack_documents(none, BYTES).count() == 0
 
 
+def test_added_tokens_are_ids_of_their_own(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    library, rng = tokenizers.Tokenizer.from_file(BYTES), random.Random(3)
+    parts = [" ", "\n", "a", "the", "  ", ".", "é", "'s", "日", " x", "<|endoftext|>", "<|endof", "|>", "<"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", " x<|endoftext|>  y z"] + ["".join(rng.choices(parts, k=rng.randrange(14))) for _ in range(300)]
+    known = {i: np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4") for i, t in enumerate(texts)}
+    out = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), BYTES).collect()
+    assert {r["doc_id"] for r in out} == set(known)
+    for r in out:
+        ids = known[r["doc_id"]]
+        assert r["doc_tokens"] == len(ids), texts[r["doc_id"]]
+        assert r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()), texts[r["doc_id"]]
+
+
 # 4: personal data
 
 
