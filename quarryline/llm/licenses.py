@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections import OrderedDict
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +36,26 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved."),
 )
 
+_GPL_HEADERS = {name: text for name, text in TEMPLATES if name.startswith("GPL") and len(text) > 100}
+#: Further statements, looked for as runs of words only (the SQL doesn't hold them). They keep near relatives apart.
+NOTICES = (
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("LGPL-3.0", _GPL_HEADERS["GPL-3.0"].replace("GNU General", "GNU Lesser General")),
+    ("LGPL-2.1", _GPL_HEADERS["GPL-2.0"].replace("GNU General", "GNU Lesser General").replace("version 2", "version 2.1")),
+    ("AGPL-3.0", _GPL_HEADERS["GPL-3.0"].replace("GNU General", "GNU Affero General")),
+    ("Apache-1.1", "Licensed under the Apache License, Version 1.1."),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    *(
+        (f"CC-{kind}-4.0", f"{start} Creative Commons Attribution{more} 4.0 International {end}")
+        for kind, more in (("BY", ""), ("BY-SA", "-ShareAlike"), ("BY-NC", "-NonCommercial"), ("BY-ND", "-NoDerivatives"), ("BY-NC-SA", "-NonCommercial-ShareAlike"), ("BY-NC-ND", "-NonCommercial-NoDerivatives"))
+        for start, end in (("", "Public License"), ("This work is licensed under a", "License"))
+    ),
+)
+#: A run that shares so many bigrams with a template is a licence or its header; these outrank short statements.
+LONG = 30
+
 _OTHER = re.compile(r"[^a-z0-9]+")
 
 
@@ -54,54 +76,146 @@ def size_bounds(n: int, threshold: float) -> tuple[int, int]:
     return math.ceil(threshold * n / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9)
 
 
-def _scan(threshold: float, templates: tuple):
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """Licences and their whole texts, from the files in license_texts."""
+    return tuple((f.stem, f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
+
+
+def least_shared(n: int, threshold: float) -> int:
+    """Bigrams that a unit must share with a template of n: 2 c >= threshold (n + m), and m >= c."""
+    return math.ceil(threshold * n / (2 - threshold) - 1e-9)
+
+
+def runs_of(grams: list[str], b: frozenset[str], threshold: float) -> list[tuple[int, float, int, int]]:
+    """(shared bigrams, Dice, first word, word after) of the best runs of a document's words against one template, none overlapping.
+
+    A best run ends where a stretch of the template's bigrams ends, as one more of them never lowers Dice. At each such
+    end, the distinct bigrams are gone through from the last seen backwards: these are the runs that end there.
+    """
+    n, (_, high), need = len(b), size_bounds(len(b), threshold), least_shared(len(b), threshold)
+    seen: OrderedDict[str, int] = OrderedDict()  # the last distinct bigrams, at most high, by their last places
+    inside = 0
+    found: list[tuple[int, float, int, int]] = []
+    for at, g in enumerate(grams):
+        of_b = g in b
+        if g in seen:
+            seen.move_to_end(g)
+        else:
+            inside += of_b
+        seen[g] = at
+        if len(seen) > high:
+            inside -= seen.popitem(last=False)[0] in b
+        if of_b and inside >= need and (at + 1 == len(grams) or grams[at + 1] not in b):
+            shared, best = 0, (0, 0.0, 0, 0)
+            for size, (x, start) in enumerate(reversed(seen.items()), 1):
+                if x in b:
+                    shared += 1
+                    dice = 2 * shared / (n + size)
+                    if dice > best[1]:
+                        best = (shared, dice, start, at + 2)
+            if best[1] >= threshold:
+                if not found or best[2] >= found[-1][3]:
+                    found.append(best)
+                elif best[1] > found[-1][1]:
+                    found[-1] = best
+    return found
+
+
+def _scan(threshold: float, templates: tuple, further: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [(name, bigrams(words_of(text))) for name, text in templates]
         bounds = [(*size_bounds(len(b), threshold), name, b) for name, b in known]
         low, high = min(b[0] for b in bounds), max(b[1] for b in bounds)
         of_any = frozenset().union(*(b for _, b in known))
+        searched = list(dict.fromkeys([*known, *((name, bigrams(words_of(text))) for name, text in further)]))
+        # a run shares at least `least` of a template's bigrams, and so one of any n - least + 1: the longest, which are rare
+        least = [least_shared(len(b), threshold) for _, b in searched]
+        by_anchor: dict[str, list[int]] = {}
+        for i, (_, b) in enumerate(searched):
+            for g in sorted(b, key=lambda g: (-len(g), g))[: len(b) - least[i] + 1]:
+                by_anchor.setdefault(g, []).append(i)
+        anchors = frozenset(by_anchor)
         for batch in batches:
             names, best, found = [], [], []
             for text in batch.column("text"):
                 text = text.as_py() or ""
-                units = {*text.split("\n"), text}
+                lines = text.split("\n")
+                words_by_line = [words_of(line) for line in lines]
+                words = [w for ws in words_by_line for w in ws]
+                all_grams = bigrams(words)
+                units = dict(zip(lines, words_by_line, strict=True))
                 hits: dict[str, float] = {}
-                n_units = 0
-                for unit in units:
+                long: dict[str, float] = {}
+                good: set[str] = set()
+                for unit in {*units, text}:
                     if len(unit) <= 2 * low:
                         continue
-                    grams = bigrams(words_of(unit))
+                    grams = all_grams if unit == text else bigrams(units[unit])
                     if not low <= len(grams) <= high or of_any.isdisjoint(grams):
                         continue
-                    good = False
                     for lo, hi, name, b in bounds:
                         if lo <= len(grams) <= hi:
-                            dice = 2 * len(grams & b) / (len(grams) + len(b))
+                            shared = len(grams & b)
+                            dice = 2 * shared / (len(grams) + len(b))
                             if dice >= threshold:
                                 hits[name] = max(hits.get(name, 0.0), dice)
-                                good = True
-                    n_units += good
-                top = min(((-v, k) for k, v in hits.items()), default=None)
+                                good.add(unit)
+                                if shared >= LONG:
+                                    long[name] = max(long.get(name, 0.0), dice)
+                n_units, any_long = len(good), False
+                near = {i for g in all_grams & anchors for i in by_anchor[g]} if text not in good else ()
+                near = [i for i in near if len(all_grams & searched[i][1]) >= least[i]]
+                if near:
+                    grams = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+                    runs = sorted((-shared, -dice, searched[i][0], start, end) for i in near for shared, dice, start, end in runs_of(grams, searched[i][1], threshold))
+                    taken: list[tuple[int, int]] = []
+                    at = 0
+                    spans = []  # words of the lines that match
+                    for line, ws in zip(lines, words_by_line, strict=True):
+                        if line in good:
+                            spans.append((at, at + len(ws)))
+                        at += len(ws)
+                    extra = set()
+                    for shared, dice, name, start, end in runs:
+                        if any(start < y and x < end for x, y in taken):
+                            continue
+                        taken.append((start, end))
+                        if any(x <= start and end <= y for x, y in spans):  # its line is a unit already; the run may tell its licence better
+                            if name not in hits:
+                                hits[name] = -dice
+                            continue
+                        extra.add(" ".join(words[start:end]))
+                        hits[name] = max(hits.get(name, 0.0), -dice)
+                        if -shared >= LONG:
+                            any_long = True
+                            long[name] = max(long.get(name, 0.0), -dice)
+                    n_units += len(extra)
+                top = min(((-v, k) for k, v in (long if any_long else hits).items()), default=None)
                 names.append(top and top[1]), best.append(-top[0] if top else 0.0), found.append(n_units)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(best, pa.float64()), pa.array(found, pa.int64())], ["doc_id", "license", "dice", "n_units"])
 
     return run
 
 
-def scan_licenses(docs: DataFrame, *, threshold: float = 0.8, templates: tuple = TEMPLATES) -> DataFrame:
-    """Per row of docs: doc_id, license (of the best template, null if none), dice, n_units (texts or lines that match).
+def scan_licenses(docs: DataFrame, *, threshold: float = 0.8, templates: tuple = TEMPLATES, further: tuple | None = None) -> DataFrame:
+    """Per row of docs: doc_id, license (of the best template, null if none), dice, n_units (texts, lines or runs of words that match).
 
     The units of a document are its whole text and its distinct lines. A unit is compared by Dice over sets of word
-    bigrams with those templates whose size allows the threshold: Dice can't exceed 2 min(m, n) / (m + n). Best is
-    the highest coefficient, ties to the smaller name. A null text counts as empty and matches nothing; null and
-    repeated doc_ids keep their rows; an empty table gives an empty result; other columns are ignored. No shuffle.
+    bigrams with those templates whose size allows the threshold: Dice can't exceed 2 min(m, n) / (m + n). Where the
+    whole text doesn't match, the best runs of words across lines are looked for too, of the templates and of `further`
+    (NOTICES and full_texts() unless given); of runs that overlap, the one that shares most with its template is
+    taken, and one within a matching line isn't a unit of its own. Best is the highest coefficient, ties to the smaller
+    name; where runs of LONG shared bigrams or more are found, of such matches only. A null text counts as empty and
+    matches nothing; null and repeated doc_ids keep their rows; an empty table gives an empty result; other columns are
+    ignored. No shuffle.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_scan(threshold, templates), "doc_id long, license string, dice double, n_units long")
+    more = (*NOTICES, *full_texts()) if further is None else further
+    return texts.mapInArrow(_scan(threshold, templates, more), "doc_id long, license string, dice double, n_units long")
 
 
 def oracle_sql(threshold: float = 0.8, templates: tuple = TEMPLATES) -> str:
-    """The same result in DuckDB's SQL."""
+    """The result over whole texts and lines of up to 1,000 words in DuckDB's SQL, without runs of words."""
     rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in templates)
     norm = "list_filter(string_split(trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '')"
     grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"

@@ -402,6 +402,40 @@ def test_size_bounds_lose_nothing():
             assert (lo <= m <= hi) or 2 * min(m, n) / (m + n) < 0.8
 
 
+def wrapped(text: str, mark: str = "# ", n: int = 9) -> str:
+    w = text.split()
+    return "\n".join(mark + " ".join(w[i : i + n]) for i in range(0, len(w), n))
+
+
+def test_licences_within_documents(spark):
+    rng = random.Random(8)
+    prose = wrapped(" ".join(rng.choice("the of code file and runs on data that is under a new version".split()) for _ in range(400)), "")
+    text = dict(reversed(licenses.TEMPLATES)) | {f"{n} long": t for n, t in licenses.TEMPLATES if len(t) > 300}
+    cases = {
+        f"{wrapped(text['Apache-2.0 long'])}\n\n{prose}": ("Apache-2.0", 2),  # its first line matches the notice
+        f"{wrapped(text['GPL-3.0 long'], ' * ')}\n{prose}": ("GPL-3.0", 1),
+        f"{prose}\n{wrapped(text['MIT long'], '')}": ("MIT", 1),
+        f"{prose}\n(c) 2020 Foo. All rights reserved.\n{prose}": ("Proprietary", 1),
+        f"{prose} This module is released under the MIT License, see below. {prose}": ("MIT", 1),
+        f"{prose}\nSee also: this work is licensed under the GNU General\nPublic License, version 2.\n{prose}": ("GPL-2.0", 1),
+        f"{prose}\nThis work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License.": ("CC-BY-NC-4.0", 1),
+        prose: (None, 0),
+    }
+    got = {r["doc_id"]: (r["license"], r["n_units"]) for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
+def test_best_runs_equal_brute_force():
+    rng = random.Random(6)
+    for _ in range(300):
+        b = licenses.bigrams([rng.choice("abcdefgh") for _ in range(rng.randint(3, 9))])
+        words = [rng.choice("abcdefgh") for _ in range(25)]
+        grams = [f"{x} {y}" for x, y in zip(words, words[1:], strict=False)]
+        known = max((2 * len(g & b) / (len(g) + len(b)) for i in range(24) for j in range(i, 24) for g in [set(grams[i : j + 1])]), default=0)
+        found = licenses.runs_of(grams, b, 0.8)
+        assert max((d for _, d, *_ in found), default=0) == (known if known >= 0.8 else 0)
+
+
 @pytest.mark.parametrize("name", ["op2_license_scan", "op4_pii"])
 def test_sql(spark, sf, name):
     from quarryline.llm import queries
