@@ -425,6 +425,16 @@ def test_licences_within_documents(spark):
     assert got == dict(enumerate(cases.values()))
 
 
+def test_full_licence_texts(spark):
+    texts = licenses.full_texts()
+    head, tail = "Some project\n\nCopyright (c) 2020 Foo. All rights reserved.\n\n", "\nmore words after it\n"
+    data = [(i, f"{head * e}{t}{tail * e}") for i, (_, t) in enumerate(texts) for e in (0, 1)]
+    got = {}
+    for r in licenses.scan_licenses(spark.createDataFrame(data, "doc_id long, text string")).collect():
+        got.setdefault(texts[r["doc_id"]][0], []).append(r["license"])
+    assert len(got) >= 11 and got == {n: [n, n] for n in got}
+
+
 def test_best_runs_equal_brute_force():
     rng = random.Random(6)
     for _ in range(300):
