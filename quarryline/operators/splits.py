@@ -85,44 +85,65 @@ def group_labels(df: DataFrame, columns: list[str], row_key: str, missing: str =
     return F.when(absent, lone).otherwise(F.concat(F.lit("g:"), F.concat_ws("\x1f", *parts)))
 
 
-def group_folds(df: DataFrame, group: str, *, n_splits: int = 5, seed: int = 42, fold: str = "fold", most_listed: int = 1_000_000) -> DataFrame:
-    """No group in two folds, sizes even: the largest groups one after another onto the lightest fold.
+def _place_groups(df: DataFrame, group: str, vectors: DataFrame, place, *, n_splits: int, seed: int, fold: str) -> DataFrame:
+    """df with a fold for each group of vectors (group, _v: its counts), by one rule at every size.
 
-    Group sizes are gathered only up to most_listed groups; of more, all but the largest go to folds by hash, which even
-    out by their number.
+    Groups of equal counts are a class, which is dealt round the folds: the places within it are ranked by hash, in many
+    partitions. What is left over of each class, fewer than n_splits groups, is placed one by one by
+    place(classes), which takes rows (_v, _left) and gives (_v, _i, _f). The driver sees such classes only, never groups.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    listed = sizes.orderBy(F.desc("n"), group).limit(most_listed).collect()
-    load, place = [0] * n_splits, []
-    for row in listed:
-        k = min(range(n_splits), key=lambda i: (load[i], i))
-        load[k] += row["n"]
-        place.append((row[group], k))
-    table = df.sparkSession.createDataFrame(place, f"_g {dict(df.dtypes)[group]}, _f int")
-    chosen = F.coalesce("_f", F.pmod(F.xxhash64(group, F.lit(seed)), F.lit(n_splits)).cast("int"))
-    return df.join(table, F.col(group).eqNullSafe(F.col("_g")), "left").withColumn(fold, chosen.cast("short")).drop("_g", "_f")
-
-
-def stratified_group_folds(df: DataFrame, group: str, strata: Column, *, n_splits: int = 5, fold: str = "fold", seed: int = 42, most_listed: int = 100_000) -> DataFrame:
-    """No group in two folds; each goes where the strata's counts then differ least between folds. The groups with the
-    most uneven strata go first. At most most_listed groups, the largest, are placed so; of more, the rest go by hash."""
+    marked = vectors.withColumn("_h", F.xxhash64(F.col(group), F.lit(seed))).withColumn("_b", F.pmod("_h", F.lit(256)))
+    sizes = marked.groupBy("_v", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_v", "_b", (F.sum("_n").over(Window.partitionBy("_v").orderBy("_b")) - F.col("_n")).alias("_o"), F.sum("_n").over(Window.partitionBy("_v")).alias("_m"))
+    classes = sizes.groupBy("_v").agg(F.sum("_n").alias("_m")).select("_v", (F.col("_m") % n_splits).alias("_left")).filter("_left > 0")
+    table = df.sparkSession.createDataFrame(list(place(classes)), "_v array<long>, _i long, _f int")
+    rank = F.row_number().over(Window.partitionBy("_v", "_b").orderBy("_h", group)) - 1
+    placed = marked.join(offsets, ["_v", "_b"]).withColumn("_at", F.col("_o") + rank).withColumn("_i", F.col("_at") - (F.col("_m") - F.col("_m") % n_splits)).join(table, ["_v", "_i"], "left")
+    chosen = placed.select(F.col(group).alias("_g"), F.coalesce("_f", F.pmod("_at", F.lit(n_splits)).cast("int")).cast("short").alias(fold))
+    return df.join(chosen, F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
+
+
+def group_folds(df: DataFrame, group: str, *, n_splits: int = 5, seed: int = 42, fold: str = "fold") -> DataFrame:
+    """No group in two folds, sizes even: groups of one size are dealt round the folds, and what is left over of each size
+    goes onto the lightest fold, the largest first. Of N rows, there are at most sqrt(2 N) sizes."""
+
+    def place(classes: DataFrame) -> Iterator[tuple]:
+        load = [0] * n_splits
+        for row in classes.orderBy(F.desc("_v")).toLocalIterator():
+            for i in range(row["_left"]):
+                k = min(range(n_splits), key=lambda f: (load[f], f))
+                load[k] += row["_v"][0]
+                yield row["_v"], i, k
+
+    sizes = df.groupBy(group).agg(F.array(F.count(F.lit(1))).alias("_v"))
+    return _place_groups(df, group, sizes, place, n_splits=n_splits, seed=seed, fold=fold)
+
+
+def stratified_group_folds(df: DataFrame, group: str, strata: Column, *, n_splits: int = 5, fold: str = "fold", seed: int = 42) -> DataFrame:
+    """No group in two folds. Groups of equal counts in every stratum are dealt round the folds; what is left over of them
+    goes where the strata's counts then differ least between folds, the most uneven strata first. What the driver
+    holds grows with the number of different counts, not with that of groups."""
     counts = df.withColumn("_s", strata.cast("string")).groupBy(group).pivot("_s").count().fillna(0)
     names = [c for c in counts.columns if c != group]
-    largest = counts.withColumn("_n", sum((F.col(f"`{c}`") for c in names), F.lit(0))).orderBy(F.desc("_n"), group).limit(most_listed).drop("_n")
-    rows = sorted(largest.collect(), key=lambda r: (-_spread([r[c] for c in names]), str(r[group])))
-    load, place = [[0] * len(names) for _ in range(n_splits)], []
-    totals = [max(1, sum(r[c] for r in rows)) for c in names]
-    for r in rows:
-        def cost(k: int, r=r) -> tuple:
-            new = [[x + (r[c] if i == k else 0) for x, c in zip(f, names, strict=True)] for i, f in enumerate(load)]
-            return sum(_spread([f[j] / totals[j] for f in new]) for j in range(len(names))), sum(load[k]), k
-
-        k = min(range(n_splits), key=cost)
-        load[k] = [x + r[c] for x, c in zip(load[k], names, strict=True)]
-        place.append((r[group], k))
-    table = df.sparkSession.createDataFrame(place, f"_g {dict(df.dtypes)[group]}, _f int")
-    chosen = F.coalesce("_f", F.pmod(F.xxhash64(group, F.lit(seed)), F.lit(n_splits)).cast("int"))
-    return df.join(table, F.col(group).eqNullSafe(F.col("_g")), "left").withColumn(fold, chosen.cast("short")).drop("_g", "_f")
+    vectors = counts.select(group, F.array(*(F.col(f"`{c}`").cast("long") for c in names)).alias("_v"))
+
+    def place(classes: DataFrame) -> Iterator[tuple]:
+        sums = counts.agg(*(F.sum(f"`{c}`").alias(str(i)) for i, c in enumerate(names))).first()
+        totals = [max(1, n or 0) for n in sums]
+        load = [[0] * len(names) for _ in range(n_splits)]
+        for row in sorted(classes.collect(), key=lambda r: (-_spread(r["_v"]), r["_v"])):
+            v = row["_v"]
+            for i in range(row["_left"]):
+
+                def cost(k: int, v=v) -> tuple:
+                    new = [[x + (c if f == k else 0) for x, c in zip(own, v, strict=True)] for f, own in enumerate(load)]
+                    return sum(_spread([own[j] / totals[j] for own in new]) for j in range(len(names))), sum(load[k]), k
+
+                k = min(range(n_splits), key=cost)
+                load[k] = [x + c for x, c in zip(load[k], v, strict=True)]
+                yield v, i, k
+
+    return _place_groups(df, group, vectors, place, n_splits=n_splits, seed=seed, fold=fold)
 
 
 def _spread(x: list[float]) -> float:

@@ -227,9 +227,8 @@ def fold_group(spark, d):
 
 @query("SELECT 0::BIGINT AS leaking_groups, 5::BIGINT AS folds")
 def fold_stratified_group(spark, d):
-    t = read(spark, d, "orders").withColumn("g", F.col("o_custkey") % 50)
-    t = splits.stratified_group_folds(t.select("o_orderkey", "g", "o_orderstatus"), "g", F.col("o_orderstatus"))
-    return splits.leaking_groups(t, "g").agg(F.count(F.lit(1)).alias("leaking_groups")).join(t.agg(F.countDistinct("fold").alias("folds")))
+    t = splits.stratified_group_folds(read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_custkey", F.col("o_orderstatus"))
+    return splits.leaking_groups(t, "o_custkey").agg(F.count(F.lit(1)).alias("leaking_groups")).join(t.agg(F.countDistinct("fold").alias("folds")))
 
 
 @query(f"WITH t AS ({_P}) SELECT fold, count(*)::BIGINT AS rows, round(avg(y), 4) AS target_mean, round(stddev_samp(y), 4) AS target_std, round(min(y), 4) AS target_min, round(max(y), 4) AS target_max, round(count(*) / (SELECT count(*) FROM t), 4) AS fraction FROM t GROUP BY fold")

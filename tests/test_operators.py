@@ -106,6 +106,25 @@ def test_group_folds(spark):
     assert {r["count"] for r in s.groupBy("fold", "y").count().collect()} == {6}
 
 
+def test_group_folds_are_balanced_over_many_groups(spark):
+    # 120,000 groups of one or two rows; one row in 300 is of the rare stratum
+    t = spark.range(160_000).select((F.col("id") % 120_000).alias("g"), (F.pmod(F.xxhash64("id"), F.lit(300)) == 0).cast("int").alias("y"))
+    for placed in (splits.stratified_group_folds(t, "g", F.col("y")), splits.group_folds(t, "g")):
+        assert placed.count() == 160_000 and splits.leaking_groups(placed, "g").isEmpty()
+        n = {r["fold"]: r for r in placed.groupBy("fold").agg(F.count("y").alias("rows"), F.sum("y").alias("rare")).collect()}
+        assert sorted(n) == [0, 1, 2, 3, 4] and max(r["rows"] for r in n.values()) - min(r["rows"] for r in n.values()) <= 5
+    placed = splits.stratified_group_folds(t, "g", F.col("y")).groupBy("fold").agg(F.sum("y").alias("rare")).agg(F.max("rare") - F.min("rare")).first()[0]
+    assert placed <= 2
+
+
+def test_stratified_groups_of_orders(spark, sf):
+    t = splits.stratified_group_folds(spark.read.parquet(f"{sf}/orders.parquet"), "o_custkey", F.col("o_orderstatus"))
+    largest = t.groupBy("o_custkey").count().agg(F.max("count")).first()[0]
+    sizes = t.groupBy("o_orderstatus", "fold").count().groupBy("o_orderstatus").agg(F.count("fold").alias("folds"), (F.max("count") - F.min("count")).alias("gap")).collect()
+    assert all(r["folds"] == 5 and r["gap"] <= largest for r in sizes)
+
+
+
 def test_time_folds(spark):
     t = spark.range(90).select(F.col("id").alias("k"), F.expr("timestamp'2026-01-01' + make_interval(0,0,0,0,cast(id % 30 as int))").alias("ts"))
     f = splits.time_folds(t, "ts")
