@@ -91,6 +91,21 @@ def _compare(keep_at: float, size_ratio: float):
     return run
 
 
+def _keyed(k: int):
+    """Texts that have words, with their set fingerprints."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh3_64_intdigest
+
+        hashes = WordHashes()
+        for pdf in batches:
+            sets = [(t, shingles(t, hashes, k)) for t in pdf["text"]]
+            rows = [(int(np.uint64(xxh3_64_intdigest(s.tobytes())).astype(np.int64)), t) for t, s in sets if len(s)]
+            yield pd.DataFrame({"k": pd.array([r[0] for r in rows], "Int64"), "text": pd.array([r[1] for r in rows], "string")})
+
+    return run
+
+
 def _verify(threshold: float, k: int):
     """Exact Jaccard within a block or between two blocks of one candidate group (rows sorted by task)."""
 
@@ -196,7 +211,7 @@ def jaccard_groups(docs: DataFrame, *, threshold: float = 0.8, words: int = 5, r
     buckets = to_compare[0]
     for more in to_compare[1:]:
         buckets = buckets.union(more)
-    keep_at = max(0.0, threshold - 0.15)
+    keep_at = max(0.0, threshold - 0.22)  # of 128 coordinates, at least so many agree at the threshold but for about 1 pair in 10^8
     near = buckets.join(sketch, "k").repartition("path").sortWithinPartitions("path").mapInPandas(_compare(keep_at, threshold), "a long, b long")
     for more in edges:
         near = near.union(more)
@@ -206,6 +221,10 @@ def jaccard_groups(docs: DataFrame, *, threshold: float = 0.8, words: int = 5, r
     members = groups.join(counts, "g").join(reps.select(F.col("k").alias("node"), "doc", "times"), "node")
     member = members.select("g", F.col("node").alias("k"), "doc", "times", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks")
     texts = member.join(base.filter("doc_id is not null"), member["doc"] == base["doc_id"]).drop("doc_id")
+    unnamed = base.filter("doc_id is null and text is not null").select("text")
+    if not unnamed.isEmpty():  # sets that occur without a doc_id only are found by their fingerprints
+        own = unnamed.mapInPandas(_keyed(words), "k long, text string").join(member.filter("doc is null").select("k"), "k", "left_semi").dropDuplicates(["k"])
+        texts = texts.unionByName(member.filter("doc is null").join(own, "k"))
     tasks = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     tasks = tasks.select(F.xxhash64("g", "i", "j").alias("task"), "k", "times", "block", "i", "j", "text")
     found = cut(tasks.repartition("task").sortWithinPartitions("task").mapInPandas(_verify(threshold, words), "a long, b long, w long"))

@@ -89,6 +89,14 @@ def test_jaccard_on_odd_tables(odd, none, spark):
     assert ngram_jaccard.drop_near_duplicates(odd).columns == odd.columns
 
 
+def test_jaccard_verifies_rows_without_doc_id(spark):
+    words = [f"w{i}" for i in range(80)]
+    near = " ".join(["other", *words[1:]])
+    t = spark.createDataFrame([(1, " ".join(words)), (None, near), (None, " ".join([*words[:-1], "last"])), (2, "nothing alike in here at all")], "doc_id long, text string")
+    got = sorted(rows(ngram_jaccard.jaccard_groups(t), "doc_id", "n_links", "component_id"), key=str)
+    assert got == sorted([(1, 2, 1), (None, 2, 1), (None, 2, 1), (2, 0, 2)], key=str)
+
+
 # 1 and 7: vectors
 
 
