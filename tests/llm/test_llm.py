@@ -97,6 +97,37 @@ def test_jaccard_verifies_rows_without_doc_id(spark):
     assert got == sorted([(1, 2, 1), (None, 2, 1), (None, 2, 1), (2, 0, 2)], key=str)
 
 
+def test_near_duplicates_are_dropped_by_row(spark):
+    words = [f"w{i}" for i in range(80)]
+    text, near, other = " ".join(words), " ".join([*words[:-1], "last"]), "nothing alike in here at all"
+    data = [(3, text, "x"), (4, near, "x"), (None, near, "x"), (4, other, "x"), (None, text, "y"), (None, text, "y"), (5, other + " but more of it", "x"), (3, text, "x")]
+    t = spark.createDataFrame(data, "doc_id long, text string, row string").withColumn("_row", F.lit(1))
+    links = sorted(rows(ngram_jaccard.jaccard_groups(t), "doc_id", "n_links"), key=str)
+    assert links == sorted([(3, 5), (4, 5), (None, 5), (4, 0), (None, 5), (None, 5), (5, 0), (3, 5)], key=str)
+    left = ngram_jaccard.drop_near_duplicates(t)
+    assert left.columns == t.columns
+    assert sorted(rows(left, "doc_id", "text", "row"), key=str) == sorted([(3, text, "x"), (None, near, "x"), (4, other, "x"), (None, text, "y"), (None, text, "y"), (5, other + " but more of it", "x")], key=str)
+
+
+def test_near_copies_leave_at_their_first_bucket(spark):
+    """A large group of near copies, links across its border, and a passage that many share: no link is lost, and rows don't multiply."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(900)]
+    base, texts = rng.choices(vocabulary, k=140), {}
+    for i in range(150):
+        w = list(base)
+        w[rng.randrange(20)] = f"new{i}"
+        texts[i] = " ".join(w)
+    edge = list(base)
+    for j in (30, 50, 70):  # near some of the group, not all
+        edge[j] = "edge"
+    texts[200] = " ".join(edge)
+    passage = " ".join(rng.choices(vocabulary, k=60))
+    texts |= {i: f"{passage} {' '.join(rng.choices(vocabulary, k=90))}" for i in range(300, 400)}
+    found = ngram_jaccard.jaccard_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), small=12, block=40)
+    assert {r["doc_id"]: (r["n_links"], r["component_id"]) for r in found.collect()} == groups_by_force(texts)
+
+
 # 1 and 7: vectors
 
 
