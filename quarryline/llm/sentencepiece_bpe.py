@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 import struct
 from collections.abc import Iterator
@@ -48,7 +47,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 class PieceModel:
     """A SentencePiece BPE model with byte fallback and identity normalisation; encodes and decodes as the library does."""
 
-    def __init__(self, path: str, most_words: int = 300_000, rounds: int = 256):
+    def __init__(self, path: str, most_words: int = 300_000):
         pieces, trainer, normalizer = [], {}, {}
         with open(path, "rb") as f:
             for field, value in _fields(f.read()):
@@ -74,9 +73,10 @@ class PieceModel:
         self._build_decoding(pieces)
         long = "".join(p for p, _, t in pieces if t == NORMAL and len(p) > 1)
         alone = "".join(c for c in "\n\r\t" if c not in long)
-        self.split = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else ""))
         self.words: dict[str, bytes] = {}
-        self.most_words, self.rounds = most_words, rounds
+        self.most_words = most_words
+        words = f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else "")
+        self.split = re.compile(f"{SPACE}{{{n}}}(?={SPACE})|{words}" if (n := self._space_block()) else words)
 
     def _build_merges(self, pieces: list) -> None:
         ids = {p: i for i, (p, _, t) in enumerate(pieces) if t == NORMAL}
@@ -85,6 +85,7 @@ class PieceModel:
             for c in p:
                 self.symbols.setdefault(c, len(pieces) + len(self.symbols))
         self.first_unknown = 1 + max(self.symbols.values())
+        self.longest = max(map(len, ids))
         self.no_piece = len(pieces)
         scores = sorted({s for _, s, t in pieces if t == NORMAL}, reverse=True)
         rank = {s: i for i, s in enumerate(scores)}
@@ -105,6 +106,20 @@ class PieceModel:
             own[rank[pieces[i][1]]].append(i)
         self.at_once = np.array([len(own.get(r, ())) == 1 and least[own[r][0]] > r for r in range(len(scores))])
 
+    def _space_block(self) -> int:
+        """How many spaces of a long run are merged into a piece, from the left, whatever follows; 0 if they aren't.
+
+        White space pieces may all have one rank, the last, so that a run is merged one pair after the other; as it
+        falls into such blocks, it is cut into them beforehand.
+        """
+        n = max((len(p) for p in self.symbols if set(p) == {SPACE}), default=0)
+        pair = self.symbols.get(SPACE, 0) * (2**31 + 1)
+        if n < 2 or self.pair_rank[self.pairs == pair].tolist() != [self.pair_rank.max()]:
+            return 0
+        runs = [self._merge(np.full(k, self.symbols[SPACE], np.int64), np.zeros(k, np.int64))[0].tolist() for k in range(3 * n + 1)]
+        whole = self.symbols[SPACE * n]
+        return n if all(runs[k] == [whole] * (k // n) + runs[k % n] for k in range(3 * n + 1)) else 0
+
     def _rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = left * 2**31 + right
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
@@ -115,23 +130,23 @@ class PieceModel:
         """Merge symbols (flat, each with its word's number) until no pair remains.
 
         A round finds each word's smallest pair rank and merges its leftmost pair of that rank in all words at once,
-        or all its pairs of that rank, left to right, where that can't change the order of merges. Words without a
-        pair leave the arrays. What a bounded number of rounds leaves (very long words) is merged through a heap.
+        or all its pairs of that rank, left to right, where that can't change the order of merges. In long words it
+        also merges every pair that comes first among those within `longest` symbols on both sides (see _first_around).
+        Words without a pair leave the arrays, until none is left.
         """
         done = []
         rank, to = np.full(len(sym), _NEVER), np.zeros(len(sym), np.int64)
         if len(sym) > 1:
             rank[:-1], to[:-1] = self._rank(sym[:-1], sym[1:])
             rank[:-1][word[:-1] != word[1:]] = _NEVER
-        for _ in range(self.rounds):
-            if not len(sym):
-                break
+        while len(sym):
             starts = np.nonzero(np.r_[True, word[1:] != word[:-1]])[0]
-            best = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.r_[starts, len(sym)]))
+            sizes = np.diff(np.r_[starts, len(sym)])
+            best, size = np.repeat(np.minimum.reduceat(rank, starts), sizes), np.repeat(sizes, sizes)
             live = best < _NEVER
             if not live.all():
                 done.append((sym[~live], word[~live]))
-                sym, word, rank, to, best = (x[live] for x in (sym, word, rank, to, best))
+                sym, word, rank, to, best, size = (x[live] for x in (sym, word, rank, to, best, size))
                 if not len(sym):
                     break
             at = np.nonzero(rank == best)[0]
@@ -139,6 +154,8 @@ class PieceModel:
             nth = np.arange(len(at)) - np.maximum.accumulate(np.where(run_start, np.arange(len(at)), 0))
             first = np.r_[True, word[at[1:]] != word[at[:-1]]]
             at = at[first | (self.at_once[rank[at]] & (nth % 2 == 0))]
+            if (wide := size > 2 * self.longest).any():
+                at = np.union1d(at, self._first_around(np.where(wide, rank, _NEVER)))
             sym[at] = to[at]
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
@@ -149,32 +166,27 @@ class PieceModel:
                 rank[again] = _NEVER
                 r, t = self._rank(sym[ok], sym[ok + 1])
                 rank[ok], to[ok] = np.where(word[ok] == word[ok + 1], r, _NEVER), t
-        for w in np.unique(word):
-            rest = self._merge_by_heap(sym[word == w].tolist())
-            done.append((np.array(rest, np.int64), np.full(len(rest), w)))
         sym, word = (np.concatenate([x[c] for x in done]) if done else np.empty(0, np.int64) for c in (0, 1))
         order = np.argsort(word, kind="stable")
         return sym[order], word[order]
 
-    def _merge_by_heap(self, sym: list[int]) -> list[int]:
-        after, before, alive = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1)), [True] * len(sym)
-        r, t = self._rank(np.array(sym[:-1], np.int64), np.array(sym[1:], np.int64))
-        heap = [(int(a), i, sym[i], sym[i + 1], int(b)) for i, (a, b) in enumerate(zip(r, t, strict=True)) if a < _NEVER]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b, to = heapq.heappop(heap)
-            j = after[i] if alive[i] else len(sym)
-            if j >= len(sym) or sym[i] != a or sym[j] != b:
-                continue
-            sym[i], alive[j], after[i] = to, False, after[j]
-            if after[i] < len(sym):
-                before[after[i]] = i
-            for x in (before[i], i):
-                if x >= 0 and after[x] < len(sym):
-                    r, t = self._rank(np.array([sym[x]]), np.array([sym[after[x]]]))
-                    if r[0] < _NEVER:
-                        heapq.heappush(heap, (int(r[0]), x, sym[x], sym[after[x]], int(t[0])))
-        return [s for s, ok in zip(sym, alive, strict=True) if ok]
+    def _first_around(self, rank: np.ndarray) -> np.ndarray:
+        """Places of the pairs that come first (by rank, then from the left) among all pairs up to `longest` symbols away.
+
+        Such a pair is merged before anything can reach it: until then all merges have smaller ranks, the first of them that
+        touches the surroundings joins a symbol from outside with the outermost one, and whatever grows inwards from there
+        is one symbol, which can't be longer than the longest piece.
+        """
+        n, reach = len(rank), self.longest
+        key = np.full(n + 2 * reach, _NEVER)
+        some = np.nonzero(rank < _NEVER)[0]
+        key[some + reach] = rank[some] * n + some
+        least, width = key, 1  # least[i] = min(key[i : i + width])
+        while 2 * width <= 2 * reach + 1:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        around = np.minimum(least[:n], least[2 * reach + 1 - width :][:n])
+        return some[around[some] == key[some + reach]]
 
     def _learn(self, words: list[str]) -> None:
         """Encode words not seen before, a bounded number of symbols at a time."""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -15,13 +14,14 @@ from pyspark.sql import functions as F
 
 from quarryline.llm.common import cut, mix64, with_scores
 
-ORDINARY, TOXIC = 0, 1
-#: Characters in an n-gram, longest first; each backs off to the next, and the last to the pairs that all texts share.
-ORDERS = (5, 4, 3)
-SHARED = 1 << 16
-_SLOTS = 1 << 19
+ORDINARY, TOXIC, SHARED = 0, 1, 2
+#: Characters in the longest n-grams; the class models have orders from LEAST on, the shared model those up to LEAST.
+ORDER, LEAST = 5, 3
+#: Discounts that left-out rows choose from: None is that estimated from counts of counts.
+DISCOUNTS = (None, 2.0, 4.0)
 _MARKS = "\"'()[]{}<>.,;:!?*#$%&|-_/\\«»„“”‘’…"
 _BEGIN, _END = 1, 2
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -29,9 +29,10 @@ def words_of(text: str | None) -> list[str]:
     return [w.strip(_MARKS) or w for w in (text or "").lower().split()]
 
 
-def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Of the characters of words, each with a begin and an end mark, laid out flat: the word's number, the place in the
-    word, and by n the hash of the n characters that end there (n from 0; those before the word's begin don't exist)."""
+def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the characters of words, each with a begin and an end mark, laid out flat: the word's number, whether it is a
+    word's begin, and by order n the hashes of the n characters that end there. What lies before a begin counts as
+    empty characters. The context of an n-gram is the (n - 1)-gram that ends one place before."""
     n = np.array([len(w) + 2 for w in words], np.int64)
     ends = np.cumsum(n)
     code = np.empty(int(ends[-1]) if len(words) else 0, np.uint64)
@@ -39,193 +40,241 @@ def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]
     inner[ends - 1] = inner[ends - n] = False
     code[ends - n], code[ends - 1] = _BEGIN, _END
     code[inner] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-    word = np.repeat(np.arange(len(words)), n)
-    place = np.arange(len(code)) - np.repeat(ends - n, n)
-    hashes = [np.zeros(len(code), np.uint64)]
-    for _ in range(max(ORDERS) + 1):
-        before = np.r_[np.uint64(0), hashes[-1][:-1]] if len(code) else hashes[-1]
-        hashes.append(mix64(before * np.uint64(0x9E3779B97F4A7C15) + code + np.uint64(1)))
-    return word, place, hashes
-
-
-def shared_slots(place: np.ndarray, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the pair of characters that ends at each place but a word's first, and of its first character."""
-    at = place > 0
-    pair = (hashes[2][at] & np.uint64(SHARED - 1)).astype(np.int64)
-    first = (np.r_[np.uint64(0), hashes[1][:-1]][at] & np.uint64(SHARED - 1)).astype(np.int64) if len(place) else pair
-    return pair, first
-
-
-_GRAM = np.dtype([("key", "<u8"), ("longer", "<u8"), ("context", "<u8"), ("begins", "?"), ("n", "<f4", 2)])
-
-
-def _add_up(grams: np.ndarray) -> np.ndarray:
-    """Grams once for each (key, longer), with their numbers added."""
-    _, first, inverse = np.unique(mix64(grams["key"] ^ mix64(grams["longer"])), return_index=True, return_inverse=True)
-    out = grams[first].copy()
-    for c in (0, 1):
-        out["n"][:, c] = np.bincount(inverse, weights=grams["n"][:, c], minlength=len(out))
-    return out
-
-
-def _distinct_grams(words: list[str], counts: np.ndarray, n: int, chunk: int = 20_000) -> np.ndarray:
-    """The n-grams of words with their numbers of documents by class; below the highest order, apart by the character before
-    (longer is the n-gram with it; 0 at a word's begin). Words are taken in chunks, so that memory follows the distinct n-grams."""
-    held: list[np.ndarray] = [np.empty(0, _GRAM)]
-    for i in range(0, len(words), chunk):
-        word, place, hashes = grams_of(words[i : i + chunk])
-        at = place >= n - 1
-        grams = np.empty(int(at.sum()), _GRAM)
-        grams["key"], grams["begins"], grams["n"] = hashes[n][at], place[at] == n - 1, counts[i : i + chunk][word[at]]
-        grams["context"] = np.r_[np.uint64(0), hashes[n - 1][:-1]][at]
-        grams["longer"] = np.where(grams["begins"] | (n == max(ORDERS)), np.uint64(0), hashes[n + 1][at])
-        held.append(_add_up(grams))
-        if sum(map(len, held[1:])) > len(held[0]) + 300_000:
-            held = [_add_up(np.concatenate(held))]
-    return _add_up(np.concatenate(held))
-
-
-class Table:
-    """Values by 64-bit key in a fixed number of slots with 16-bit tags; where keys meet, the larger first value stays."""
-
-    def __init__(self, tags: np.ndarray, values: np.ndarray):
-        self.tags, self.values = tags, values
-
-    @staticmethod
-    def _place(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return (keys & np.uint64(_SLOTS - 1)).astype(np.int64), (keys >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
-
-    @classmethod
-    def build(cls, keys: np.ndarray, values: np.ndarray) -> Table:
-        order = np.argsort(values.sum(axis=1), kind="stable")
-        slot, tag = cls._place(keys[order])
-        tags, held = np.zeros(_SLOTS, np.uint16), np.zeros((_SLOTS, values.shape[1]), np.float32)
-        tags[slot], held[slot] = tag, values[order]
-        return cls(tags, held)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        slot, tag = self._place(keys)
-        return np.where((self.tags[slot] == tag)[:, None], self.values[slot], np.float32(0))
+    first = np.zeros(len(code), bool)
+    first[ends - n] = True
+    keys, empty = np.zeros((ORDER + 1, len(code)), np.uint64), np.zeros(1, np.uint64)
+    for m in range(1, ORDER + 1):
+        before = np.roll(keys[m - 1], 1)
+        before[first] = empty
+        keys[m] = mix64(before * _STEP + code + np.uint64(1))
+        empty = mix64(empty * _STEP + np.uint64(1))
+    return np.repeat(np.arange(len(words)), n), first, keys
+
+
+_COUNTS = ("n0", "n1", "n2")
+
+
+_GRAM_COLUMNS = [*(f"k{m}" for m in range(ORDER, 0, -1)), *(f"c{m}" for m in range(ORDER, 0, -1)), *_COUNTS]
+_GRAM_SCHEMA = ", ".join(f"{c} long" for c in _GRAM_COLUMNS)
+
+
+def longest_grams(words: list[str], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The longest n-grams of words, with their counts (words, 3) added up: their hashes and those of their ends and contexts."""
+    at = 0
+    while at < len(words):
+        size, stop = 0, at
+        while stop < len(words) and (stop == at or size < 500_000):
+            size += len(words[stop]) + 2
+            stop += 1
+        word, begins, keys = grams_of(words[at:stop])
+        place = np.nonzero(~begins)[0]
+        _, first, inverse = np.unique(keys[ORDER][place], return_index=True, return_inverse=True)
+        sums = [np.bincount(inverse, weights=counts[at:stop, c][word[place]], minlength=len(first)).astype(np.int64) for c in range(3)]
+        first, orders = place[first], range(ORDER, 0, -1)
+        columns = (*(keys[m][first] for m in orders), *(keys[m - 1][first - 1] for m in orders))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*(c.view(np.int64) for c in columns), *sums)], _GRAM_COLUMNS)
+        at = stop
+
+
+def _count(learners):
+    """Per partition: the longest n-grams of its words, with the numbers of documents among each class's learners that have
+    a word with them, and of occurrences in all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, every, known = learners.value, Counter(), {}
+
+        def grams() -> Iterator[pa.RecordBatch]:
+            words = list(every)
+            counts = np.zeros((len(words), 3), np.int64)
+            counts[:, SHARED] = list(every.values())
+            if known:
+                counts[:, :SHARED] = [known.get(w, (0, 0)) for w in words]
+            yield from longest_grams(words, counts)
+            every.clear(), known.clear()
+
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                words = words_of(text.as_py())
+                every.update(words)
+                if (label := of.get(doc)) is not None:
+                    for w in set(words):
+                        known.setdefault(w, [0, 0])[label] += 1
+            if len(every) > 300_000:
+                yield from grams()
+        yield from grams()
+
+    return run
+
+
+def gram_counts(longest: DataFrame) -> list[DataFrame]:
+    """From the longest n-grams of parts of the corpus, by order from the longest: (key, context, n0, n1, n2).
+
+    The longest n-grams have their counts added up; a shorter one has the number of its different longer
+    ones (by the character before), of each class and of all texts: the Kneser-Ney counts. They grow with the corpus.
+    """
+    of = cut(longest.groupBy(f"k{ORDER}").agg(*(F.first(c).alias(c) for c in _GRAM_COLUMNS[1 : 2 * ORDER]), *(F.sum(c).alias(c) for c in _COUNTS)))
+    out = [of]
+    for m in range(ORDER - 1, 0, -1):
+        rest = [c for c in of.columns if c[0] in "kc" and int(c[1:]) <= m and c != f"k{m}"]
+        of = of.groupBy(f"k{m}").agg(*(F.first(c).alias(c) for c in rest), *(F.sum((F.col(c) > 0).cast("long")).alias(c) for c in _COUNTS))
+        out.append(of)
+    return [t.select(F.col(f"k{m}").alias("key"), F.col(f"c{m}").alias("context"), *_COUNTS) for m, t in zip(range(ORDER, 0, -1), out, strict=True)]
+
+
+def _needed(grams: DataFrame, m: int) -> DataFrame:
+    """Those n-grams of order m that tell the classes apart: above LEAST those that a class has seen, at LEAST those in a
+    context that a class has seen (elsewhere both classes pass everything on, alike), below it all."""
+    if m > LEAST:
+        return grams.filter("n0 + n1 > 0")
+    return grams.join(grams.filter("n0 + n1 > 0").select("context").distinct(), "context", "left_semi") if m == LEAST else grams
+
+
+def discounts(counts: np.ndarray, fixed: float | None = None, n: list[int] | None = None) -> np.ndarray:
+    """What is taken off each count: a fixed discount, or those for 1, 2 and 3 or more that the numbers n of n-grams
+    counted 1, 2, 3 and 4 times give (of counts, unless given)."""
+    if fixed is not None:
+        return np.minimum(counts, fixed)
+    n = n or [int(np.sum(counts == i)) for i in range(1, 5)]
+    y = n[0] / max(1, n[0] + 2 * n[1])
+    by = np.array([0.0, *(min(i, max(0.0, i - (i + 1) * y * n[i] / max(1, n[i - 1]))) for i in (1, 2, 3))])
+    return np.where(counts > 0, np.minimum(counts, by[np.minimum(counts, 3).astype(np.int64)]), 0)
+
+
+def gather(grams: list[DataFrame]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]]:
+    """What scoring needs of gram_counts: by order (key, context, counts), and how many n-grams of all texts are counted 1, 2,
+    3 and 4 times. Its size is bounded by the texts of the labelled sample times the alphabet."""
+    found = []
+    for m, table in zip(range(ORDER, 0, -1), grams, strict=True):
+        n = table.agg(*(F.sum((F.col("n2") == i).cast("long")) for i in range(1, 5))).first()
+        t = _needed(table, m).toArrow()
+        key, context = (t.column(c).to_numpy().view(np.uint64) for c in ("key", "context"))
+        found.append((key, context, np.stack([t.column(c).to_numpy() for c in _COUNTS], 1), [x or 0 for x in n]))
+    return found
+
+
+def shares_of(found: list[tuple], fixed: float | None) -> list[tuple]:
+    """Parts of a Model from what gather returns: by order from 0, sorted keys of n-grams, for each the share that either
+    class and the shared model keep for it, and the share that they pass on after it (1 where they haven't seen it)."""
+    kept_by, passed_by = {}, {}
+    for m, (key, context, counts, shared_n) in zip(range(ORDER, 0, -1), found, strict=True):
+        contexts, of = np.unique(context, return_inverse=True)
+        kept, passed = np.zeros((len(key), 3), np.float32), np.ones((len(contexts), 3), np.float32)
+        for c in (ORDINARY, TOXIC, SHARED):
+            off = discounts(counts[:, c], fixed) if c != SHARED else discounts(counts[:, c], None, shared_n)
+            total = np.bincount(of, weights=counts[:, c], minlength=len(contexts))
+            kept[:, c] = (counts[:, c] - off) / np.maximum(total[of], 1e-9)
+            passed[:, c] = np.where(total > 0, np.maximum(np.bincount(of, weights=off, minlength=len(contexts)), 1e-4) / np.maximum(total, 1e-9), 1)
+        kept_by[m], passed_by[m - 1] = (key, kept), (contexts, passed)
+    parts, none = [], (np.empty(0, np.uint64), np.empty((0, 3), np.float32))
+    for m in range(ORDER + 1):
+        (key, kept), (contexts, passed) = kept_by.get(m, none), passed_by.get(m, none)
+        keys = np.union1d(key, contexts)
+        values = np.zeros((len(keys), 6), np.float32)
+        values[:, 3:] = 1
+        values[np.searchsorted(keys, key), :3] = kept
+        values[np.searchsorted(keys, contexts), 3:] = passed
+        parts.append((keys, values))
+    return parts
+
+
+_UNSEEN = np.array([0, 0, 0, 1, 1, 1], np.float32)
+
+
+class Lookup:
+    """Values of sorted 64-bit keys, which are hashes, through an open-addressed table; absent keys have those of _UNSEEN."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = np.r_[keys, np.zeros(1, np.uint64)], np.r_[values, _UNSEEN[None]]
+        self.mask = np.uint64((1 << (2 * len(keys) + 1).bit_length()) - 1)
+        self.slots = np.full(int(self.mask) + 1, len(keys), np.int32)
+        rows, slot = np.arange(len(keys), dtype=np.int32), keys & self.mask
+        while len(rows):
+            free = self.slots[slot] == len(keys)
+            self.slots[slot[free]] = rows[free]
+            left = self.slots[slot] != rows
+            rows, slot = rows[left], (slot[left] + np.uint64(1)) & self.mask
+
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        slot = wanted & self.mask
+        row, none = self.slots[slot], len(self.keys) - 1
+        left = np.nonzero((row != none) & (self.keys[row] != wanted))[0]
+        while len(left):
+            slot[left] = (slot[left] + np.uint64(1)) & self.mask
+            row[left] = now = self.slots[slot[left]]
+            left = left[(now != none) & (self.keys[now] != wanted[left])]
+        return self.values[row]
 
 
 class Model:
     """Interpolated Kneser-Ney over the characters of words, one for each class.
 
-    At the highest order, and for n-grams at a word's begin, counts are numbers of documents; at lower orders they are
-    numbers of different characters before. Each order backs off to the next, and the last to the counts of pairs in
-    all texts, the same for both classes: what a class has seen too rarely to outlive the discount counts the same.
+    Counts of the longest n-grams are numbers of documents that have a word with them (of all texts: occurrences), those
+    of shorter ones numbers of different characters before. The class models back off from ORDER to LEAST and then to
+    the shared model of all texts, which backs off from LEAST down to single characters and to 1 / 200: what a class has
+    seen too rarely to outlive the discount counts as it does for the other class. In contexts that neither class has
+    seen the shared model is taken below LEAST only, the same for both.
     """
 
-    def __init__(self, parts: tuple, most_words: int = 400_000):
-        shared, tables = parts
-        self.pair, self.first = shared
-        self.tables = [(n, Table(*gram), Table(*context)) for n, gram, context in tables]
+    def __init__(self, parts: list[tuple], most_words: int = 400_000):
+        self.tables = [Lookup(*part) for part in parts]
         self.seen: dict[str, float] = {}
         self.most_words = most_words
 
-    @staticmethod
-    def learn(shared: np.ndarray, words: list[str], counts: np.ndarray, discount: float = 3.0) -> tuple:
-        """Parts of a model, of a fixed size, from the shared pair counts and (words, 2) numbers of documents by class."""
-        tables = []
-        for n in ORDERS:
-            found = _distinct_grams(words, counts, n)
-            unique, first, inverse = np.unique(found["key"], return_index=True, return_inverse=True)
-            begins, context = found["begins"][first], found["context"][first]
-            total = np.zeros((len(unique), 2))
-            for c in (0, 1):
-                raw = np.bincount(inverse, weights=found["n"][:, c], minlength=len(unique))
-                kinds = np.bincount(inverse, weights=found["n"][:, c] > 0, minlength=len(unique))
-                total[:, c] = raw if n == max(ORDERS) else np.where(begins, raw, kinds)
-            del found, inverse
-            kept = np.maximum(total - discount, 0)
-            contexts, of = np.unique(context, return_inverse=True)
-            sums = np.stack([np.bincount(of, weights=total[:, c], minlength=len(contexts)) for c in (0, 1)], 1)
-            rest = sums - np.stack([np.bincount(of, weights=kept[:, c], minlength=len(contexts)) for c in (0, 1)], 1)
-            share = kept / np.maximum(sums[of], 1e-9)
-            some, used = (kept > 0).any(axis=1), (rest < sums).any(axis=1)
-            # Of contexts the taken share is stored, so that an absent one passes everything on.
-            taken = 1 - rest / np.maximum(sums, 1e-9)
-            gram_table, context_table = Table.build(unique[some], share[some]), Table.build(contexts[used], np.where(sums[used] > 0, taken[used], 0))
-            tables.append((n, (gram_table.tags, gram_table.values), (context_table.tags, context_table.values)))
-        pair = (shared[0] + 0.1).astype(np.float64)
-        return (pair, shared[1] + 0.1 * 200.0), tables
-
-    def _gains(self, words: list[str]) -> np.ndarray:
-        word, place, hashes = grams_of(words)
-        at = place > 0
-        slots = shared_slots(place, hashes)
-        base = self.pair[slots[0]] / self.first[slots[1]]
-        p = np.stack([base, base], 1)
-        for n, grams, contexts in reversed(self.tables):
-            ok = place[at] >= n - 1
-            own = grams(hashes[n][at][ok])
-            left = 1 - contexts(np.r_[np.uint64(0), hashes[n - 1][:-1]][at][ok])
-            p[ok] = own + np.maximum(left, 1e-4) * p[ok]
-        return np.bincount(word[at], weights=np.log(p[:, TOXIC]) - np.log(p[:, ORDINARY]), minlength=len(words))
+    def log_likelihoods(self, words: list[str]) -> np.ndarray:
+        """(words, 2): each word's log-likelihood under the ordinary and the toxic model."""
+        word, begins, keys = grams_of(words)
+        at = np.nonzero(~begins)[0]
+        found = [table(k) for table, k in zip(self.tables, keys, strict=True)]
+        p = np.full((len(at), 2), 1 / 200)
+        for m in range(1, LEAST + 1):
+            p = found[m][at, 2:3] + found[m - 1][at - 1, 5:6] * p
+        for m in range(LEAST, ORDER + 1):
+            p = found[m][at, :2] + found[m - 1][at - 1, 3:5] * p
+        p = np.log(p)
+        return np.stack([np.bincount(word[at], weights=p[:, c], minlength=len(words)) for c in (ORDINARY, TOXIC)], 1)
+
+    def know(self, words: set[str]) -> None:
+        """Work out the gains of words not met before, a bounded number of characters at a time."""
+        if len(self.seen) > self.most_words:
+            self.seen.clear()
+        new, at = list(words.difference(self.seen)), 0
+        while at < len(new):
+            size, stop = 0, at
+            while stop < len(new) and (stop == at or size < 200_000):
+                size += len(new[stop]) + 2
+                stop += 1
+            both = self.log_likelihoods(new[at:stop])
+            self.seen.update(zip(new[at:stop], (both[:, TOXIC] - both[:, ORDINARY]).tolist(), strict=True))
+            at = stop
 
     def gain(self, words: list[str]) -> np.ndarray:
         """Per word, the log-likelihood under the toxic model less that under the ordinary one."""
-        seen = self.seen
-        if len(seen) > self.most_words:
-            seen.clear()
-        new = list({w for w in words if w not in seen})
-        for i in range(0, len(new), 20_000):
-            seen.update(zip(new[i : i + 20_000], self._gains(new[i : i + 20_000]).tolist(), strict=True))
-        return np.fromiter(map(seen.__getitem__, words), np.float64, len(words))
-
-    def features(self, text: str | None, window: int = 16) -> tuple[float, ...]:
-        """Gains of a text: length-normalised, of its most toxic window, of its three highest words, of all words over a
-        level by the root of the length, and the length itself."""
-        g = np.clip(self.gain(words_of(text)), -8, 8)
+        try:
+            return np.fromiter(map(self.seen.__getitem__, words), np.float64, len(words))
+        except KeyError:
+            self.know(set(words))
+            return np.fromiter(map(self.seen.__getitem__, words), np.float64, len(words))
+
+    def features_of(self, texts: list[str | None]) -> list[tuple[float, ...]]:
+        """Features of texts; the words of all of them are worked out together."""
+        words = [words_of(t) for t in texts]
+        self.know(set().union(*words))
+        return [self.features(w) for w in words]
+
+    def features(self, words: list[str], window: int = 16, level: float = 2.5) -> tuple[float, ...]:
+        """Length-normalised gains of a text: of all its words, of its most toxic window, of what exceeds the level by the
+        number of words and by its root; of its three highest words; and the length itself."""
+        g = np.clip(self.gain(words), -8, 8)
         if not len(g):
             return (0.0,) * N_FEATURES
         sums = np.cumsum(np.r_[0, g])
         n = min(window, len(g))
+        over = float(np.maximum(g - level, 0).sum())
         top = np.partition(g, len(g) - min(3, len(g)))[-3:].sum()
-        return float(g.mean()), float((sums[n:] - sums[:-n]).max() / window), float(top), float(np.maximum(g - 2.5, 0).sum() / math.sqrt(len(g))), math.log1p(len(g))
-
-
-N_FEATURES = 5
-
-
-def _count(learners):
-    """Per partition: counts of character pairs of all its texts, and the words of those that learners names, once a text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, shared = learners.value, np.zeros((2, SHARED), np.int64)
-        for batch in batches:
-            counts: Counter = Counter()
-            known: dict[str, list[int]] = {}
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                words = words_of(text.as_py())
-                counts.update(words)
-                if (label := of.get(doc)) is not None:
-                    for w in set(words):
-                        known.setdefault(w, [0, 0])[label] += 1
-            words = list(counts)
-            for i in range(0, len(words), 50_000):
-                some = words[i : i + 50_000]
-                word, place, hashes = grams_of(some)
-                times = np.array([counts[w] for w in some], np.float64)[word[place > 0]]
-                for table, slots in zip(shared, shared_slots(place, hashes), strict=True):
-                    table += np.bincount(slots, weights=times, minlength=SHARED).astype(np.int64)
-            rows = list(known)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array([known[w][0] for w in rows], pa.int64()), pa.array([known[w][1] for w in rows], pa.int64()), pa.array([None] * len(rows), pa.binary())], _NAMES)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([zlib.compress(shared.tobytes(), 1)], pa.binary())], _NAMES)
+        return float(g.mean()), float((sums[n:] - sums[:-n]).max() / window), over / len(g), over / math.sqrt(len(g)), float(top), math.log1p(len(g))
 
-    return run
-
-
-_NAMES = ["word", "n0", "n1", "shared"]
-_SCHEMA = "word string, n0 long, n1 long, shared binary"
 
-
-def _add_shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(2 * SHARED, np.int64)
-    for pdf in batches:
-        for data in pdf["shared"]:
-            total += np.frombuffer(zlib.decompress(data), np.int64)
-    yield pd.DataFrame({"shared": [zlib.compress(total.tobytes(), 1)]})
+N_FEATURES = 6
 
 
 def scorer(fitted) -> Callable:
@@ -236,7 +285,7 @@ def scorer(fitted) -> Callable:
         m = Model(parts.value)
 
         def score(texts: list[str | None]) -> list[float]:
-            z = [constant + sum(a * x for a, x in zip(coefficients, m.features(t), strict=True)) for t in texts]
+            z = [constant + sum(a * x for a, x in zip(coefficients, f, strict=True)) for f in m.features_of(texts)]
             return [1 / (1 + math.exp(-max(-500.0, min(500.0, v)))) for v in z]
 
         return score
@@ -266,55 +315,65 @@ def held_out(doc_id, parts: int, part: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most_per_class: int = 2_000, calibration_share: float = 0.25):
-    """(model, scale) learnt from the texts of docs and the labelled rows of labels (doc_id, toxic).
-
-    The shared backoff counts cover every text of docs. The class counts come from a bounded sample of the labelled rows,
-    by hash, as many of either class and at most most_per_class of each, as only their ids can be broadcast;
-    calibration_share of them, and as many as most_per_class more ordinary ones, are left out of the counts and set the
-    scale (a logistic curve over the text's gains), weighted to the labels' own proportions.
-    """
-    spark = docs.sparkSession
+def _split_labels(labels: DataFrame, most_per_class: int, ordinary_times: int, left_out: float) -> tuple[dict, dict, dict]:
+    """(learners, judges, numbers of labels): doc_id -> class of a bounded sample of labelled rows, by hash."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
     known = known.withColumn("draw", F.xxhash64("doc_id", F.lit("toxicity")))
     share = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     even = min(most_per_class, share.get(0, 0), share.get(1, 0))
     judges, learn = {}, {}
-    for y, more in ((0, most_per_class), (1, 0)):
-        ids = [r["doc_id"] for r in known.filter(F.col("y") == y).orderBy("draw", "doc_id").select("doc_id").limit(even + more).collect()]
-        cut_at = even - int(calibration_share * even)
-        learn |= dict.fromkeys(ids[:cut_at], y)
-        judges |= dict.fromkeys(ids[cut_at:], y)
+    for y, times in ((0, ordinary_times), (1, 1)):
+        n = min(times * even, share.get(y, 0))
+        ids = [r["doc_id"] for r in known.filter(F.col("y") == y).orderBy("draw", "doc_id").select("doc_id").limit(n + (1 - y) * most_per_class).collect()]
+        at = n - int(left_out * n if y or n == share.get(y) else 0)
+        learn |= dict.fromkeys(ids[:at], y)
+        judges |= dict.fromkeys(ids[at:], y)
+    return learn, judges, share
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most_per_class: int = 2_000, ordinary_times: int = 6, left_out: float = 0.25):
+    """(model, scale) learnt from the texts of docs and the labelled rows of labels (doc_id, toxic).
+
+    The longest n-grams of the words of all texts are counted, and from them the Kneser-Ney counts of all shorter ones
+    (gram_counts): tables that grow with the corpus and stay distributed. Class counts come from a bounded sample of the labelled rows, by hash, as
+    only their ids can be broadcast: most_per_class toxic ones at most, and ordinary_times as many ordinary ones. What
+    scoring needs are the n-grams of that sample and the shared counts behind them; they are broadcast as sorted arrays,
+    none merged or left out. A share left_out of the sampled rows, or as many as most_per_class more ordinary ones, are left
+    out of the counts: they choose the discount (of DISCOUNTS, by their likelihood) and set the scale, a logistic curve
+    over the text's gains, weighted to the labels' own proportions.
+    """
+    spark = docs.sparkSession
+    learn, judges, share = _split_labels(labels, most_per_class, ordinary_times, left_out)
     learners = spark.sparkContext.broadcast(learn)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counted = cut(texts.mapInArrow(_count(learners), _SCHEMA))
-    shared = counted.filter("shared is not null").select("shared", F.pmod(F.hash("shared"), F.lit(64)).alias("part")).repartition("part").select("shared").mapInPandas(_add_shared, "shared binary")
-    pairs = np.zeros((2, SHARED), np.int64)
-    for row in shared.toLocalIterator():
-        pairs += np.frombuffer(zlib.decompress(bytes(row["shared"])), np.int64).reshape(2, SHARED)
-    words = counted.filter("word is not null").groupBy("word").agg(F.sum("n0").cast("float").alias("n0"), F.sum("n1").cast("float").alias("n1")).toArrow()
-    by_class = np.stack([words.column(c).to_numpy() for c in ("n0", "n1")], 1)
-    parts = spark.sparkContext.broadcast(Model.learn(pairs, words.column("word").to_pylist(), by_class))
-    del words, by_class
-    judged_by = spark.sparkContext.broadcast(judges)
+    found = gather(gram_counts(texts.mapInArrow(_count(learners), _GRAM_SCHEMA)))
+    candidates = [(d, spark.sparkContext.broadcast(shares_of(found, d))) for d in DISCOUNTS]
+    del found
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, of, rows = Model(parts.value), judged_by.value, []
+        models = [Model(parts.value) for _, parts in candidates]
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                if doc in of:
-                    rows.append((*m.features(text.as_py()), of[doc]))
-        x, y = [r[:-1] for r in rows], [r[-1] for r in rows]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], ["x", "y"])
-
-    seen = texts.mapInArrow(judge, "x array<double>, y int").toPandas()
-    if seen["y"].nunique() < 2:
-        return parts, ((2.0, 2.0, 0.2, 1.0, 0.0), -6.0)
-    y = seen["y"].to_numpy()
-    weight = np.where(y == 1, share.get(1, 1) / max(1, (y == 1).sum()), share.get(0, 1) / max(1, (y == 0).sum()))
-    coefficients, constant = logistic(np.array(seen["x"].to_list()), y, weight)
-    return parts, (tuple(map(float, coefficients)), constant)
+            x = [row for m in models for row in m.features_of(batch.column("text").to_pylist())]
+            i = np.repeat(np.arange(len(models), dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(x, pa.list_(pa.float64())), pa.array(batch.column("y").to_pylist() * len(models), pa.int32())], ["i", "x", "y"])
+
+    sample = spark.createDataFrame(list(judges.items()), "doc_id long, y int")  # bounded by most_per_class
+    judged = texts.join(F.broadcast(sample), "doc_id").select("text", "y").mapInArrow(judge, "i int, x array<double>, y int").toPandas()
+    best = None
+    for i, (_, parts) in enumerate(candidates):
+        seen = judged[judged["i"] == i]
+        y = seen["y"].to_numpy()
+        if len(set(y.tolist())) < 2:
+            return parts, ((2.0, 2.0, 0.0, 1.0, 0.2, 0.0), -6.0)
+        x = np.array(seen["x"].to_list())
+        weight = np.where(y == 1, share[1] / (y == 1).sum(), share[0] / (y == 0).sum())
+        coefficients, constant = logistic(x, y, weight)
+        z = np.clip(x @ coefficients + constant, -30, 30)
+        loss = float((weight * np.log1p(np.exp(np.where(y == 1, -z, z)))).sum())
+        if best is None or loss < best[0]:
+            best = (loss, parts, (tuple(map(float, coefficients)), constant))
+    return best[1], best[2]
 
 
 def score_toxicity(docs: DataFrame, fitted) -> DataFrame:
@@ -328,7 +387,8 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, *, parts: int = 5, par
 
     Labels are learnt only from rows whose crc32 of doc_id as text, modulo parts, isn't part. Labels that are null or
     not 0 or 1 don't count; of repeated labels the higher counts. A null doc_id is not held out and has no label.
-    Without labels of both classes the scale is a fixed one. An empty table gives an empty result.
+    A null or empty text has no gains: its score is the scale's constant. Repeated rows score alike. Without labels of
+    both classes the scale is a fixed one. An empty table gives an empty result.
     """
     learnt = labels.filter(~held_out(F.col("doc_id"), parts, part))
     scored = score_toxicity(docs, fit_toxicity(docs, learnt, **options))
@@ -336,7 +396,11 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, *, parts: int = 5, par
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, parts: int = 5, part: int = 0, **options) -> DataFrame:
-    """The rows of docs that aren't scored toxic, whole. A score column of docs' own, if it has one, is left alone."""
+    """The rows of docs that aren't scored toxic, whole. A score column of docs' own, if it has one, is left alone.
+
+    Null and empty texts are scored by the scale's constant alone, and so stay unless most labels are toxic. Null and
+    repeated doc_ids keep their rows; an empty table gives an empty result.
+    """
     fitted = fit_toxicity(docs, labels.filter(~held_out(F.col("doc_id"), parts, part)), **options)
     name = "_toxicity"
     while name in docs.columns:

@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,9 +200,13 @@ TEXTS = ["", "a", " ", "  a", "a  ", "\n\n x", "a" * 500, "日本語テスト",
 
 def test_pieces_equal_the_library():
     sentencepiece = pytest.importorskip("sentencepiece")
-    library, model = sentencepiece.SentencePieceProcessor(model_file=PIECES), sentencepiece_bpe.PieceModel(PIECES, rounds=8)
+    library, model = sentencepiece.SentencePieceProcessor(model_file=PIECES), sentencepiece_bpe.PieceModel(PIECES)
     rng = random.Random(1)
     cases = TEXTS + ["".join(rng.choice("abcdeè∂ thon") for _ in range(rng.randrange(400))) for _ in range(60)]
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDabcd0123+/", "eth", "aA", "日本語a", "thequickbrown.-_"):  # long words, of all kinds
+        cases += ["".join(rng.choices(letters, k=n)) for n in (33, 34, 700, 6000)]
+    cases += [f"{left}{' ' * n}{right}" for n in [*range(60), 1000] for left, right in (("", ""), ("a", "the x"), ("\n", "∂"), ("", "\n"))]
+    cases += ["international" * 900, "".join(rng.choice(["ing", "tion", "er", "an", "the"]) for _ in range(4000)), " ".join("".join(rng.choices("etaoinshr", k=60)) for _ in range(100))]
     for text, data in zip(cases, model.encode(cases), strict=True):
         ids = np.frombuffer(data, "<u4").tolist()
         assert ids == library.encode(text), text
@@ -223,8 +228,7 @@ def test_piece_queries(spark, odd, none):
 def test_bytes_equal_the_library():
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(BYTES)
-    library.encode_special_tokens = True
-    own, rng = packing.ByteEncoder(BYTES), random.Random(2)
+    own, rng = packing.ByteEncoder(BYTES, added=True), random.Random(2)
     parts = [" ", "\n", "a", "the", "  ", "\t", ".", "é", "1", "'s", "日", " x", "\r", "\x1c", "　", "\xa0", "<|endoftext|>", "!!"]
     for text in TEXTS + ["".join(rng.choices(parts, k=rng.randrange(14))) for _ in range(1500)]:
         assert np.frombuffer(own(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
@@ -364,6 +368,85 @@ def test_labels_that_may_not_be_learnt_change_nothing(spark):
     assert a == b
 
 
+def plain_kneser_ney(words, words_of_all, fixed):
+    """word -> log-likelihood under a model of words {word: count} that backs off to one of words_of_all, with dictionaries."""
+
+    def counts(of):
+        out = {m: {} for m in range(1, 6)}
+        for w, n in of.items():
+            marked = [0] * 4 + [1, *map(ord, w), 2]
+            for i in range(5, len(marked)):
+                g = tuple(marked[i - 4 : i + 1])
+                out[5][g] = out[5].get(g, 0) + n
+        for m in range(4, 0, -1):
+            for g in out[m + 1]:
+                out[m][g[1:]] = out[m].get(g[1:], 0) + 1
+        return out
+
+    def taken(table, n):
+        if fixed[0] is not None:
+            return min(n, fixed[0])
+        of = [sum(v == i for v in table.values()) for i in range(1, 5)]
+        y = of[0] / max(1, of[0] + 2 * of[1])
+        k = min(n, 3)
+        return min(n, max(0.0, min(k, k - (k + 1) * y * of[k] / max(1, of[k - 1]))))
+
+    def p(tables, g, m, below):
+        table = tables[m]
+        inside = {x: n for x, n in table.items() if x[:-1] == g[-m:-1]}
+        total = sum(inside.values())
+        if not total:
+            return below
+        off = {x: taken(table, n) for x, n in inside.items()}
+        return (inside.get(g[-m:], 0) - off.get(g[-m:], 0)) / total + max(sum(off.values()), 1e-4) / total * below
+
+    own, every = counts(words), counts(words_of_all)
+
+    def score(w):
+        marked, out = [0] * 4 + [1, *map(ord, w), 2], 0.0
+        for i in range(5, len(marked)):
+            g, q = tuple(marked[i - 4 : i + 1]), 1 / 200
+            keep, fixed[0] = fixed[0], None
+            for m in range(1, 4):
+                q = p(every, g, m, q)
+            fixed[0] = keep
+            for m in range(3, 6):
+                q = p(own, g, m, q)
+            out += math.log(q)
+        return out
+
+    return score
+
+
+def longest_grams(spark, data):
+    """The longest n-grams of rows (word, n0, n1, n2), in three parts."""
+    parts = [b for i in range(3) for b in toxicity.longest_grams([d[0] for d in data[i::3]], np.array([d[1:] for d in data[i::3]], np.int64).reshape(-1, 3))]
+    return spark.createDataFrame(pa.Table.from_batches(parts))
+
+
+@pytest.mark.parametrize("fixed", [None, 2.0])
+def test_kneser_ney_equals_a_plain_model(spark, fixed):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices(["ba", "be", "zo", "ra", "xi", "é"], k=rng.randint(1, 4)))
+    data = [(w, *rng.choice([(0, 0), (3, 0), (0, 2), (1, 4), (1, 1)]), rng.randint(1, 9)) for w in sorted({word() for _ in range(150)})]
+    grams = toxicity.gram_counts(longest_grams(spark, data))
+    model = toxicity.Model(toxicity.shares_of(toxicity.gather(grams), fixed))
+    words = [*(d[0] for d in data[:20]), "unseen", "baba", "zoé", "🙂", "x" * 300]
+    got = model.log_likelihoods(words)
+    ordinary, toxic = (plain_kneser_ney({d[0]: d[1 + c] for d in data if d[1 + c]}, {d[0]: d[3] for d in data}, [fixed]) for c in (0, 1))
+    assert got[:20] == pytest.approx(np.array([(ordinary(w), toxic(w)) for w in words[:20]]), rel=1e-5)
+    assert model.gain(words) == pytest.approx([toxic(w) - ordinary(w) for w in words], rel=1e-4, abs=1e-4)
+
+
+def test_counts_grow_with_all_texts(spark):
+    """What the model gathers covers words that no learner has, none left out or merged."""
+    few = [("alpha", 1, 0, 1), ("beta", 0, 1, 1)]
+    more = few + [(f"w{i:05d}", 0, 0, 1) for i in range(3000)]
+    for data in (few, more):
+        plain = {(" " * 4 + "^" + w + "$")[i - 4 : i + 1] for w, *_ in data for i in range(5, len(w) + 6)}
+        assert toxicity.gram_counts(longest_grams(spark, data))[0].count() == len(plain)
+
+
 def test_non_negative_risk():
     rng = np.random.default_rng(0)
     pos, neg = np.c_[np.ones(300), rng.normal(2, 1, 300)], np.c_[np.ones(300), rng.normal(-2, 1, 300)]
