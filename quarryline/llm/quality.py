@@ -52,6 +52,9 @@ N_MEASURES = len(MARKS) + 16
 WIDTH = 1 + N_MEASURES * (1 + len(_STEPS))
 
 
+_UPPER = np.triu_indices(WIDTH)
+
+
 def features(texts: list[str | None]) -> np.ndarray:
     """Rows of a constant, the measures, and whether each passes each step."""
     x = np.array([measures(t) for t in texts], np.float64).reshape(len(texts), N_MEASURES)
@@ -70,7 +73,8 @@ def _moments(positives):
                 sure = np.array([d in trusted for d in part.column("doc_id").to_pylist()])
                 total[0] += x.T @ x
                 total[1] += x[sure].T @ x[sure]
-        yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([t.tobytes() for t in total], pa.binary())], ["kind", "data"])
+        some = [k for k in (0, 1) if total[k].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([total[k][_UPPER].tobytes() for k in some], pa.binary())], ["kind", "data"])
 
     return run
 
@@ -83,6 +87,42 @@ def _add_moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"kind": list(total), "data": [x.tobytes() for x in total.values()]}).astype({"kind": "int32"})
 
 
+def all_moments(docs: DataFrame, trusted, *, fan_in: int = 32) -> np.ndarray:
+    """(2, WIDTH, WIDTH): second moments of all texts, and of those whose ids are trusted, added up by a tree of tasks that
+    take fan_in partial sums each, as many levels of it as the partitions need."""
+    moments = docs.mapInArrow(_moments(trusted), "kind int, data binary")
+    groups = docs.rdd.getNumPartitions()
+    while groups > 1:
+        groups = -(-groups // fan_in)
+        moments = moments.withColumn("part", F.pmod(F.hash("data"), F.lit(groups))).repartition("kind", "part").mapInPandas(_add_moments, "kind int, data binary")
+    total = np.zeros((2, WIDTH, WIDTH))
+    for row in moments.toLocalIterator():
+        total[row["kind"]][_UPPER] += np.frombuffer(bytes(row["data"]))
+    return total + np.triu(total, 1).transpose(0, 2, 1)
+
+
+def estimate_prior(unlabelled: np.ndarray, positive: np.ndarray, *, least_share: float = 0.25, z: float = 2.0) -> float:
+    """An upper estimate of the share of positives among the unlabelled, from second moments.
+
+    On any set A, U(A) >= prior * P(A), so the smallest U(A) / P(A) bounds the prior, and reaches it where A holds no
+    negatives. The sets are those that one or two of the steps cut out, on either side, whose shares the second moments
+    hold; they must hold least_share of the positives, and both shares are taken z standard errors to the safe side.
+    """
+    n_u, n_p = max(unlabelled[0, 0], 1), max(positive[0, 0], 1)
+    steps = np.arange(1 + N_MEASURES, WIDTH)
+
+    def shares(m: np.ndarray, n: float) -> np.ndarray:
+        both = m[np.ix_(steps, steps)] / n
+        one = np.diag(both)
+        return np.stack([both, one[:, None] - both, 1 - one[:, None] - one + both])
+
+    u, p = shares(unlabelled, n_u), shares(positive, n_p)
+    high = u + z * np.sqrt(np.maximum(u * (1 - u), 0) / n_u)
+    low = p - z * np.sqrt(np.maximum(p * (1 - p), 0) / n_p)
+    ratio = np.where((p >= least_share) & (low > 0), high / np.maximum(low, 1e-9), 1.0)
+    return float(np.clip(ratio.min(), 0.02, 0.98))
+
+
 def non_negative_fit(unlabelled: np.ndarray, positive: np.ndarray, prior: float, *, ridge: float = 1e-3, rounds: int = 3000) -> np.ndarray:
     """Weights that minimise the non-negative unbiased risk with the squared loss, from second moments (row 0: constant).
 
@@ -123,19 +163,18 @@ def scorer(fitted) -> Callable:
     return start
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, most_positives: int = 20_000, most_judges: int = 5_000):
+def fit_quality(docs: DataFrame, labels: DataFrame, *, most_positives: int = 20_000, most_judges: int = 5_000, prior: float | None = None):
     """(weights, scale) learnt from all texts of docs as unlabelled, and trusted positives of labels (doc_id, quality).
 
     Trusted positives are at most most_positives rows labelled 1, by hash: a bound, as their ids are broadcast. The class
-    prior is estimated as the share of 1 among all labels given. All texts enter the unlabelled risk, through
-    moments of a fixed size that partitions send. The risk's weights are then put on a scale by a logistic curve over
+    prior is estimated from them and the unlabelled texts (estimate_prior), unless given. All texts enter the unlabelled
+    risk, through moments of a fixed size that partitions send. The risk's weights are then put on a scale by a logistic curve over
     at most most_judges rows of each label that weren't trusted positives.
     """
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.min("y").alias("y"))
     known = known.withColumn("draw", F.xxhash64("doc_id", F.lit("quality")))
     share = dict(known.groupBy("y").count().collect())
-    prior = (share.get(1, 0) + 1) / (sum(share.values()) + 2)
 
     def ids(y: int, most: int) -> list[int]:
         return [r["doc_id"] for r in known.filter(F.col("y") == y).orderBy("draw", "doc_id").select("doc_id").limit(most).collect()]
@@ -147,13 +186,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, most_positives: int = 20_
     judged_by = spark.sparkContext.broadcast(judges)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    moments = texts.mapInArrow(_moments(trusted), "kind int, data binary")
-    for groups in (64, 1):
-        moments = moments.withColumn("part", F.pmod(F.hash("data"), F.lit(groups))).repartition("kind", "part").mapInPandas(_add_moments, "kind int, data binary")
-    total = np.zeros((2, WIDTH, WIDTH))
-    for row in moments.collect():
-        total[row["kind"]] += np.frombuffer(bytes(row["data"])).reshape(WIDTH, WIDTH)
-    weights = non_negative_fit(total[0], total[1], prior)
+    total = all_moments(texts, trusted)
+    weights = non_negative_fit(total[0], total[1], estimate_prior(total[0], total[1]) if prior is None else prior)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = judged_by.value
@@ -172,7 +206,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, most_positives: int = 20_
 
 
 def score_quality(docs: DataFrame, fitted) -> DataFrame:
-    """Per row of docs: doc_id, score between 0 and 1."""
+    """Per row of docs: doc_id, score between 0 and 1. A null text is scored as an empty one; every row has a score."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return with_scores(texts, "score", scorer(fitted)).select("doc_id", "score")
 
@@ -191,7 +225,11 @@ def classify_quality(docs: DataFrame, labels: DataFrame, *, parts: int = 3, part
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, *, parts: int = 3, part: int = 1, **options) -> DataFrame:
-    """The rows of docs that are scored as good, whole. A score column of docs' own, if it has one, is left alone."""
+    """The rows of docs that are scored as good, whole. A score column of docs' own, if it has one, is left alone.
+
+    A null text is scored as an empty one. Null and repeated doc_ids keep their rows, equal texts are judged alike; an
+    empty table gives an empty result.
+    """
     fitted = fit_quality(docs, labels.filter(~held_out(F.col("doc_id"), parts, part)), **options)
     name = "_quality"
     while name in docs.columns:

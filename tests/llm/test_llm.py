@@ -455,6 +455,33 @@ def test_non_negative_risk():
     assert (pos @ w > 0).mean() > 0.9 and (neg @ w < 0).mean() > 0.9
 
 
+def test_moments_equal_plain_sums_and_give_the_prior(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(["one", "Two", "three.", "4", "##"] if i % 10 >= 3 else ["$$$", "&&&", "x"], k=rng.randint(5, 40))) for i in range(600)]
+    trusted = [i for i in range(600) if i % 10 >= 3 and i % 4 == 0]
+    t = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    total = quality.all_moments(t, spark.sparkContext.broadcast(frozenset(trusted)), fan_in=2)
+    x = quality.features(texts)
+    assert np.allclose(total[0], x.T @ x) and np.allclose(total[1], x[trusted].T @ x[trusted])
+    assert 0.69 < quality.estimate_prior(*total) < 0.8
+
+
+def risk(x_u, x_p, prior, w, ridge=0.0):
+    """The non-negative risk over rows, plainly."""
+    loss = lambda z: ((1 - z) ** 2).mean() / 4
+    rest = loss(-(x_u @ w)) - prior * loss(-(x_p @ w))
+    return prior * loss(x_p @ w) + max(0.0, rest)
+
+
+def test_fit_from_moments_minimises_the_risk_over_rows():
+    rng = np.random.default_rng(1)
+    pos, neg = np.c_[np.ones(400), rng.normal([1, 0.5], 1, (400, 2))], np.c_[np.ones(400), rng.normal([-1, 0], 1, (400, 2))]
+    mixed = np.r_[pos[:200], neg[:200]]
+    w = quality.non_negative_fit(mixed.T @ mixed, pos.T @ pos, 0.5, ridge=1e-6)
+    at = risk(mixed, pos, 0.5, w)
+    assert all(risk(mixed, pos, 0.5, w + d) >= at - 1e-6 for d in rng.normal(scale=0.05, size=(200, 3)))
+
+
 # 9: pages
 
 
