@@ -13,10 +13,13 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use spark.checkpoint.dir as the cluster names it; only where it is unset (tests), a folder of our own."""
+    """Use spark.checkpoint.dir as the cluster names it; only in local mode, where all share one disk, a folder of our own
+    if it is unset. On a cluster that is an error, as other machines couldn't read such a folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quarryline-checkpoint-"))
 
 

@@ -294,12 +294,14 @@ def scorer(fitted) -> Callable:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Weighted logistic regression by Newton steps on standardised columns; coefficients of x as given, and the constant."""
+    """Weighted logistic regression by Newton steps on standardised columns; coefficients of x as given, and the constant.
+
+    The penalty is one unit at least, so that a few rows don't give large coefficients."""
     mid, spread = np.average(x, axis=0, weights=w), np.maximum(x.std(axis=0), 1e-9)
     z = np.c_[(x - mid) / spread, np.ones(len(x))]
     beta = np.zeros(z.shape[1])
     w = w / w.mean()
-    penalty = np.diag(np.r_[np.full(z.shape[1] - 1, ridge * len(x)), 1e-6])
+    penalty = np.diag(np.r_[np.full(z.shape[1] - 1, 1 + ridge * len(x)), 1e-6])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
         step = np.linalg.solve((z * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + penalty, z.T @ (w * (y - p)) - penalty @ beta)

@@ -198,7 +198,7 @@ def nearest_neighbours(
         return empty
     some = asks.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2**30)) <= int(min(1, 2 * tuning_queries / n_asks) * 2**30)).orderBy("id").limit(tuning_queries).toPandas()
     budget = n
-    if len(some) and n > 4 * shard_rows:
+    if len(some):
         q = np.asarray(some["vector"].to_list(), np.float64)
         truth = placed.select("vector", "cell").mapInPandas(_true_neighbours(spark.sparkContext.broadcast(q), k + 1), "query int, cell int, d double")
         truth = truth.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("d", "cell"))).filter(F.col("r").between(2, k + 1)).select("query", "cell").collect()

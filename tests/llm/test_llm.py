@@ -160,7 +160,7 @@ def test_vector_links_equal_brute_force(spark, cell_rows):
 def test_search_is_exact_on_small_tables(spark):
     table, data = vector_table(spark)
     found: dict = {}
-    for r in vector_search.nearest_neighbours(table, table.filter("vec_id % 50 = 0"), k=10).collect():
+    for r in vector_search.nearest_neighbours(table, table.filter("vec_id % 50 = 0"), k=10, recall=1.0).collect():
         found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     assert set(found) == {0, 50, 100, 150, 200, 250}
     own = {**{i: v for i, (v, _) in data.items()}, 1004: data[60][0]}
@@ -611,6 +611,47 @@ def test_sql(spark, sf, name):
 # The pipeline
 
 
+def test_stages_on_odd_tables(spark, odd, none, sf):
+    """Nulls, empty and repeated rows, and columns with names that the stages use themselves pass through all stages."""
+    import corpus_pipeline
+
+    for docs in (odd, none, odd.select("text", "doc_id"), odd.withColumn("task", F.lit("x")).withColumn("_row", F.col("k")).withColumn("n_chars", F.lit(1))):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf)
+            assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
+            out.collect()
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+        assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_run_computes_each_stage_once(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    t = labelled(spark, "quality", 120)
+    t.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    t.select("doc_id", F.col("y").alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    seen = {}
+
+    def counted(name, stage):
+        seen[name] = passed = spark.sparkContext.accumulator(0)
+
+        def rows_of(batches):
+            for b in batches:
+                passed.add(b.num_rows)
+                yield b
+
+        def run(*args):
+            out = stage(*args)
+            return out.mapInArrow(rows_of, out.schema)
+
+        return name, run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [counted(*s) for s in corpus_pipeline.STAGES])
+    docs = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count()
+    counts = [a.value for a in seen.values()]
+    assert counts[0] == 120 and 120 >= counts[1] == counts[2] == counts[3] == docs
+
+
 def test_pipeline(spark, sf, tmp_path):
     import corpus_pipeline
 
