@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarryline.operators.quantiles import exact_quantiles, quantile_values, quantiles_of_counts
+
 NULL_TOKEN = "<NULL>"
 SEVERITIES = ("error", "warning", "info")
 
@@ -19,29 +21,38 @@ def finite(name: str) -> Column:
 
 
 def profile_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
-    """A row per column with counts, moments and exact quantiles; all columns in one aggregate."""
-    names = ("rows", "missing", "nunique", "non_finite", "mean", "std", "min", "p01", "p25", "median", "p75", "p99", "max")
-    per = []
-    for c in columns:
-        x, raw = finite(c), F.col(c)
-        q = F.percentile(x, F.array(*map(F.lit, (0.01, 0.25, 0.5, 0.75, 0.99))))
-        std = F.when(F.count(x) > 1, F.stddev_samp(x)).when(F.count(x) == 1, 0.0)
-        values = [F.count(F.lit(1)), F.count_if(raw.isNull()), F.countDistinct(raw), F.count_if(raw.isNotNull() & x.isNull()), F.avg(x), std, F.min(x), *(q[i] for i in range(5)), F.max(x)]
-        per.append(F.struct(F.lit(c).alias("column"), *(v.cast("double").alias(n) for n, v in zip(names, values, strict=True))))
-    return df.agg(F.array(*per).alias("all")).select(F.explode("all").alias("p")).select("p.*")
+    """A row per column with counts, moments and exact quantiles, all from one pass that counts values."""
+    kinds = {f.name: f.dataType for f in df.schema}
+
+    def pair(c: str) -> Column:
+        x, whole = F.col(c).try_cast("double"), isinstance(kinds[c], T.IntegralType)
+        kind = F.when(F.col(c).isNull(), 2).when(finite(c).isNull(), 1).otherwise(0)
+        return F.struct(F.lit(c).alias("column"), kind.alias("kind"), x.alias("x"), (F.col(c).cast("bigint") if whole else F.lit(None).cast("bigint")).alias("whole"))
+
+    counts = df.select(F.explode(F.array(*map(pair, columns))).alias("p")).select("p.*").groupBy("column", "kind", "x", "whole").agg(F.count(F.lit(1)).alias("n"))
+    good, x, n = F.col("kind") == 0, F.when(F.col("kind") == 0, F.col("x")), F.col("n")
+    sums = counts.groupBy("column").agg(
+        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("kind") == 2, n)), F.lit(0)).alias("missing"), F.count_if(F.col("kind") != 2).alias("nunique"), F.coalesce(F.sum(F.when(F.col("kind") == 1, n)), F.lit(0)).alias("non_finite"),
+        (F.sum(x * n) / F.sum(F.when(good, n))).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"),
+    )
+    finite_counts = counts.filter(good)
+    spread = finite_counts.join(F.broadcast(sums.select("column", "mean")), "column").groupBy("column").agg(F.sum(n * (F.col("x") - F.col("mean")) ** 2).alias("squares"), F.sum("n").alias("k"))
+    spread = spread.select("column", F.when(F.col("k") > 1, F.sqrt(F.col("squares") / (F.col("k") - 1))).otherwise(0.0).alias("std"))
+    q = quantiles_of_counts(finite_counts.groupBy("column", "x").agg(F.sum("n").alias("n")), [0.01, 0.25, 0.5, 0.75, 0.99])
+    out = sums.join(spread, "column", "left").join(q, "column", "left")
+    names = ["rows", "missing", "nunique", "non_finite", "mean", "std", "min", *(F.col("q")[i].alias(c) for i, c in enumerate(("p01", "p25", "median", "p75", "p99"))), "max"]
+    return out.select("column", *((F.col(c).cast("double") if isinstance(c, str) else c) for c in names))
 
 
 def profile_text(df: DataFrame, columns: list[str]) -> DataFrame:
     """A row per text column: missing, blank, distinct, and lengths."""
-    per = []
-    for c in columns:
-        n = F.length(F.col(c).cast("string"))
-        q = F.percentile(n, F.array(F.lit(0.5), F.lit(0.95)))
-        per.append(F.struct(
-            F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col(c).isNull()).alias("missing"), F.count_if(F.trim(F.col(c)) == "").alias("blank"), F.countDistinct(c).alias("nunique"),
-            F.avg(n).alias("mean_length"), q[0].alias("median_length"), q[1].alias("p95_length"), F.max(n).cast("long").alias("max_length"),
-        ))
-    return df.agg(F.array(*per).alias("all")).select(F.explode("all").alias("p")).select("p.*")
+    pair = lambda c: F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v"))
+    values = df.select(F.explode(F.array(*map(pair, columns))).alias("p")).select("p.*")
+    n = F.length("v")
+    sums = values.groupBy("column").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("v").isNull()).alias("missing"), F.count_if(F.trim("v") == "").alias("blank"), F.avg(n).alias("mean_length"), F.max(n).cast("long").alias("max_length"))
+    distinct = values.filter("v is not null").select("column", F.sha2("v", 256).alias("h")).distinct().groupBy("column").agg(F.count(F.lit(1)).alias("nunique"))  # texts themselves aren't shuffled
+    q = exact_quantiles(df, {c: F.length(F.col(c).cast("string")) for c in columns}, [0.5, 0.95])
+    return sums.join(distinct, "column", "left").join(q, "column", "left").select("column", "rows", "missing", "blank", F.coalesce("nunique", F.lit(0)).alias("nunique"), "mean_length", F.col("q")[0].alias("median_length"), F.col("q")[1].alias("p95_length"), "max_length")
 
 
 def top_values(df: DataFrame, column: str, most: int = 10) -> DataFrame:
@@ -58,8 +69,9 @@ def semantic_type(df: DataFrame, columns: list[str], forced: dict[str, str] | No
     out = {c: "boolean" if isinstance(kinds[c], T.BooleanType) else "numeric" if isinstance(kinds[c], T.NumericType) else "datetime" if isinstance(kinds[c], (T.DateType, T.TimestampType)) else "" for c in columns}
     texts = [c for c in columns if not out[c]]
     if texts:
-        row = df.agg(*(x for c in texts for x in (F.percentile(F.length(c), 0.5).alias(f"{c}_n"), F.countDistinct(c).alias(f"{c}_d")))).first()
-        out |= {c: "unknown" if row[f"{c}_n"] is None else "text" if row[f"{c}_n"] >= 40 or row[f"{c}_d"] > 100 else "categorical" for c in texts}
+        by = {r["column"]: r for r in profile_text(df, texts).collect()}
+        known = {c: by[c]["median_length"] if c in by else None for c in texts}
+        out |= {c: "unknown" if known[c] is None else "text" if known[c] >= 40 or by[c]["nunique"] > 100 else "categorical" for c in texts}
     return out | (forced or {})
 
 
@@ -91,7 +103,7 @@ def ks_p_value(ks: float, n: int, m: int) -> float:
 
 def drift_psi(train: DataFrame, test: DataFrame, column: str) -> DataFrame:
     """One row: the population stability index over the deciles of train; null if they give fewer than two bins."""
-    q = train.agg(F.percentile(finite(column), F.array(*(F.lit(i / 10) for i in range(11)))).alias("q")).first()["q"]
+    q = quantile_values(train, finite(column), [i / 10 for i in range(11)])
     edges = sorted(set(q or []))
     spark = train.sparkSession
     if len(edges) < 3:
@@ -212,7 +224,7 @@ def infer_task(df: DataFrame, target: str) -> str:
     return "classification" if row["whole"] and row["k"] <= max(20, 0.05 * row["n"]) else "regression"
 
 
-def audit(train: DataFrame, test: DataFrame, *, target: str | None = None, ids: list[str] | None = None, missing_rate: float = 0.3, missing_delta: float = 0.1, drift: float = 0.1, unseen: float = 0.05, oov: float = 0.2) -> DataFrame:
+def audit(train: DataFrame, test: DataFrame, *, target: str | None = None, ids: list[str] | None = None, missing_rate: float = 0.3, missing_delta: float = 0.1, drift: float = 0.2, unseen: float = 0.1, oov: float = 0.15) -> DataFrame:
     """Findings: severity, code, column, value, message, by severity, then code, then column.
 
     Thresholds are settings; each finding's statistic is one of this module's operators over all rows.
@@ -281,8 +293,8 @@ def audit(train: DataFrame, test: DataFrame, *, target: str | None = None, ids:
             if distinct[c] <= 1:
                 say("warning", "CONSTANT_COLUMN", c, distinct[c], "one value or none")
             elif kinds[c] == "numeric":
-                ks, psi = drift_ks(train, test, c).first()["ks"], drift_psi(train, test, c).first()["psi"]
-                if (ks or 0) >= drift or (psi or 0) >= 2 * drift:
+                ks = drift_ks(train, test, c).first()["ks"]
+                if (ks or 0) >= drift:
                     say("warning", "NUMERIC_DRIFT", c, ks, "distributions differ")
             elif kinds[c] == "categorical":
                 r = drift_categories(train, test, c).first()

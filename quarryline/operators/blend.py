@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions.metrics import row_smape, smape_gradient
+from quarryline.operators.quantiles import quantile_values
 
 
 def clamp(x: Column, floor: float | None = None, ceiling: float | None = None) -> Column:
@@ -62,7 +63,7 @@ def simplex(v: np.ndarray) -> np.ndarray:
 def least_squares_weights(df: DataFrame, columns: list[str], target: str, rounds: int = 20_000) -> list[float]:
     """Simplex weights of least relative squared error: rows are scaled by their target, small ones by a floor. Spark adds up the
     Gram matrix; the driver solves its k by k problem."""
-    floor = df.filter(F.col(target) != 0).agg(F.percentile(F.abs(F.col(target)), 0.5).alias("m")).first()["m"] or 1.0
+    floor = (quantile_values(df.filter(F.col(target) != 0), F.abs(F.col(target)), [0.5]) or [1.0])[0]
     scale = F.greatest(F.abs(F.col(target)), F.lit(1e-3 * floor))
     scaled = df.select(*((F.col(c) / scale).alias(c) for c in columns), (F.col(target) / scale).alias("_y"))
     g = {(r["i"], r["j"]): r["value"] for r in gram_matrix(scaled, columns, "_y").collect()}
@@ -122,13 +123,16 @@ def effective_models(weights: list[float]) -> float:
     return math.exp(-sum(w * math.log(w) for w in weights if w > 0))
 
 
+def multiplier_scores(df: DataFrame, target: str, prediction: str, alphas: list[float], floor: float | None = None, ceiling: float | None = None) -> DataFrame:
+    """(alpha, smape) of given multipliers. Each task pairs its rows with them and adds up by multiplier; what is shuffled is a
+    sum for each multiplier and task."""
+    pairs = df.select(F.col(target).alias("y"), F.col(prediction).alias("p"), F.explode(F.array(*map(F.lit, alphas))).alias("alpha"))
+    return pairs.groupBy("alpha").agg(F.avg(row_smape(F.col("y"), clamp(F.col("p") * F.col("alpha"), floor, ceiling))).alias("smape"))
+
+
 def alpha_grid(df: DataFrame, target: str, prediction: str, *, low: float = 0.5, high: float = 2.0, points: int = 129, floor: float | None = None, ceiling: float | None = None) -> DataFrame:
-    """(alpha, smape) over a logarithmic grid. One pass: each multiplier is a column of one aggregate, so rows aren't multiplied."""
-    grid = [low * (high / low) ** (i / (points - 1)) for i in range(points)]
-    y, p = F.col(target), F.col(prediction)
-    scores = df.agg(F.array(*(F.avg(row_smape(y, clamp(p * a, floor, ceiling))) for a in grid)).alias("s"))
-    alphas = F.array(*map(F.lit, grid))
-    return scores.select(F.explode(F.arrays_zip(alphas.alias("alpha"), F.col("s").alias("smape"))).alias("z")).select("z.alpha", "z.smape")
+    """(alpha, smape) over a logarithmic grid."""
+    return multiplier_scores(df, target, prediction, [low * (high / low) ** (i / (points - 1)) for i in range(points)], floor, ceiling)
 
 
 def best_multiplier(df: DataFrame, target: str, prediction: str, *, tolerance: float = 1e-10, **limits) -> float:
@@ -138,9 +142,11 @@ def best_multiplier(df: DataFrame, target: str, prediction: str, *, tolerance: f
     if not values or values[0] is None:
         return 1.0
     order = sorted(range(len(rows)), key=lambda i: (values[i], abs(alphas[i] - 1)))[:3]
-    y, p = F.col(target), F.col(prediction)
-    floor, ceiling = limits.get("floor"), limits.get("ceiling")
-    score = lambda xs: list(df.agg(*(F.avg(row_smape(y, clamp(p * x, floor, ceiling))).alias(str(i)) for i, x in enumerate(xs))).first())
+
+    def score(xs: list[float]) -> list[float]:
+        by = {r["alpha"]: r["smape"] for r in multiplier_scores(df, target, prediction, sorted(set(xs)), limits.get("floor"), limits.get("ceiling")).collect()}
+        return [by[x] for x in xs]
+
     found = [(values[i], alphas[i]) for i in order]
     brackets = [(alphas[max(i - 1, 0)], alphas[min(i + 1, len(alphas) - 1)]) for i in order]
     while max(b - a for a, b in brackets) > tolerance:  # each pass divides all brackets by 16

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.operators.quantiles import exact_quantiles
+
 MISSING = "__MISSING__"
 
 
@@ -53,8 +55,12 @@ def out_of_fold_encoding(df: DataFrame, columns: list[str], target: str, *, fold
     out = df.join(F.broadcast(around), F.col(fold) == F.col("_gf"), "left").drop("_gf")
     for c in columns:
         cells = df.groupBy(_category(c).alias("_c"), F.col(fold).alias("_f")).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"))
-        rest = cells.alias("a").join(cells.alias("b"), (F.col("a._c") == F.col("b._c")) & other, "left")
-        rest = rest.groupBy(F.col("a._c").alias("_c"), F.col("a._f").alias("_f")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("_n"), F.sum("b.s").alias("_s"))
+        if temporal:  # a category's sums over earlier folds
+            earlier = Window.partitionBy("_c").orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
+            rest = cells.select("_c", "_f", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_n"), F.sum("s").over(earlier).alias("_s"))
+        else:
+            whole = cells.groupBy("_c").agg(F.sum("n").alias("_nc"), F.sum("s").alias("_sc"))
+            rest = cells.join(whole, "_c").select("_c", "_f", (F.col("_nc") - F.col("n")).alias("_n"), (F.col("_sc") - F.coalesce("s", F.lit(0.0))).alias("_s"))
         code = F.when(F.col("_n") == 0, F.col("_g")).otherwise((F.col("_s") + smoothing * F.col("_g")) / (F.col("_n") + smoothing))
         joined = out.join(rest, (_category(c) == F.col("_c")) & (F.col(fold) == F.col("_f")), "left")
         out = joined.withColumn(f"te_{c}", code.cast("float")).drop("_c", "_f", "_n", "_s")
@@ -63,8 +69,8 @@ def out_of_fold_encoding(df: DataFrame, columns: list[str], target: str, *, fold
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """Exact medians; 0 where a column has no value."""
-    row = df.agg(*(F.percentile(c, 0.5).alias(c) for c in columns)).first()
-    return {c: float(row[c]) if row[c] is not None else 0.0 for c in columns}
+    found = {r["column"]: r["q"][0] for r in exact_quantiles(df, {c: F.col(c) for c in columns}, [0.5]).collect()}
+    return {c: found.get(c, 0.0) for c in columns}
 
 
 def impute(df: DataFrame, values: dict[str, float]) -> DataFrame:

@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.metrics import row_smape
+from quarryline.operators.quantiles import exact_quantiles, quantile_values
 
 MISSING = "<MISSING>"
 #: Signals in product text.
-MULTIPACK = r"(?i)\b(?:pack|set|box|combo|bundle)\s+of\s+\d+|\b\d+\s*(?:x|pcs|pieces|pack)\b"
-CURRENCY = r"(?i)[₹$€£]|\b(?:rs|inr|usd|eur|gbp)\b"
-UNIT = r"(?i)\d\s*(?:kg|g|gm|mg|ml|l|ltr|oz|lb|cm|mm|inch|w|v|mah|gb|tb)\b"
+MULTIPACK = r"(?iU)\b(?:pack|set|case|bundle|lot)\s+of\s+\d+\b|\b\d+\s*[x×]\s*\d+\b|\b\d+\s*(?:pack|packs|pcs|pieces)\b"
+CURRENCY = r"(?iU)(?:₹|\$|€|£)|\b(?:rs\.?|inr|usd|eur|gbp)\b"
+UNIT = r"(?iU)\b\d+(?:\.\d+)?\s*(?:mg|g|kg|ml|l|litre|liter|oz|lb|cm|mm|m)\b"
+#: The failure modes, in this order.
+FAILURE_MODES = ("severe_underprediction", "severe_overprediction", "near_zero_prediction", "negative_prediction", "has_multipack_signal", "has_currency_signal", "has_unit_signal")
 
 
 def row_errors(df: DataFrame, target: str = "target", prediction: str = "prediction") -> DataFrame:
@@ -23,8 +26,7 @@ def row_errors(df: DataFrame, target: str = "target", prediction: str = "predict
 def price_tier(df: DataFrame, target: str = "target", cuts: tuple[float, float] | None = None) -> DataFrame:
     """df with price_tier: cheap up to the lower cut, luxury from the upper one, else mid; cuts are exact thirds unless given."""
     if cuts is None:
-        row = df.agg(F.percentile(target, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q")).first()["q"]
-        cuts = tuple(row) if row else (0.0, 0.0)
+        cuts = tuple(quantile_values(df, F.col(target), (1 / 3, 2 / 3)) or (0.0, 0.0))
     low, high = cuts
     tier = F.lit("mid") if low >= high else F.when(F.col(target) <= low, "cheap").when(F.col(target) >= high, "luxury").otherwise("mid")
     return df.withColumn("price_tier", tier)
@@ -54,40 +56,60 @@ def segment_summary(df: DataFrame, segment: str, *, key: str, target: str = "tar
     """Per segment value: 17 statistics of its rows' errors; df comes from row_errors."""
     y, p, s, a = F.col(target), F.col(prediction), F.col("row_smape"), F.col("abs_error")
     total = df.agg(F.count(F.lit(1)).alias("_rows"), F.sum("abs_error").alias("_sum"))
-    q = F.percentile(s, F.array(F.lit(0.5), F.lit(0.9)))
-    by = df.groupBy(F.coalesce(F.col(segment).cast("string"), F.lit(MISSING)).alias("segment")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(y).alias("target_mean"), F.percentile(y, 0.5).alias("target_median"), F.avg(p).alias("prediction_mean"), F.avg(p - y).alias("bias"), F.avg(a).alias("mae"),
-        F.sqrt(F.avg((p - y) * (p - y))).alias("rmse"), F.avg(s).alias("smape"), q[0].alias("median_row_smape"), q[1].alias("p90_row_smape"), F.percentile(a, 0.95).alias("p95_abs_error"),
+    rows = df.withColumn("segment", F.coalesce(F.col(segment).cast("string"), F.lit(MISSING)))
+    quantiles = exact_quantiles(rows, {"s": s, "a": a, "y": y}, (0.5, 0.9, 0.95), by=["segment"]).groupBy("segment").agg(F.map_from_entries(F.collect_list(F.struct("column", "q"))).alias("_q"))
+    q = lambda name, i: F.col("_q")[name][i]
+    by = rows.groupBy("segment").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(y).alias("target_mean"), F.avg(p).alias("prediction_mean"), F.avg(p - y).alias("bias"), F.avg(a).alias("mae"),
+        F.sqrt(F.avg((p - y) * (p - y))).alias("rmse"), F.avg(s).alias("smape"),
         (F.stddev_samp(s) / F.sqrt(F.count(F.lit(1)))).alias("smape_std_error"), F.sum(a).alias("_a"), F.avg((p < y).cast("double")).alias("underprediction_rate"),
         F.min_by(F.col(key), F.struct(-s, F.col(key))).alias("worst_id"),
-    )
-    out = by.join(F.broadcast(total)).withColumns({"share_rows": F.col("n") / F.col("_rows"), "share_abs_error": F.try_divide("_a", "_sum"), "eligible": F.col("n") >= least})
-    return out.drop("_a", "_rows", "_sum")
+    ).join(quantiles, "segment", "left")
+    by = by.withColumns({"target_median": q("y", 0), "median_row_smape": q("s", 0), "p90_row_smape": q("s", 1), "p95_abs_error": q("a", 2)})
+    out = by.join(F.broadcast(total)).withColumns({"share_rows": F.col("n") / F.col("_rows"), "share_abs_error": F.coalesce(F.try_divide("_a", "_sum"), F.lit(0.0)), "eligible": F.col("n") >= least})
+    return out.drop("_a", "_rows", "_sum", "_q")
 
 
 def rank_segments(summary: DataFrame) -> DataFrame:
     return summary.orderBy(F.desc("eligible"), F.desc("smape"), F.desc("n"), "segment")
 
 
-def failure_modes(df: DataFrame, target: str = "target", prediction: str = "prediction") -> DataFrame:
-    """Per failure mode: rows, share, smape, mae, and its share of the worst tenth; modes overlap, so flags are unpivoted."""
+def failure_modes(df: DataFrame, target: str = "target", prediction: str = "prediction", text: Column | None = None, *, floor: float = 1.0, near_zero: float = 1.0) -> DataFrame:
+    """Per failure mode: rows, share, smape, mae, and the share of its rows whose smape reaches the 0.9 quantile of all.
+
+    df comes from row_errors. The modes overlap, so flags are unpivoted. A mode without rows has count 0, prevalence 0 and
+    null measures. The signals are those of text (none without one). See rank_modes for their order.
+    """
     y, p, s = F.col(target), F.col(prediction), F.col("row_smape")
-    cut = df.agg(F.percentile(s, 0.9).alias("_cut"), F.count(F.lit(1)).alias("_rows"))
-    flags = {"severe_under": p < 0.5 * y, "severe_over": p > 2.0 * y, "near_zero_target": y < 1.0, "non_positive_prediction": p <= 0, "large_abs_error": F.col("abs_error") > 0.5 * F.abs(y), "near_exact": s <= 0.01, "moderate": (s > 0.1) & (s <= 0.5)}
-    named = F.explode(F.filter(F.array(*(F.when(c, n) for n, c in flags.items())), lambda x: x.isNotNull()))
-    hit = df.join(F.broadcast(cut)).select(named.alias("mode"), s.alias("s"), F.col("abs_error").alias("a"), (s >= F.col("_cut")).alias("worst"), "_rows")
-    return hit.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) / F.max("_rows")).alias("prevalence"), F.avg("s").alias("smape"), F.avg("a").alias("mae"), F.avg(F.col("worst").cast("double")).alias("share_in_worst_tenth"))
+    signals = text_signals(F.lit("") if text is None else text)
+    flags = (y > 0) & (p < 0.5 * y), p > 2.0 * F.greatest(y, F.lit(floor)), p <= near_zero, p < 0, signals["has_multipack"], signals["has_currency"], signals["has_unit"]
+    cut = exact_quantiles(df, {"s": s}, [0.9]).select(F.col("q")[0].alias("_cut"))
+    total = df.agg(F.count(F.lit(1)).alias("_rows"))
+    named = F.explode(F.filter(F.array(*(F.when(c, n) for n, c in zip(FAILURE_MODES, flags, strict=True))), lambda x: x.isNotNull()))
+    hit = df.select(named.alias("mode"), s.alias("s"), F.col("abs_error").alias("a")).join(F.broadcast(cut))
+    by = hit.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("smape"), F.avg("a").alias("mae"), F.avg((F.col("s") >= F.col("_cut")).cast("double")).alias("share_top_decile_errors"))
+    modes = df.sparkSession.createDataFrame([(m,) for m in FAILURE_MODES], "mode string")
+    out = modes.join(F.broadcast(by), "mode", "left").join(F.broadcast(total))
+    return out.select("mode", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.try_divide("n", "_rows"), F.lit(0.0)).alias("prevalence"), "smape", "mae", "share_top_decile_errors")
+
+
+def rank_modes(modes: DataFrame) -> DataFrame:
+    """Failure modes by falling smape, empty ones last."""
+    return modes.orderBy(F.desc_nulls_last("smape"), "mode")
 
 
-def overall(df: DataFrame, target: str = "target", prediction: str = "prediction") -> DataFrame:
+def overall(df: DataFrame, target: str = "target", prediction: str = "prediction", *, floor: float = 1.0) -> DataFrame:
     """One row of measures over all rows; df comes from row_errors."""
     y, p, s, a = F.col(target), F.col(prediction), F.col("row_smape"), F.col("abs_error")
-    q = F.percentile(s, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95), F.lit(0.99)))
-    within = lambda x: F.avg((a <= x * F.abs(y)).cast("double"))
-    return df.agg(
-        F.count(F.lit(1)).alias("n"), F.avg(s).alias("smape"), F.avg(a).alias("mae"), F.sqrt(F.avg((p - y) * (p - y))).alias("rmse"), F.avg(p - y).alias("bias"), F.percentile(a, 0.5).alias("median_abs_error"),
-        q[0].alias("median_row_smape"), q[1].alias("p90_row_smape"), q[2].alias("p95_row_smape"), q[3].alias("p99_row_smape"), within(0.1).alias("within_10"), within(0.2).alias("within_20"), F.avg((p < y).cast("double")).alias("underprediction_rate"),
+    rate = lambda c: F.avg(c.cast("double"))
+    relative = a / F.greatest(F.abs(y), F.lit(floor))
+    sums = df.agg(
+        F.count(F.lit(1)).alias("n"), F.avg(s).alias("smape"), F.avg(a).alias("mae"), F.sqrt(F.avg((p - y) * (p - y))).alias("rmse"), F.avg(p - y).alias("bias"), rate(p < y).alias("underprediction_rate"),
+        rate(p > y).alias("overprediction_rate"), rate(p == y).alias("exact_prediction_rate"), rate(relative <= 0.1).alias("within_10_percent_rate"), rate(relative <= 0.2).alias("within_20_percent_rate"),
     )
+    q = exact_quantiles(df, {"a": a, "s": s}, (0.5, 0.9, 0.95, 0.99)).agg(F.map_from_entries(F.collect_list(F.struct("column", "q"))).alias("q"))
+    names = {"median_abs_error": ("a", 0), "p90_abs_error": ("a", 1), "p95_abs_error": ("a", 2), "p99_abs_error": ("a", 3), "p90_row_smape": ("s", 1)}
+    return sums.join(F.broadcast(q)).withColumns({n: F.col("q")[c][i] for n, (c, i) in names.items()}).drop("q")
 
 
 def worst_rows(df: DataFrame, key: str, most: int = 50) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.operators.quantiles import quantile_values
+
 WARM_UP = -1
 
 
@@ -46,19 +48,21 @@ def stratified(df: DataFrame, key: str, strata: Column, *, n_splits: int = 5, se
 
 def regression_strata(df: DataFrame, target: str, *, n_splits: int = 5, bins: int = 20) -> tuple[Column, int]:
     """(stratum column, number of bins): right-closed bins between distinct quantiles, as many as give every bin n_splits
-    rows. All numbers of bins are tried in one aggregate. Raises if not even two do."""
+    rows. All numbers of bins are tried together. Raises if not even two do."""
     tries = list(range(bins, 1, -1))
-    edges = df.agg(*(F.percentile(target, F.array(*(F.lit(i / b) for i in range(b + 1)))).alias(str(b)) for b in tries)).first()
-    cuts = {b: sorted(set(edges[str(b)] or [])) for b in tries}
+    wanted = sorted({i / b for b in tries for i in range(b + 1)})
+    at = dict(zip(wanted, quantile_values(df, F.col(target), wanted) or [], strict=False))
+    cuts = {b: sorted({at[i / b] for i in range(b + 1) if at}) for b in tries}
     tries = [b for b in tries if len(cuts[b]) >= 3]
     if not tries:
         raise InfeasibleStrata("the target has too few values for bins")
     bin_of = lambda b: sum(((F.col(target) > e).cast("int") for e in cuts[b][1:-1]), F.lit(0))
-    sizes = df.agg(*(F.count_if(bin_of(b) == i).alias(f"{b}_{i}") for b in tries for i in range(len(cuts[b]) - 1))).first()
+    inner = F.array(*(F.struct(F.lit(b).alias("b"), F.array(*map(F.lit, cuts[b][1:-1])).alias("edges")) for b in tries))
+    tried = df.select(F.col(target).cast("double").alias("x"), F.explode(inner).alias("t")).filter("x is not null").groupBy("t.b", F.size(F.filter("t.edges", lambda e: F.col("x") > e)).alias("bin")).count()
+    least = {r["b"]: r["least"] for r in tried.groupBy("b").agg(F.min("count").alias("least"), F.count(F.lit(1)).alias("bins")).filter("bins >= 2").collect() if r["bins"] == len(cuts[r["b"]]) - 1}
     for b in tries:
-        n = [sizes[f"{b}_{i}"] for i in range(len(cuts[b]) - 1)]
-        if len(n) >= 2 and min(n) >= n_splits:
-            return bin_of(b), len(n)
+        if least.get(b, 0) >= n_splits:
+            return bin_of(b), len(cuts[b]) - 1
     raise InfeasibleStrata("the target has too few rows per bin")
 
 

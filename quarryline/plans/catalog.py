@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions import ids, metrics, quantities, text
-from quarryline.operators import align, audit, blend, encode, images, residuals, splits, training, validate
+from quarryline.operators import align, audit, blend, encode, images, quantiles, residuals, splits, training, validate
 from quarryline.sources import tables
 from quarryline.streaming import drift
 
@@ -146,7 +146,9 @@ _TIER = f"c AS (SELECT quantile_cont(y, 1/3::DOUBLE) AS lo, quantile_cont(y, 2/3
 @query(f"WITH t AS ({_P}), {_TIER} SELECT tier, o_orderpriority, count(*)::BIGINT AS n, round(avg(s), 6) AS smape, round(quantile_cont(s, 0.9), 6) AS p90 FROM e GROUP BY ALL")
 def segment_price_tier(spark, d):
     t = residuals.price_tier(residuals.row_errors(predicted(spark, d), "y", "p"), "y")
-    return rounded(t.groupBy(F.col("price_tier").alias("tier"), "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.avg("row_smape").alias("smape"), F.percentile("row_smape", 0.9).alias("p90")))
+    by = ["price_tier", "o_orderpriority"]
+    q = quantiles.exact_quantiles(t, {"s": F.col("row_smape")}, [0.9], by=by).select(*by, F.col("q")[0].alias("p90"))
+    return rounded(t.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("row_smape").alias("smape")).join(q, by).withColumnRenamed("price_tier", "tier"))
 
 
 @query(f"WITH t AS ({_P}) SELECT o_orderkey, round(p - y, 4) AS residual, round(abs(p - y), 4) AS abs_error, round(abs(ln(1 + p) - ln(1 + y)), 6) AS log_error, round({_S}, 6) AS row_smape FROM t")
@@ -165,20 +167,46 @@ def segment_category(spark, d):
     return rounded(residuals.segment_summary(t, "o_orderpriority", key="o_orderkey", target="y", prediction="p"), 4)
 
 
-@query(f"""WITH t AS ({_P}), e AS (SELECT *, round({_S}, 9) AS s, abs(p - y) AS a FROM t), c AS (SELECT quantile_cont(s, 0.9) AS cut, count(*) AS rows FROM e),
- m AS (SELECT unnest(list_filter([CASE WHEN p < 0.5 * y THEN 'severe_under' END, CASE WHEN p > 2 * y THEN 'severe_over' END, CASE WHEN y < 1 THEN 'near_zero_target' END, CASE WHEN p <= 0 THEN 'non_positive_prediction' END,
- CASE WHEN a > 0.5 * abs(y) THEN 'large_abs_error' END, CASE WHEN s <= 0.01 THEN 'near_exact' END, CASE WHEN s > 0.1 AND s <= 0.5 THEN 'moderate' END], lambda x: x IS NOT NULL)) AS mode, s, a, s >= cut AS w, rows FROM e, c)
- SELECT mode, count(*)::BIGINT AS n, round(count(*) / any_value(rows), 4) AS prevalence, round(avg(s), 4) AS smape, round(avg(a), 4) AS mae, round(avg(w::INT), 4) AS share_in_worst_tenth FROM m GROUP BY mode""")
+_TEXTS = ("set of 3 cups", "rice 5 kg for Rs. 40", "12 x 6 mm tiles, 4 pcs", "plain box")
+_MODES = f"""WITH t AS (SELECT o_orderkey, y, CASE o_orderkey % 9 WHEN 0 THEN 0.4::DOUBLE * y WHEN 1 THEN 2.5::DOUBLE * y WHEN 2 THEN 0.5 WHEN 3 THEN -1.0 ELSE p END AS p,
+ CASE o_orderkey % 4 {" ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TEXTS))} END AS text FROM ({_P})), e AS (SELECT *, round({_S}, 9) AS s, abs(p - y) AS a FROM t)"""
+
+
+def _errors(spark, d):
+    """Predictions with failures of every kind, and texts with signals."""
+    key = F.col("o_orderkey") % 9
+    p = F.when(key == 0, Y() * 0.4).when(key == 1, Y() * 2.5).when(key == 2, 0.5).when(key == 3, -1.0).otherwise(P())
+    t = predicted(spark, d).withColumn("p", p).withColumn("text", F.element_at(F.array(*map(F.lit, _TEXTS)), (F.col("o_orderkey") % 4 + 1).cast("int")))
+    return residuals.row_errors(t, "y", "p").withColumn("row_smape", F.round("row_smape", 9))
+
+
+@query(f"""{_MODES}, c AS (SELECT quantile_cont(s, 0.9) AS cut, count(*) AS rows FROM e),
+ f AS (SELECT s, a, cut, [y > 0 AND p < 0.5 * y, p > 2 * greatest(y, 1), p <= 1, p < 0, regexp_matches(text, '\\b(?:pack|set|case|bundle|lot)\\s+of\\s+\\d+\\b|\\b\\d+\\s*[x×]\\s*\\d+\\b|\\b\\d+\\s*(?:pack|packs|pcs|pieces)\\b', 'i'),
+ regexp_matches(text, '(?:₹|\\$|€|£)|\\b(?:rs\\.?|inr|usd|eur|gbp)\\b', 'i'), regexp_matches(text, '\\b\\d+(?:\\.\\d+)?\\s*(?:mg|g|kg|ml|l|litre|liter|oz|lb|cm|mm|m)\\b', 'i')] AS flags FROM e, c),
+ m AS (SELECT unnest(['severe_underprediction', 'severe_overprediction', 'near_zero_prediction', 'negative_prediction', 'has_multipack_signal', 'has_currency_signal', 'has_unit_signal']) AS mode, unnest(range(1, 8)) AS i)
+ SELECT mode, count(s)::BIGINT AS n, round(count(s) / (SELECT count(*) FROM e), 4) AS prevalence, round(avg(s), 4) AS smape, round(avg(a), 4) AS mae, round(avg((s >= cut)::INT), 4) AS share_top_decile_errors FROM m LEFT JOIN f ON flags[i] GROUP BY mode""")
 def failure_modes(spark, d):
-    t = residuals.row_errors(predicted(spark, d), "y", "p").withColumn("row_smape", F.round("row_smape", 9))
-    return rounded(residuals.failure_modes(t, "y", "p"), 4)
+    return rounded(residuals.failure_modes(_errors(spark, d), "y", "p", F.col("text")), 4)
+
+
+@query("SELECT * FROM (VALUES ('severe_underprediction', 0::BIGINT, 0.0::DOUBLE, NULL::DOUBLE), ('severe_overprediction', 0, 0.0, NULL), ('near_zero_prediction', 0, 0.0, NULL), ('negative_prediction', 0, 0.0, NULL), ('has_multipack_signal', 0, 0.0, NULL), ('has_currency_signal', 0, 0.0, NULL), ('has_unit_signal', 0, 0.0, NULL)) t(mode, n, prevalence, smape)")
+def failure_modes_empty(spark, d):
+    """Modes without rows are listed with a count of 0."""
+    t = residuals.row_errors(predicted(spark, d).withColumn("p", Y()), "y", "p")
+    return residuals.failure_modes(t, "y", "p").select("mode", "n", "prevalence", "smape")
+
+
+@query(f"""{_MODES} SELECT o_orderkey, regexp_matches(text, '\\bset of|\\bx \\d|pcs') AS has_multipack, contains(text, 'Rs.') AS has_currency, regexp_matches(text, '\\d (kg|mm)\\b') AS has_unit FROM t""")
+def error_signals(spark, d):
+    s = residuals.text_signals(F.col("text"))
+    return _errors(spark, d).select("o_orderkey", *(s[n].alias(n) for n in ("has_multipack", "has_currency", "has_unit")))
 
 
-@query(f"""WITH t AS ({_P}), e AS (SELECT *, {_S} AS s, abs(p - y) AS a FROM t) SELECT count(*)::BIGINT AS n, round(avg(s), 4) AS smape, round(avg(a), 4) AS mae, round(sqrt(avg((p - y) * (p - y))), 4) AS rmse, round(avg(p - y), 4) AS bias,
- round(quantile_cont(a, 0.5), 4) AS median_abs_error, round(quantile_cont(s, 0.5), 4) AS median_row_smape, round(quantile_cont(s, 0.9), 4) AS p90_row_smape, round(quantile_cont(s, 0.95), 4) AS p95_row_smape, round(quantile_cont(s, 0.99), 4) AS p99_row_smape,
- round(avg((a <= 0.1::DOUBLE * abs(y))::INT), 4) AS within_10, round(avg((a <= 0.2::DOUBLE * abs(y))::INT), 4) AS within_20, round(avg((p < y)::INT), 4) AS underprediction_rate FROM e""")
+@query(f"""{_MODES} SELECT count(*)::BIGINT AS n, round(avg(s), 4) AS smape, round(avg(a), 4) AS mae, round(sqrt(avg((p - y) * (p - y))), 4) AS rmse, round(avg(p - y), 4) AS bias,
+ round(quantile_cont(a, 0.5), 4) AS median_abs_error, round(quantile_cont(a, 0.9), 4) AS p90_abs_error, round(quantile_cont(a, 0.95), 4) AS p95_abs_error, round(quantile_cont(a, 0.99), 4) AS p99_abs_error, round(quantile_cont(s, 0.9), 4) AS p90_row_smape,
+ round(avg((p < y)::INT), 4) AS underprediction_rate, round(avg((p > y)::INT), 4) AS overprediction_rate, round(avg((p = y)::INT), 4) AS exact_prediction_rate, round(avg((a / greatest(abs(y), 1) <= 0.1::DOUBLE)::INT), 4) AS within_10_percent_rate, round(avg((a / greatest(abs(y), 1) <= 0.2::DOUBLE)::INT), 4) AS within_20_percent_rate FROM e""")
 def overall_metrics(spark, d):
-    return rounded(residuals.overall(residuals.row_errors(predicted(spark, d), "y", "p"), "y", "p"), 4)
+    return rounded(residuals.overall(_errors(spark, d), "y", "p"), 4)
 
 
 @query(f"WITH t AS ({_P}), e AS (SELECT *, {_S} AS s, abs(p - y) AS a, abs(ln(1 + greatest(p, 0)) - ln(1 + y)) AS l FROM t) SELECT o_orderkey, row_number() OVER (ORDER BY round(s, 9) DESC, round(a, 6) DESC, o_orderkey)::INT AS error_rank FROM e QUALIFY error_rank <= 50")
