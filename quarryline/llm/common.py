@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -29,6 +30,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files, broadcasts and checkpoints of rounds that are over. It does so when the driver collects
+    its garbage, which by itself may be half an hour apart."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -71,7 +79,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             out = joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
             out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))
-        return out.filter("a <> b").distinct()
+        out = out.filter("a <> b")
+        return out if large else out.distinct()
 
     def mark(pairs: DataFrame):
         return pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -83,6 +92,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if (new := mark(now)) == seen:
             break
         seen = new
+    release(edges.sparkSession)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
 
 

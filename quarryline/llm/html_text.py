@@ -15,7 +15,7 @@ from quarryline.llm.common import cut
 #: Elements by their part in the layout.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-DROPPED = {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "svg", "canvas", "object", "audio", "video", "head", "fieldset", "math"} | RAW
+DROPPED = {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "svg", "canvas", "object", "audio", "video", "head", "fieldset"} | RAW
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
     "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
@@ -27,6 +27,11 @@ DROPPED_WORDS = {
     "comment", "comments", "disqus", "replies", "sidebar", "aside", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "footer", "header", "masthead", "toolbar", "share", "sharing", "social",
     "related", "recommended", "newsletter", "subscribe", "subscription", "signup", "login", "widget", "pagination", "pager", "skip", "hidden",
 }
+#: Parts of a class name that take a dropped word back ("no-sidebar", "has-header").
+KEPT_WORDS = {"no", "not", "non", "without", "with", "has", "have", "hide", "layout", "grid", "col", "cols", "page", "wrap", "wrapper", "container", "content", "main", "body", "article", "post"}
+#: Parts that never hold the page's article, even in an article element of their own.
+FOREIGN_WORDS = {"comment", "comments", "disqus", "replies", "related", "recommended", "promo", "promotion", "sponsor", "sponsored", "ad", "ads", "advert", "adverts", "advertisement", "widget", "newsletter"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "p", "table", "tbody", "tr", "td", "th", "pre", "blockquote", "figure", "figcaption"}
 _DROPPED_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "menu", "menubar", "alert", "form"}
 #: Elements whose open tag ends a paragraph, or the element of the same kind before it.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -54,24 +59,39 @@ def _tag_class(tag: str, attributes: dict[str, str]) -> str:
     return tag + ("." + re.sub(r"\d+", "0", first[0].lower()) if first else "")
 
 
-def _is_dropped(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+def _class_words(attributes: dict[str, str]) -> set[str]:
+    """The dropped words among the names in class and id. A name counts by its parts ("site-header", "sidebar-2"), but for one
+    with a part that takes it back."""
+    found: set[str] = set()
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        parts = re.split(r"[_-]+", name)
+        if not DROPPED_WORDS.isdisjoint(parts) and (len(parts) == 1 or KEPT_WORDS.isdisjoint(parts)):
+            found |= DROPPED_WORDS.intersection(parts)
+    return found
+
+
+def _is_dropped(tag: str, attributes: dict[str, str], in_article: bool) -> tuple[bool, bool]:
+    """(whether the element starts a part that is no article, whether an article or main within it ends that): layout named by
+    class only may be wrapped around the article itself."""
     if tag in DROPPED and not (tag == "header" and in_article):
-        return True
+        return True, False
     if not attributes:
-        return False
+        return False, False
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in _DROPPED_ROLES or _HIDING.search(attributes.get("style", "")):
-        return True
+        return True, False
     if tag in ("body", "html", "article", "main"):
-        return False
-    words = re.split(r"[\s_-]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
-    return not DROPPED_WORDS.isdisjoint(words)
+        return False, False
+    words = _class_words(attributes)
+    if tag in _HEADINGS and in_article:  # parts of the text, whatever their names, but for notices and adverts
+        words &= FOREIGN_WORDS | {"notice", "cookie", "cookies", "consent", "hidden"}
+    return bool(words), bool(words) and FOREIGN_WORDS.isdisjoint(words)
 
 
 def parse(page: str) -> tuple[list[Block], list[str]]:
     """The blocks of a page outside its layout parts, and the paths of its containers by number."""
     blocks: list[Block] = []
     paths: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, whether it starts a dropped part, container number or -1
+    stack: list[tuple[str, bool, int, bool]] = []  # tag, whether it starts a dropped part, container number or -1, whether an article ends the part
     dropped = links = 0
     path: list[str] = []
     inside: tuple[int, ...] = ()
@@ -83,14 +103,14 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                blocks.append(Block(whole, linked, inside, any(t == "h1" for t, _, _ in stack)))
+                blocks.append(Block(whole, linked, inside, any(t == "h1" for t, *_ in stack)))
             text, linked = [], 0
 
     def pop() -> None:
         nonlocal dropped, links, inside
         if stack[-1][0] in BLOCKS:
             flush()
-        tag, drops, container = stack.pop()
+        tag, drops, container, _ = stack.pop()
         dropped -= drops
         links -= tag == "a"
         if container >= 0:
@@ -118,7 +138,7 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
             break
         tag = tag.lower()
         if m.group(1):
-            if any(t == tag for t, _, _ in stack):
+            if any(t == tag for t, *_ in stack):
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -155,7 +175,10 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
                     break
                 if stack[i][0] in _SCOPES:
                     break
-        drops = not dropped and _is_dropped(tag, attributes, any(t in ("article", "main") for t, _, _ in stack))
+        if dropped and tag in ("article", "main") and not _is_dropped(tag, attributes, False)[0] and all(ends for _, drops, _, ends in stack if drops):
+            stack = [(t, False, c, False) for t, _, c, _ in stack]
+            dropped = 0
+        drops, ends = _is_dropped(tag, attributes, any(t in ("article", "main") for t, *_ in stack)) if not dropped else (False, False)
         container = -1
         dropped += drops
         if tag in CONTAINERS and not dropped:
@@ -164,7 +187,7 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
             paths.append("/".join(path))
             inside = (*inside, container)
         links += tag == "a"
-        stack.append((tag, bool(drops), container))
+        stack.append((tag, drops, container, ends))
     flush()
     return blocks, paths
 

@@ -116,7 +116,7 @@ def gram_counts(longest: DataFrame) -> list[DataFrame]:
     out = [of]
     for m in range(ORDER - 1, 0, -1):
         rest = [c for c in of.columns if c[0] in "kc" and int(c[1:]) <= m and c != f"k{m}"]
-        of = of.groupBy(f"k{m}").agg(*(F.first(c).alias(c) for c in rest), *(F.sum((F.col(c) > 0).cast("long")).alias(c) for c in _COUNTS))
+        of = cut(of.groupBy(f"k{m}").agg(*(F.first(c).alias(c) for c in rest), *(F.sum((F.col(c) > 0).cast("long")).alias(c) for c in _COUNTS)))
         out.append(of)
     return [t.select(F.col(f"k{m}").alias("key"), F.col(f"c{m}").alias("context"), *_COUNTS) for m, t in zip(range(ORDER, 0, -1), out, strict=True)]
 
@@ -141,14 +141,17 @@ def discounts(counts: np.ndarray, fixed: float | None = None, n: list[int] | Non
 
 
 def gather(grams: list[DataFrame]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]]:
-    """What scoring needs of gram_counts: by order (key, context, counts), and how many n-grams of all texts are counted 1, 2,
-    3 and 4 times. Its size is bounded by the texts of the labelled sample times the alphabet."""
+    """What scoring needs of gram_counts: by order (key, context, counts), and, up to LEAST, how many n-grams of all texts are
+    counted 1, 2, 3 and 4 times. Its size is bounded by the texts of the labelled sample times the alphabet."""
     found = []
     for m, table in zip(range(ORDER, 0, -1), grams, strict=True):
-        n = table.agg(*(F.sum((F.col("n2") == i).cast("long")) for i in range(1, 5))).first()
         t = _needed(table, m).toArrow()
         key, context = (t.column(c).to_numpy().view(np.uint64) for c in ("key", "context"))
-        found.append((key, context, np.stack([t.column(c).to_numpy() for c in _COUNTS], 1), [x or 0 for x in n]))
+        counts = np.stack([t.column(c).to_numpy() for c in _COUNTS], 1)
+        n = [int(np.sum(counts[:, SHARED] == i)) for i in range(1, 5)]
+        if m == LEAST:  # its table isn't whole here
+            n = [x or 0 for x in table.agg(*(F.sum((F.col("n2") == i).cast("long")) for i in range(1, 5))).first()]
+        found.append((key, context, counts, n))
     return found
 
 

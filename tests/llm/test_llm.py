@@ -520,6 +520,9 @@ NESTED = {
     "table in the body": ("<h1>Head</h1><p>{note}</p><table><tr><td>{a}</td><td>{b}</td></tr></table>", "Head|{note}|{a}|{b}"),
     "main around": ("<main><h1>Head</h1><article><p>{a}</p></article></main><div class=low>{note}</div>", "Head|{a}"),
     "two articles": ("<div class=x><article class=one><p>{a}</p></article><article class=two><p>{b}{b}</p></article></div><div class=low>{note}</div>", "{a}|{b} {b}"),
+    "class names that only mention a part": ("<div class='layout no-sidebar'><article><h1>Head</h1><h2 class=header>Part</h2><p>{a}</p><p>x <math><mi>n</mi></math> y</p></article></div><div class=tiny>tiny</div>", "Head|Part|{a}|x n y"),
+    "article within layout by class": ("<div class=sidebar><p>{note}</p><main><h1>Head</h1><p>{a}</p></main></div>", "Head|{a}"),
+    "comments as articles": ("<article><h1>Head</h1><p>{a}</p></article><div id=comments><article><p>{b}{b}</p></article></div>", "Head|{a}"),
     "links beside": ("<div class=post><p>Lead.</p><div class=body><p>{a}</p></div><div class=list><a href=x>{note}</a></div></div>", "Lead.|{a}"),
 }
 
@@ -534,6 +537,25 @@ def test_articles_in_nested_containers_are_whole(spark, name):
     assert rows(html_text.main_text(table), "text") == [(expected,)] * 2
 
 
+def test_votes_decide_and_odd_pages(spark):
+    """The container that most pages of a host vote for wins, also on a page where another one holds more; counted plainly."""
+    page = lambda a, b: f"<html><body><article class=story><p>{a}</p></article><div class=box><p>{b}</p></div></body></html>"
+    note = "An unlinked line of text in a box, of some length. "
+    data = [(i, "http://h.example/", page(STORY * 6, note)) for i in range(5)] + [(7, "http://h.example/x", page(STORY * 4, note * 12)), (7, "http://h.example/x", page(STORY * 4, note * 12)), (None, None, None)]
+    t = spark.createDataFrame(data, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("host", "salt", "path", "votes")})
+    votes: dict = {}
+    for _, _, h in data[:-1]:
+        scores = html_text.container_scores(*html_text.parse(h))
+        best = html_text.best_path(scores)
+        votes[best] = votes.get(best, 0) + scores[best] / sum(v for v in scores.values() if v > 0)
+    assert max(votes, key=votes.get) == "body/article.story"
+    for most in (100_000, 0):
+        got = rows(html_text.main_text(t, most_broadcast=most), "page_id", "text")
+        assert len(got) == 8 and (None, "") in got
+        assert sorted(x for p, x in got if p == 7) == [" ".join((STORY * 4).split())] * 2
+    assert note.strip() in html_text.extract(data[5][2], html_text.best_path(html_text.container_scores(*html_text.parse(data[5][2]))))
+
+
 # 2: licences
 
 
