@@ -18,17 +18,19 @@ GRAMS = {
     "lb": 453.59237, "lbs": 453.59237, "pound": 453.59237, "pounds": 453.59237,
 }
 MILLILITRES = {
-    "ml": 1.0, "mls": 1.0, "milliliter": 1.0, "milliliters": 1.0, "millilitre": 1.0, "millilitres": 1.0, "cl": 10.0, "cls": 10.0,
-    "l": 1000.0, "lt": 1000.0, "ltr": 1000.0, "ltrs": 1000.0, "liter": 1000.0, "liters": 1000.0, "litre": 1000.0, "litres": 1000.0,
+    "ml": 1.0, "mls": 1.0, "milliliter": 1.0, "milliliters": 1.0, "millilitre": 1.0, "millilitres": 1.0,
+    "l": 1000.0, "lt": 1000.0, "ltr": 1000.0, "ltrs": 1000.0, "liter": 1000.0, "liters": 1000.0, "litre": 1000.0, "litres": 1000.0, "cl": 10.0, "cls": 10.0,
     "fl oz": 29.5735, "fl. oz": 29.5735, "fl.oz": 29.5735, "floz": 29.5735, "fluid ounce": 29.5735, "fluid ounces": 29.5735,
     "gal": 3785.41, "gals": 3785.41, "gallon": 3785.41, "gallons": 3785.41, "pint": 473.176, "pints": 473.176, "quart": 946.353, "quarts": 946.353,
 }
 CENTIMETRES = {"mm": 0.1, "cm": 1.0, "m": 100.0, "inch": 2.54, "inches": 2.54, '"': 2.54, "in": 2.54, "ft": 30.48, "feet": 30.48}
 #: Units that make "3 x 100 ml" a multipack.
 MULTIPACK_UNITS = (
-    "ml mls milliliter milliliters millilitre millilitres l lt ltr ltrs liter liters litre litres g gm gms gram grams kg kgs kilo kilos kilogram kilograms oz ounce ounces floz lb lbs pound pounds "
-    "pcs piece pieces pack packs bottle bottles can cans sachet sachets tab tabs tablet tablets cap caps capsule capsules bags wipes sheets"
-).split()
+    "ml", "mls", "milliliter", "milliliters", "millilitre", "millilitres", "l", "lt", "ltr", "ltrs", "liter", "liters", "litre", "litres", "g", "gm",
+    "gms", "gram", "grams", "kg", "kgs", "kilo", "kilos", "kilogram", "kilograms", "oz", "ounce", "ounces", "floz", "lb", "lbs", "pound", "pounds",
+    "pcs", "piece", "pieces", "pack", "packs", "bottle", "bottles", "can", "cans", "sachet", "sachets", "tab", "tabs", "tablet", "tablets", "cap",
+    "caps", "capsule", "capsules", "bags", "wipes", "sheets",
+)
 #: Patterns. (?U) makes \b, \d and \w Unicode-aware.
 _I = r"(?iU)"
 NUMBER = r"(\d+(?:\.\d+)?)"
@@ -53,10 +55,19 @@ BATTERY = rf"\b{NUMBER}\s*[- ]*(mah|ah)\b"
 STORAGE = rf"\b{NUMBER}\s*[- ]*(tb|gb|mb)\b"
 PERCENTAGE = rf"\b{NUMBER}\s*%(?!\w)"
 MODEL_CODE = r"(?U)\b(?:[A-Z0-9]{1,8}[-_/][A-Z0-9]{1,8}|[A-Z]{1,4}\d{2,6}[A-Z0-9]*|[A-Z0-9]{2,}\d{2,}[A-Z0-9]*)\b"
-NO_CODES = "PACK SET COMBO SIZE INCH INCHES GRAMS WATT VOLT PRICE INDIA TABLET TABLETS CAPSULES BOTTLE PIECE PIECES".split()
-MOBILE_WORDS = "network cellular lte sim band phone speed wireless mobile".split()
-NO_INCH_AFTER = "1 one pouch pack box bag a the stock color".split()
-NO_INCH_BEFORE = "all built plugged made packed".split()
+NO_CODES = (
+    "PACK", "SET", "COMBO", "SIZE", "INCH", "INCHES", "GRAMS", "WATT", "VOLT", "PRICE", "INDIA", "TABLET", "TABLETS", "CAPSULES", "BOTTLE", "PIECE",
+    "PIECES",
+)
+MOBILE_WORDS = (
+    "network", "cellular", "lte", "sim", "band", "phone", "speed", "wireless", "mobile",
+)
+NO_INCH_AFTER = (
+    "1", "one", "pouch", "pack", "box", "bag", "a", "the", "stock", "color",
+)
+NO_INCH_BEFORE = (
+    "all", "built", "plugged", "made", "packed",
+)
 TOTAL_BEFORE = r"(?iU)(?:\btotal(?:\s+(?:net\s+)?(?:weight|wt|volume|vol))?|\bnet\s+(?:wt|weight|vol|volume)|\bgross\s+weight)\.?\s*[:=-]?\s*$"
 EACH_AFTER = r"(?iU)^\s*(?:each\b|per\s+(?:item|unit|piece|pack|bottle|bar|can)\b|/\s*(?:ea|each|pc|item|unit|bar|bottle|can)\b)"
 LARGEST_PACK = 200.0
@@ -84,27 +95,50 @@ def _all(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(text, F.lit(_I + pattern), group)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), where value is worked out once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _found(text: Column, pattern: str, body) -> Column:
+    """body of the first match, null if there is none. The text is searched once; body takes groups out of the match."""
+    return let(_first(text, pattern, 0), lambda hit: F.when(hit != "", body(hit)))
+
+
+def _with_digits(text: Column, body) -> Column:
+    """body of the cleaned text, null if that has no digit, as nothing could match then."""
+    return let(clean(text), lambda t: F.when(t.rlike(r"(?U)\d"), body(t)))
+
+
 def measures(text: Column, pattern: str, before: int = 60, after: int = 40) -> Column:
     """All matches as an array of (number, unit, head, tail): what stands before and after in so many characters.
 
-    The gaps between matches come from split, the matches from regexp_extract_all; positions follow from their lengths.
+    The text is searched for matches once. Only where there are some, the gaps between them come from split; positions
+    follow from lengths, numbers and units from the matches themselves.
     """
-    zipped = F.arrays_zip(F.split(text, _I + pattern, -1).alias("gap"), _all(text, pattern, 0).alias("hit"), _all(text, pattern, 1).alias("number"), _all(text, pattern, 2).alias("unit"))
     kind = "array<struct<number:double,unit:string,hit:string,head:string,tail:string>>"
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
         head = F.substring(text, F.greatest(F.lit(1), start - before + 1), F.least(F.lit(before), start))
-        item = F.struct(_number(x["number"]).alias("number"), F.lower(x["unit"]).alias("unit"), x["hit"].alias("hit"), head.alias("head"), F.substring(text, end + 1, F.lit(after)).alias("tail"))
+        number, unit = _number(_first(x["hit"], "^" + NUMBER, 1)), F.lower(F.regexp_replace(x["hit"], _I + "^" + NUMBER + r"\s*", ""))
+        item = F.struct(number.alias("number"), unit.alias("unit"), x["hit"].alias("hit"), head.alias("head"), F.substring(text, end + 1, F.lit(after)).alias("tail"))
         return F.struct(F.coalesce(end, start).alias("at"), F.when(x["hit"].isNotNull(), F.concat(acc["out"], F.array(item))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), add, lambda acc: acc["out"])
+    def located(hits: Column) -> Column:
+        zipped = F.arrays_zip(F.split(text, _I + pattern, -1).alias("gap"), hits.alias("hit"))
+        return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), add, lambda acc: acc["out"])
+
+    return let(_all(text, pattern, 0), lambda hits: F.when(F.size(hits) > 0, located(hits)).otherwise(F.array().cast(kind)))
 
 
 def _fraction(text: Column, table: dict[str, float]) -> Column:
-    over, under = _number(_first(text, FRACTION, 1)), _number(_first(text, FRACTION, 2))
-    return F.when(under != 0, over / under * _worth(_first(text, FRACTION, 3), table))
+    def worth(hit: Column) -> Column:
+        over, under = _number(_first(hit, FRACTION, 1)), _number(_first(hit, FRACTION, 2))
+        return F.when(under != 0, over / under * _worth(_first(hit, FRACTION, 3), table))
+
+    return _found(text, FRACTION, worth)
 
 
 def _largest(found: Column, table: dict[str, float], least: float, most: float) -> Column:
@@ -114,43 +148,44 @@ def _largest(found: Column, table: dict[str, float], least: float, most: float)
 
 def weight_grams(text: Column) -> Column:
     """Grams: a fraction first, else the largest match between 0.1 mg and 200 kg that isn't a mobile network's "5G"."""
-    text = clean(text)
     mobile = lambda m: (m["unit"] == "g") & (F.upper(F.trim(m["hit"])).rlike("^[2-6]G$") | F.lower(F.substring(m["tail"], 1, 25)).rlike("|".join(MOBILE_WORDS)))
-    found = F.filter(measures(text, WEIGHT), lambda m: ~mobile(m))
-    return F.coalesce(_fraction(text, GRAMS), _largest(found, GRAMS, 0.0001, 200_000.0))
+    return _with_digits(text, lambda t: F.coalesce(_fraction(t, GRAMS), _largest(F.filter(measures(t, WEIGHT), lambda m: ~mobile(m)), GRAMS, 0.0001, 200_000.0)))
 
 
 def volume_ml(text: Column) -> Column:
     """Millilitres: a fraction first, else the largest match between 0.01 ml and 50 l."""
-    text = clean(text)
-    return F.coalesce(_fraction(text, MILLILITRES), _largest(measures(text, VOLUME), MILLILITRES, 0.01, 50_000.0))
+    return _with_digits(text, lambda t: F.coalesce(_fraction(t, MILLILITRES), _largest(measures(t, VOLUME), MILLILITRES, 0.01, 50_000.0)))
 
 
 def dimensions_cm(text: Column) -> Column:
     """(length, width, height, volume) in cm: the first of three, else of two (volume is the area), else of one dimensions."""
-    text = clean(text)
-    number = lambda pattern, i: _number(_first(text, pattern, i))
-    unit3, unit2, unit1 = (_worth(_first(text, p, g), CENTIMETRES) for p, g in ((DIM_3D, 4), (DIM_2D, 3), (DIM_1D, 2)))
-    three = F.sort_array(F.array(*(number(DIM_3D, i) * unit3 for i in (1, 2, 3))), asc=False)
-    two = F.sort_array(F.array(*(number(DIM_2D, i) * unit2 for i in (1, 2))), asc=False)
-    tail = F.lower(F.ltrim(F.regexp_extract(text, _I + DIM_1D + r"(?=(.{0,15}))", 3)))
-    head = F.lower(F.rtrim(F.substring(F.split(text, _I + DIM_1D, 2)[0], -10, 10)))
-    word = (F.lower(_first(text, DIM_1D, 2)) == "in") & (tail.rlike(f"^(?:{'|'.join(NO_INCH_AFTER)})") | head.rlike(f"(?:{'|'.join(NO_INCH_BEFORE)})$"))
-    one = F.when(~word, number(DIM_1D, 1) * unit1)
+    names = ("length", "width", "height", "volume")
     none = F.lit(None).cast("double")
-    out = lambda *x: F.struct(*(c.alias(n) for c, n in zip(x, ("length", "width", "height", "volume"), strict=True)))
-    return (
-        F.when(number(DIM_3D, 1).isNotNull(), out(three[0], three[1], three[2], number(DIM_3D, 1) * unit3 * number(DIM_3D, 2) * unit3 * number(DIM_3D, 3) * unit3))
-        .when(number(DIM_2D, 1).isNotNull(), out(two[0], two[1], none, number(DIM_2D, 1) * unit2 * number(DIM_2D, 2) * unit2))
-        .otherwise(out(one, none, none, none))
-    )
+    out = lambda *x: F.struct(*(c.alias(n) for c, n in zip(x, names, strict=True)))
+
+    def sizes(hit: Column, pattern: str, n: int) -> Column:
+        unit = _worth(_first(hit, pattern, n + 1), CENTIMETRES)
+        return let(unit, lambda u: F.array(*(_number(_first(hit, pattern, i)) * u for i in range(1, n + 1))))
+
+    three = lambda hit: let(sizes(hit, DIM_3D, 3), lambda x: let(F.sort_array(x, asc=False), lambda y: out(y[0], y[1], y[2], x[0] * x[1] * x[2])))
+    two = lambda hit: let(sizes(hit, DIM_2D, 2), lambda x: let(F.sort_array(x, asc=False), lambda y: out(y[0], y[1], none, x[0] * x[1])))
+
+    def one(t: Column):
+        def body(hit: Column) -> Column:
+            tail = F.lower(F.ltrim(F.regexp_extract(t, _I + DIM_1D + r"(?=(.{0,15}))", 3)))
+            head = F.lower(F.rtrim(F.substring(F.split(t, _I + DIM_1D, 2)[0], -10, 10)))
+            word = (F.lower(_first(hit, DIM_1D, 2)) == "in") & (tail.rlike(f"^(?:{'|'.join(NO_INCH_AFTER)})") | head.rlike(f"(?:{'|'.join(NO_INCH_BEFORE)})$"))
+            return F.when(~word, sizes(hit, DIM_1D, 1)[0])
+
+        return out(_found(t, DIM_1D, body), none, none, none)
+
+    return F.coalesce(_with_digits(text, lambda t: F.coalesce(_found(t, DIM_3D, three), _found(t, DIM_2D, two), one(t))), out(none, none, none, none))
 
 
 def _scaled(pattern: str, large: str, factor: float):
     def parse(text: Column) -> Column:
-        text = clean(text)
-        unit = F.lower(_first(text, pattern, 2))
-        return _number(_first(text, pattern, 1)) * F.when(unit.rlike(large), factor).otherwise(1.0)
+        worth = lambda hit: _number(_first(hit, pattern, 1)) * F.when(F.lower(_first(hit, pattern, 2)).rlike(large), factor).otherwise(1.0)
+        return _with_digits(text, lambda t: _found(t, pattern, worth))
 
     return parse
 
@@ -161,44 +196,46 @@ battery_mah = _scaled(BATTERY, "^ah$", 1000.0)
 
 
 def storage_gb(text: Column) -> Column:
-    text = clean(text)
-    unit = F.lower(_first(text, STORAGE, 2))
-    return _number(_first(text, STORAGE, 1)) * F.when(unit == "tb", 1024.0).when(unit == "mb", 1 / 1024.0).otherwise(1.0)
+    def worth(hit: Column) -> Column:
+        unit = F.lower(_first(hit, STORAGE, 2))
+        return _number(_first(hit, STORAGE, 1)) * F.when(unit == "tb", 1024.0).when(unit == "mb", 1 / 1024.0).otherwise(1.0)
+
+    return _with_digits(text, lambda t: _found(t, STORAGE, worth))
 
 
 def percentage(text: Column) -> Column:
-    return _number(_first(clean(text), PERCENTAGE, 1))
+    return _with_digits(text, lambda t: _number(_first(t, PERCENTAGE, 1)))
 
 
 def pack_count(text: Column) -> Column:
     """(count, is_multi): "2 boxes of 6" at once; else the product of at most one factor of each way to state a pack, or
     the largest of them where the product passes 200; else 1."""
-    text = clean(text)
     fits = lambda c: F.when((c > 1) & (c <= LARGEST_PACK), c)
-    nested = fits(_number(_first(text, NESTED, 1)) * _number(_first(text, NESTED, 2)))
-    times = F.filter(
-        F.transform(F.arrays_zip(_all(text, MULTIPACK, 1).alias("n"), _all(text, MULTIPACK, 3).alias("unit")), lambda x: F.when(F.lower(x["unit"]).isin(*MULTIPACK_UNITS), fits(_number(x["n"])))),
-        lambda c: c.isNotNull(),
-    )
-    factors = F.filter(
-        F.array(F.try_element_at(times, F.lit(1)), fits(_number(_first(text, PACK_OF, 1))), fits(_number(_first(text, COUNTED, 1))), F.when(text.rlike(_I + PAIR), 2.0)), lambda c: c.isNotNull()
-    )
-    product = F.aggregate(factors, F.lit(1.0), lambda a, x: a * x)
-    count = F.coalesce(nested, F.when(F.size(factors) > 0, F.when(product <= LARGEST_PACK, product).otherwise(F.array_max(factors))))
-    return F.struct(F.coalesce(count, F.lit(1.0)).alias("count"), count.isNotNull().cast("int").alias("is_multi"))
+    group = lambda pattern: lambda hit: fits(_number(_first(hit, pattern, 1)))
+
+    def counted(t: Column) -> Column:
+        nested = _found(t, NESTED, lambda hit: fits(_number(_first(hit, NESTED, 1)) * _number(_first(hit, NESTED, 2))))
+        times = F.filter(F.transform(_all(t, MULTIPACK, 0), lambda hit: F.when(F.lower(_first(hit, MULTIPACK, 3)).isin(*MULTIPACK_UNITS), fits(_number(_first(hit, MULTIPACK, 1))))), lambda c: c.isNotNull())
+        factors = F.filter(F.array(F.try_element_at(times, F.lit(1)), _found(t, PACK_OF, group(PACK_OF)), _found(t, COUNTED, group(COUNTED)), F.when(t.rlike(_I + PAIR), 2.0)), lambda c: c.isNotNull())
+        stated = lambda f: F.when(F.size(f) > 0, let(F.aggregate(f, F.lit(1.0), lambda a, x: a * x), lambda p: F.when(p <= LARGEST_PACK, p).otherwise(F.array_max(f))))
+        return F.coalesce(nested, let(factors, stated))
+
+    count = let(clean(text), lambda t: F.when(t.rlike(r"(?U)\d"), counted(t)).when(t.rlike(_I + PAIR), 2.0))
+    return let(count, lambda c: F.struct(F.coalesce(c, F.lit(1.0)).alias("count"), c.isNotNull().cast("int").alias("is_multi")))
 
 
 def model_codes(text: Column) -> Column:
     """(has, count, longest) of codes that mix letters and digits."""
     codes = F.filter(F.regexp_extract_all(clean(text), F.lit(MODEL_CODE), 0), lambda c: ~F.upper(c).isin(*NO_CODES) & c.rlike("[0-9]") & c.rlike("[A-Z]"))
-    return F.struct((F.size(codes) > 0).cast("int").alias("has"), F.size(codes).alias("count"), F.coalesce(F.array_max(F.transform(codes, F.length)), F.lit(0)).alias("longest"))
+    return let(codes, lambda x: F.struct((F.size(x) > 0).cast("int").alias("has"), F.size(x).alias("count"), F.coalesce(F.array_max(F.transform(x, F.length)), F.lit(0)).alias("longest")))
 
 
 def quantity_scope(text: Column, value: Column, pattern: str, table: dict[str, float]) -> Column:
     """per_item, total or unknown, by what stands around the matches that have the value; "each" outweighs "total"."""
     plain = {u: v for u, v in table.items() if " " not in u}
     same = F.filter(measures(text, pattern), lambda m: F.abs(m["number"] * _worth(F.regexp_replace(m["unit"], " ", ""), plain) - value) <= F.greatest(F.lit(1e-6), F.abs(value) * 1e-6))
-    return F.when(F.exists(same, lambda m: m["tail"].rlike(EACH_AFTER)), "per_item").when(F.exists(same, lambda m: m["head"].rlike(TOTAL_BEFORE)), "total").otherwise("unknown")
+    scope = lambda found: F.when(F.exists(found, lambda m: m["tail"].rlike(EACH_AFTER)), "per_item").when(F.exists(found, lambda m: m["head"].rlike(TOTAL_BEFORE)), "total").otherwise("unknown")
+    return F.when(value.isNull(), "unknown").otherwise(let(same, scope))
 
 
 #: The output columns in order; FLOAT unless named below.
@@ -218,7 +255,8 @@ _INTS = {"model_code_count", "max_model_code_len"}
 def physical_specs(df: DataFrame, title: str = "TITLE", pack: str = "PACK_SIZE", description: str = "DESCRIPTION") -> DataFrame:
     """df with the SPEC_COLUMNS. Title comes before pack before description; missing columns count as empty.
 
-    Fields are cleaned, then parsed, then combined, each in one projection, so that no pattern is run twice.
+    Fields are cleaned, then parsed, then combined, each in one projection. A text without digits isn't searched; in others a
+    field is searched once for each pattern, and again only around what was found.
     """
     have = lambda name: clean(F.col(name)) if name in df.columns else F.lit("")
     own = df.columns
