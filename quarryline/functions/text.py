@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from quarryline.functions.quantities import clean
+from quarryline.functions.quantities import clean, let, physical_specs
 
 
 def surface_stats(text: Column, prefix: str) -> dict[str, Column]:
@@ -51,37 +51,101 @@ def compatibility_form(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+#: Patterns of label text. (?U) makes \b, \d and \w Unicode-aware.
+SPLIT_UNIT = r"(?iU)\b(m|k|c)\s+(l|g)\b"
+SPACED_NUMBER = r"(?U)(\d)\s*([.,])\s*(\d)"
+LETTER_O_NUMBER = r"(?iU)\b([0-9Oo]+(?:[.,][0-9Oo]+)?)\s*(kg|g|gm|mg|ml|cl|l|oz|lb)\b"
+PROMOTION = (
+    r"(?iU)\b(?:100\s*%\s*satisfaction|best\s*seller|money\s*back|free\s*shipping|limited\s*(?:time\s*)?offer|"
+    r"special\s*offer|premium\s+quality|buy\s+now|save\s*\d+\s*%|\d+\s*%\s*off)\b"
+)
+BUY_GET = r"(?iU)\bbuy\s+(\d+)\s*(?:&|and)?\s*get\s+(\d+)\s+free\b"
+NUTRITION = (
+    r"(?iU)\b(?:nutrition|nutritional|serving(?:s|\s+size)?|calories?|energy|protein|carbohydrate|sugars?|sodium|cholesterol|"
+    r"daily\s+value|ingredients?|per\s+100\s*[gm]l?)\b"
+)
+NET_CONTEXT = r"(?iU)\b(?:net\s*(?:wt|weight|vol(?:ume)?)|net\s+contents?|contents?|quantity|qty)\b"
+LABEL_UNIT = (
+    r"(?iU)(?<![a-z])\d+(?:[.,]\d+)?\s*(?:kg|kgs|kilograms?|g|gm|gms|grams?|mg|lb|lbs|oz|ounces?|"
+    r"l|ltr|lit(?:er|re)s?|ml|millilit(?:er|re)s?|cl)(?![a-z])"
+)
+TECHNICAL_UNIT = (
+    r"(?iU)(?<![a-z])\d+(?:[.,]\d+)?\s*[- ]?\s*(?:mm|cm|m|met(?:er|re)s?|inch(?:es)?|in|ft|feet|\"|"
+    r"kilowatts?|kw|watts?|w|kv|volts?|v|mah|ah|wh|mb|gb|tb)(?![a-z])"
+)
+LABEL_PACK = (
+    r"(?iU)\b(?:pack|set|box|case|bundle|combo)\s*(?:of\s*)?\d+\b|\b\d+\s*(?:pack|packs|count|ct|pcs|pieces)\b|"
+    r"\b\d+\s*[x×*]\s*\d+(?:[.,]\d+)?\s*(?:kg|g|gm|mg|l|ml|cl|oz|lb)\b"
+)
+
+
+def rewritten(text: Column, pattern: str, change) -> Column:
+    """text with every match put through change, an expression over the match."""
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("hit"))
+    whole = F.array_join(F.transform(parts, lambda x: F.concat(x["gap"], F.coalesce(F.when(x["hit"].isNotNull(), change(x["hit"])), F.lit("")))), "")
+    return F.when(text.rlike(pattern), whole).otherwise(text)
+
+
+def _tidy(text: Column) -> Column:
+    """normal_label_text of text in compatibility form."""
+    s = F.translate(text, "×✕•", "xx ")
+    s = F.regexp_replace(F.regexp_replace(s, SPLIT_UNIT, "$1$2"), SPACED_NUMBER, "$1$2$3")
+
+    def repaired(hit: Column) -> Column:
+        return F.concat(F.translate(F.regexp_extract(hit, LETTER_O_NUMBER, 1), "Oo", "00"), F.lit(" "), F.regexp_extract(hit, LETTER_O_NUMBER, 2))
+
+    s = let(s, lambda t: rewritten(t, LETTER_O_NUMBER, repaired))
+    return F.regexp_replace(F.regexp_replace(s, r"[ \t]+", " "), r"^[ |;,_-]+|[ |;,_-]+$", "")
+
+
 def normal_label_text(text: Column) -> Column:
-    """Text read off a label in one spelling: NFKC, signs, "1 . 5", "m l", O for 0 before units, single blanks."""
-    s = F.translate(compatibility_form(text), "×✕•", "xx ")
-    s = F.regexp_replace(s, r"(?i)\bm\s+l\b", "ml")
-    s = F.regexp_replace(s, r"(\d)\s*\.\s*(\d)", "$1.$2")
-    # A run of digits and O before a unit is a number; every O in it is a 0.
-    unit = r"(?=[0-9OoIl]*\s*(?:kg|g|gm|mg|ml|l|oz|lb)\b)"
-    s = F.regexp_replace(s, rf"(?i)(?<=[0-9])o{unit}", "0")
-    return F.regexp_replace(F.regexp_replace(s, r"\s+", " "), r"^[\s|;,_-]+|[\s|;,_-]+$", "")
+    """Text read off a label in one spelling: NFKC, signs, "1 . 5" and "m l" closed up, O as 0 in a number before a unit, one
+    blank between both, single blanks, no marks at the ends. Null counts as empty."""
+    return _tidy(compatibility_form(F.coalesce(text, F.lit(""))))
+
+
+def packaging_text(lines: Column) -> Column:
+    """(text, rejected) of an array of label lines: those that state a quantity, joined by " | ", and the others.
+
+    "buy x get y free" becomes "pack of x+y"; promotions go; lines alike but for case and signs count once; nutrition facts
+    stay only beside net contents or packs. Empty lines count as none; a null array gives an empty text.
+    """
+    whole = compatibility_form(F.array_join(F.transform(F.coalesce(lines, F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit(""))), "\x01"))
+    number = lambda hit, i: F.regexp_extract(hit, BUY_GET, i).cast("long")
+    offer = lambda t: rewritten(t, BUY_GET, lambda hit: F.concat(F.lit("pack of "), (number(hit, 1) + number(hit, 2)).cast("string")))
+    tidy = F.filter(F.transform(F.split(whole, "\x01"), _tidy), lambda t: t != "")
+    pairs = F.transform(tidy, lambda t: let(offer(t), lambda line: F.struct(line.alias("line"), _tidy(F.regexp_replace(line, PROMOTION, " ")).alias("kept"))))
+    keyed = F.transform(pairs, lambda x: F.struct(x["line"].alias("line"), x["kept"].alias("kept"), F.lower(F.regexp_replace(x["kept"], r"(?U)\W+", "")).alias("key")))
 
+    def judged(rows: Column) -> Column:
+        keys = F.transform(rows, lambda x: x["key"])
+        once = F.filter(rows, lambda x, i: (x["key"] == "") | (F.array_position(keys, x["key"]) == i + 1))
 
-#: What makes a label line evidence, and what doesn't.
-PROMOTION = r"(?i)\b(?:\d+%\s*(?:extra|off|free)|free\s+(?:inside|gift|sample)|new\s+improved|special\s+offer|limited\s+(?:time|edition)|save\s+\d+)\b"
-NUTRITION = r"(?i)\b(?:energy|protein|carbohydrates?|sugars?|fat|saturated|sodium|fib(?:er|re)|cholesterol|calories|kcal|per\s+serving|serving\s+size|vitamin)\b"
-NET_OR_PACK = r"(?i)\b(?:net|pack|contents?|total|gross|qty|quantity)\b"
-EVIDENCE = r"(?i)\d\s*(?:kg|gm?s?|mg|ml|l|ltr|oz|lbs?|pcs|pieces|tablets|capsules|sachets)\b|\b(?:pack|set|box|combo)\s+of\b|\bnet\b"
+        def good(x: Column) -> Column:
+            strong = x["kept"].rlike(NET_CONTEXT) | x["kept"].rlike(LABEL_PACK)
+            return (x["key"] != "") & (strong | (~x["kept"].rlike(NUTRITION) & (x["kept"].rlike(LABEL_UNIT) | x["kept"].rlike(TECHNICAL_UNIT))))
+
+        marked = F.transform(once, lambda x: F.struct(x["line"].alias("line"), x["kept"].alias("kept"), good(x).alias("good")))
+        return let(marked, lambda m: F.struct(F.array_join(F.transform(F.filter(m, lambda x: x["good"]), lambda x: x["kept"]), " | ").alias("text"), F.transform(F.filter(m, lambda x: ~x["good"]), lambda x: x["line"]).alias("rejected")))
+
+    return let(keyed, judged)
 
 
 def packaging_lines(lines: Column) -> Column:
-    """Of an array of label lines, those that state a quantity, joined by " | ".
+    """The text of packaging_text."""
+    return packaging_text(lines)["text"]
 
-    "buy x get y" becomes "pack of x+y"; promotions go; lines alike but for case and signs stay once; nutrition facts
-    stay only beside net or pack words.
-    """
-    def offer(s: Column) -> Column:
-        pattern = r"(?i)\bbuy\s*(\d+)\s*get\s*(\d+)(?:\s*free)?\b"
-        x, y = (F.regexp_extract(s, pattern, i).try_cast("int") for i in (1, 2))
-        return F.when(x.isNotNull() & y.isNotNull(), F.regexp_replace(s, F.lit(pattern), F.concat(F.lit("pack of "), (x + y).cast("string")))).otherwise(s)
-
-    tidy = F.transform(lines, lambda s: F.trim(F.regexp_replace(F.regexp_replace(offer(F.coalesce(s, F.lit(""))), PROMOTION, " "), r"\s+", " ")))
-    good = F.filter(tidy, lambda s: s.rlike(EVIDENCE) & (~s.rlike(NUTRITION) | s.rlike(NET_OR_PACK)))
-    key = lambda s: F.lower(F.regexp_replace(s, r"(?U)\W", ""))
-    once = F.filter(good, lambda s, i: F.array_position(F.transform(good, key), key(s)) == i + 1)
-    return F.array_join(once, " | ")
+
+#: What a label can state, and the parsed column that holds it.
+LABEL_ENTITIES = {
+    "weight_g": "total_weight_g", "volume_ml": "total_volume_ml", "pack_count": "pack_count", "dim_length_cm": "dim_length_cm", "dim_width_cm": "dim_width_cm",
+    "dim_height_cm": "dim_height_cm", "power_watts": "power_watts", "voltage_volts": "voltage_volts", "battery_mah": "battery_mah", "storage_gb": "storage_gb",
+}
+
+
+def harvested(df: DataFrame, text: str, prefix: str = "ocr_") -> DataFrame:
+    """df with the ten quantities that a text states, null where it doesn't; a pack counts only where one is stated."""
+    own = [c for c in df.columns]
+    specs = physical_specs(df.select(F.struct(*own).alias("_own"), F.col(text).alias("_text")), title="_text", pack="_none", description="_none")
+    value = {n: F.when(F.col("is_multipack") == 1, F.col(c)) if n == "pack_count" else F.col(c) for n, c in LABEL_ENTITIES.items()}
+    return specs.select("_own.*", *(v.cast("double").alias(f"{prefix}{n}") for n, v in value.items()))

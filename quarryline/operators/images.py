@@ -14,7 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.functions.quantities import clean, pack_count, volume_ml, weight_grams
+from quarryline.functions.ids import canonical_id
+from quarryline.functions.quantities import physical_specs
+from quarryline.functions.text import LABEL_ENTITIES
 
 OK = ("downloaded", "cached")
 RETRIED = (408, 425, 429, 500, 502, 503, 504)
@@ -44,15 +46,22 @@ def first_images(manifest: DataFrame, key: str, most: int = 1) -> DataFrame:
     return manifest.filter(F.col("status").isin(*OK)).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).drop("_r")
 
 
+#: Names that some file systems keep for devices.
+RESERVED_NAMES = r"^(?:CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$"
+
+
 def alias_stems(df: DataFrame, key: str) -> DataFrame:
-    """df with alias: the id as a safe file stem of at most 120 characters; stems alike but for case get a hash's head."""
-    stem = F.substring(F.regexp_replace(F.regexp_replace(F.trim(F.col(key).cast("string")), r"[^A-Za-z0-9._-]+", "_"), r"^[._]+|[._]+$", ""), 1, 120)
-    stem = F.when((stem == "") | F.upper(stem).rlike(r"^(?:CON|PRN|AUX|NUL|COM\d|LPT\d)$"), F.concat(F.lit("id_"), stem)).otherwise(stem)
+    """df with alias: the id as a safe file stem, "item" for one without safe characters. Stems of over 120 characters and
+    reserved names are cut to 100 and get the head of the canonical id's hash; so do stems that several rows share, but for case."""
+    shown = F.regexp_replace(F.trim(F.col(key).cast("string")), r"[^A-Za-z0-9._-]+", "_")
+    stem = F.coalesce(F.regexp_replace(shown, r"^[ ._]+|[ ._]+$", ""), F.lit(""))
+    stem = F.when(stem == "", "item").otherwise(stem)
+    mark = F.concat(F.lit("-"), F.substring(F.sha2(F.coalesce(canonical_id(F.col(key), df.schema[key].dataType, "strict"), F.lit("")), 256), 1, 12))
+    stem = F.when((F.length(stem) > 120) | F.upper(stem).rlike(RESERVED_NAMES), F.concat(F.substring(stem, 1, 100), mark)).otherwise(stem)
     marked = df.withColumn("_stem", stem)
-    clash = marked.groupBy(F.lower("_stem").alias("_low")).agg(F.countDistinct(key).alias("_n"))
+    clash = marked.groupBy(F.lower("_stem").alias("_low")).agg(F.count(F.lit(1)).alias("_n"))
     joined = marked.join(clash, F.lower("_stem") == F.col("_low"))
-    alias = F.when(F.col("_n") > 1, F.concat("_stem", F.lit("_"), F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 12))).otherwise(F.col("_stem"))
-    return joined.withColumn("alias", alias).drop("_stem", "_low", "_n")
+    return joined.withColumn("alias", F.when(F.col("_n") > 1, F.concat("_stem", mark)).otherwise(F.col("_stem"))).drop("_stem", "_low", "_n")
 
 
 def safe_path(root: str, path: str) -> str:
@@ -176,14 +185,32 @@ def merged_detections(df: DataFrame, least: float = 0.35, overlap: float = 0.85)
 
 
 def backfill(catalog: DataFrame, labels: DataFrame, key: str, *, title: str = "TITLE", pack: str = "PACK_SIZE", description: str = "DESCRIPTION", text: str = "ocr_text") -> DataFrame:
-    """catalog with weight_g, volume_ml, pack_count from the first of title, label, pack field and description that states one, and
-    where it is from (<quantity>_source)."""
-    joined = catalog.join(labels.select(key, text), key, "left")
-    fields = [("title", title), ("ocr", text), ("pack_size", pack), ("description", description)]
-    have = [(n, clean(F.col(c))) for n, c in fields if c in joined.columns]
-    packs = lambda s: F.when(pack_count(s)["is_multi"] == 1, pack_count(s)["count"])
-    for name, parse in (("weight_g", weight_grams), ("volume_ml", volume_ml), ("pack_count", packs)):
-        joined = joined.withColumns({f"_{n}": parse(s) for n, s in have})
-        source = F.coalesce(*(F.when(F.col(f"_{n}").isNotNull(), n) for n, _ in have))
-        joined = joined.withColumns({name: F.coalesce(*(F.col(f"_{n}") for n, _ in have)), f"{name}_source": source}).drop(*(f"_{n}" for n, _ in have))
-    return joined.drop(text)
+    """catalog with ten quantities (LABEL_ENTITIES), each from the first of title, label, pack field and description that states
+    it, and where it is from (<quantity>_source, or missing).
+
+    Of labels, columns ocr_weight_g, ocr_volume_ml and ocr_pack_count, where it has them, come before what is parsed from
+    its text; a non-finite one counts as missing. Keys are unique in both tables; a product without a label takes the other sources.
+    """
+    given = [c for c in ("ocr_weight_g", "ocr_volume_ml", "ocr_pack_count") if c in labels.columns]
+    own = catalog.columns
+    joined = catalog.join(labels.select(key, F.col(text).alias("_label"), *(F.col(c).cast("double").alias(f"_{c}") for c in given)), key, "left")
+    names = []
+    for n, c, role in (("title", title, "title"), ("ocr", "_label", "title"), ("pack_size", pack, "pack"), ("description", description, "description")):
+        if c in joined.columns:
+            names.append(n)
+            rest = joined.columns
+            roles = dict(title="_none", pack="_none", description="_none") | {role: "_source"}
+            parsed = physical_specs(joined.select(F.struct(*rest).alias("_rest"), F.col(c).alias("_source")), **roles)
+            values = [F.when(F.col("is_multipack") == 1, F.col(x)) if q == "pack_count" else F.col(x) for q, x in LABEL_ENTITIES.items()]
+            joined = parsed.select("_rest.*", F.struct(*(v.cast("double").alias(q) for v, q in zip(values, LABEL_ENTITIES, strict=True))).alias(f"_{n}"))
+
+    def stated(quantity: str, n: str) -> Column:
+        x = F.col(f"_{n}")[quantity]
+        if n == "ocr" and f"ocr_{quantity}" in given:
+            x = F.col(f"_ocr_{quantity}")
+        return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+    out = []
+    for q in LABEL_ENTITIES:
+        out += [F.coalesce(*(stated(q, n) for n in names)).alias(q), F.coalesce(*(F.when(stated(q, n).isNotNull(), n) for n in names), F.lit("missing")).alias(f"{q}_source")]
+    return joined.select(*(c for c in own if c not in LABEL_ENTITIES), *out)

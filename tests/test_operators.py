@@ -1,5 +1,6 @@
 """Operators against hand-made results, invariants and rejections."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -406,6 +407,38 @@ def test_text(spark):
     assert value(lines.select(text.packaging_lines(F.col("l")))) == "NET WT 4 x 100 g"
 
 
+def test_label_text(spark):
+    cases = {" 5O0 m l ": "500 ml", "1 , 5 k g": "1,5 kg", "75 c l • x": "75 cl x", "OO7 days": "OO7 days", "2×1O0g": "2x1O0g", "a|": "a", "5００ ml": "500 ml"}
+    t = frame(spark, [(c,) for c in cases], "s string")
+    assert [r[0] for r in t.select(text.normal_label_text(F.col("s"))).collect()] == list(cases.values())
+    lines = {
+        ("BEST SELLER", "100% satisfaction guaranteed", "Nutrition per 100 g", "NET WT 4 x 100 g"): ("NET WT 4 x 100 g", ["BEST SELLER", "100% satisfaction guaranteed", "Nutrition per 100 g"]),
+        ("Special Offer: Pack of 3, Net Wt 500g", "Buy 1 Get 1 Free (250 ml each)"): (": Pack of 3, Net Wt 500 g | pack of 2 (250 ml each)", []),
+        ("buy 2 get 1", "Buy 2 & get 1 free"): ("pack of 3", ["buy 2 get 1"]),
+        ("65W Fast Charger", "65w fast charger!", None, ""): ("65W Fast Charger", []),
+        ("Energy 200 kcal 5 g", "Energy bar, net wt 40 g"): ("Energy bar, net wt 40 g", ["Energy 200 kcal 5 g"]),
+    }
+    t = frame(spark, [(list(x),) for x in lines] + [(None,)], "l array<string>").select(text.packaging_text(F.col("l")).alias("p")).select("p.*")
+    assert [(r["text"], r["rejected"]) for r in t.collect()] == [*lines.values(), ("", [])]
+
+
+def test_harvest(spark):
+    t = frame(spark, [("NET WT 4 x 100 g",), ("Net volume 750 ml",), ("Dimensions: 30 x 20 x 10 cm | 65W Fast Charger | Memory 256 GB",), (None,)], "s string")
+    rows = text.harvested(t, "s").collect()
+    assert (rows[0]["ocr_weight_g"], rows[0]["ocr_pack_count"], rows[0]["ocr_volume_ml"]) == (400.0, 4.0, None)
+    assert (rows[1]["ocr_volume_ml"], rows[1]["ocr_pack_count"]) == (750.0, None)
+    assert [rows[2][f"ocr_{n}"] for n in ("dim_length_cm", "dim_width_cm", "dim_height_cm", "power_watts", "storage_gb")] == [30.0, 20.0, 10.0, 65.0, 256.0]
+    assert all(v is None for v in rows[3])
+
+
+def test_alias_stems(spark):
+    ids = ["a b", "A B", "CON", "x" * 130, "...", "ok", None]
+    got = {r["id"]: r["alias"] for r in images.alias_stems(frame(spark, [(i,) for i in ids], "id string"), "id").collect()}
+    head = lambda i: hashlib.sha256(f"str:{i}".encode()).hexdigest()[:12]
+    assert got["ok"] == "ok" and got["CON"] == f"CON-{head('CON')}" and got["x" * 130] == f"{'x' * 100}-{head('x' * 130)}"
+    assert got["a b"] == f"a_b-{head('a b')}" and got["A B"] == f"A_B-{head('A B')}" and got["..."].startswith("item")
+
+
 def test_urls(spark):
     urls = ["HTTP://Example.com:80", "https://a.b/x?q=1#f", "ftp://x", "https://u:p@x/", None, "https://h:8443/p"]
     t = frame(spark, [(u,) for u in urls], "u string")
@@ -442,6 +475,10 @@ def test_backfill(spark):
     labels = frame(spark, [(1, "5 kg"), (2, "500 g")], "id int, ocr_text string")
     out = {r["id"]: (r["weight_g"], r["weight_g_source"]) for r in images.backfill(c, labels, "id").collect()}
     assert out == {1: (1000.0, "title"), 2: (500.0, "ocr"), 3: (200.0, "pack_size")}
+    labels = frame(spark, [(1, "65 W", 7.0), (2, "10 x 5 cm", float("nan"))], "id int, ocr_text string, ocr_weight_g double")
+    out = {r["id"]: r for r in images.backfill(c, labels, "id").collect()}
+    assert (out[1]["power_watts"], out[1]["power_watts_source"], out[2]["dim_length_cm"], out[2]["weight_g"], out[2]["weight_g_source"]) == (65.0, "ocr", 10.0, 100.0, "description")
+    assert (out[3]["storage_gb"], out[3]["storage_gb_source"]) == (None, "missing")
 
 
 def test_pooling(spark):
