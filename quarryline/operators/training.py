@@ -10,16 +10,18 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, HashingTF, NGram, OneHotEncoder, RegexTokenizer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions.metrics import get_metric
+from quarryline.functions.text import combined_text
 from quarryline.operators.blend import aggregate_folds, clamp
 from quarryline.operators.encode import medians
 from quarryline.operators.splits import iter_folds
+from quarryline.operators.text_features import RareOneHot, TfIdf
 from quarryline.sources.tables import require_columns, require_unique_ids
 
 
@@ -39,7 +41,10 @@ class TrainingConfig:
     temporal: bool = False
     log_target: bool = True
     strength: float = 4.0
-    most_words: int = 20_000
+    words: bool = True
+    chars: bool = True
+    most_words: int = 120_000
+    most_chars: int = 120_000
     least_documents: int = 2
     floor: float | None = 0.0
     ceiling: float | None = None
@@ -64,27 +69,28 @@ def run_signature(train: DataFrame, config: TrainingConfig) -> str:
 
 
 def prepare(df: DataFrame, config: TrainingConfig, fill: dict[str, float]) -> DataFrame:
-    """Numbers with medians for missing ones, categories with <MISSING>, texts joined."""
+    """Numbers with medians for missing ones, categories with <MISSING>, texts joined behind their markers."""
     numbers = {c: F.coalesce(F.nanvl(F.col(c).try_cast("double"), F.lit(None).cast("double")), F.lit(fill.get(c, 0.0))) for c in config.numeric}
     categories = {c: F.coalesce(F.col(c).cast("string"), F.lit("<MISSING>")) for c in config.categorical}
-    text = {"_text": F.concat_ws(" ", *(F.coalesce(F.col(c), F.lit("")) for c in config.text))} if config.text else {}
+    text = {"_text": combined_text(df, list(config.text))} if config.text else {}
     return df.withColumns(numbers | categories | text)
 
 
 def feature_stages(config: TrainingConfig) -> list:
-    """Words and pairs of words by count, categories one-hot (new ones in a class of their own), numbers as they are."""
-    stages, inputs = [], list(config.numeric)
+    """TF-IDF of words and pairs of words and of runs of characters in words, categories one-hot with a rare class, numbers over their
+    deviation. For trees, 20,000 terms of a kind at most."""
+    stages, inputs = [], []
+    limit = 20_000 if config.engine == "gbt" else max(config.most_words, config.most_chars)
+    for kind, used, most in (("words", config.words, config.most_words), ("chars", config.chars, config.most_chars)):
+        if config.text and used:
+            stages.append(TfIdf("_text", f"_{kind}_v", kind, config.least_documents, min(most, limit)))
+            inputs.append(f"_{kind}_v")
     for c in config.categorical:
-        stages += [StringIndexer(inputCol=c, outputCol=f"_{c}_i", handleInvalid="keep", stringOrderType="frequencyDesc"), OneHotEncoder(inputCol=f"_{c}_i", outputCol=f"_{c}_v", handleInvalid="keep")]
+        stages.append(RareOneHot(c, f"_{c}_v", config.least_documents))
         inputs.append(f"_{c}_v")
-    if config.text:
-        stages += [
-            RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"(?U)\W+", minTokenLength=2),
-            NGram(n=2, inputCol="_words", outputCol="_pairs"),
-            CountVectorizer(inputCol="_words", outputCol="_words_v", vocabSize=config.most_words, minDF=config.least_documents),
-            HashingTF(inputCol="_pairs", outputCol="_pairs_v", numFeatures=1 << 14, binary=True),
-        ]
-        inputs += ["_words_v", "_pairs_v"]
+    if config.numeric:
+        stages += [VectorAssembler(inputCols=list(config.numeric), outputCol="_numbers", handleInvalid="error"), StandardScaler(inputCol="_numbers", outputCol="_numbers_v", withMean=False, withStd=True)]
+        inputs.append("_numbers_v")
     return [*stages, VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="error")]
 
 

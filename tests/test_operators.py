@@ -1,14 +1,17 @@
 """Operators against hand-made results, invariants and rejections."""
 
+import collections
 import hashlib
 import math
+import re
+import unicodedata
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quarryline.functions import ids, metrics, text
-from quarryline.operators import align, audit, blend, encode, images, residuals, splits, training, validate
+from quarryline.operators import align, audit, blend, encode, images, residuals, splits, text_features, training, validate
 from quarryline.plans.dag import Runner, Stage
 from quarryline.sources import tables
 
@@ -439,6 +442,64 @@ def test_alias_stems(spark):
     assert got["a b"] == f"a_b-{head('a b')}" and got["A B"] == f"A_B-{head('A B')}" and got["..."].startswith("item")
 
 
+def test_tfidf_equals_plain_counts(spark):
+    texts = {1: "Café au lait, café noir", 2: "the big cafe of x y big", 3: "big noir", 4: None, 5: "a b"}
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower()
+
+    def words(t):
+        w = re.findall(r"\b\w\w+\b", plain(t or ""))
+        return w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+
+    def chars(t):
+        out = []
+        for w in (f" {x} " for x in (t or "").lower().split()):
+            out += [w] if len(w) < 3 else [w[i : i + n] for n in range(3, 6) for i in range(len(w) - n + 1)]
+        return out
+
+    d = frame(spark, list(texts.items()), "id int, t string")
+    for kind, terms, of in (("words", text_features.word_terms(F.col("t")), words), ("chars", text_features.char_terms(F.col("t")), chars)):
+        counts = {i: collections.Counter(of(t)) for i, t in texts.items()}
+        df = collections.Counter(x for c in counts.values() for x in c)
+        raw = {(i, x): (1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + df[x])) + 1) for i, c in counts.items() for x, n in c.items() if df[x] >= 2}
+        norm = {i: math.sqrt(sum(v * v for (k, _), v in raw.items() if k == i)) for i in texts}
+        known = {k: v / norm[k[0]] for k, v in raw.items()}
+        assert {(r["id"], r["term"]): r["weight"] for r in text_features.tfidf(d, "id", terms).collect()} == pytest.approx(known)
+        model = text_features.TfIdf("t", "v", kind).fit(d)
+        vocabulary = model.stages[1].vocabulary
+        got = {(r["id"], vocabulary[int(i)]): x for r in model.transform(d).collect() for i, x in zip(r["v"].indices, r["v"].values, strict=True)}
+        assert got == pytest.approx(known) and set(vocabulary) == {x for _, x in known}
+    assert text_features.tfidf(d.limit(0), "id", text_features.word_terms(F.col("t"))).count() == 0
+
+
+def test_one_hot_has_a_rare_class(spark):
+    t = frame(spark, [(c,) for c in "aaabbcd"], "c string")
+    model = text_features.RareOneHot("c", "v", 2).fit(t)
+    got = {r["c"]: r["v"].toArray().tolist() for r in model.transform(frame(spark, [(c,) for c in "abcdz"], "c string")).collect()}
+    assert got == {"a": [1, 0, 0], "b": [0, 1, 0], "c": [0, 0, 1], "d": [0, 0, 1], "z": [0, 0, 0]}
+
+
+def test_dense_vectors(spark):
+    t = frame(spark, [(1, "red cotton shirt for men"), (2, "red cotton shirt for women"), (3, "steel water bottle one litre"), (4, None), (5, "red cotton shirt for men")], "id int, t string")
+    e = {r["id"]: r["embedding"] for r in text_features.hashed_embedding(t, "id", "t", components=128, features=1 << 10).collect()}
+    cosine = lambda a, b: sum(x * y for x, y in zip(e[a], e[b], strict=True))
+    assert len(e) == 5 and e[4] is None and e[1] == e[5] and cosine(1, 1) == pytest.approx(1)
+    assert cosine(1, 2) > 0.4 > cosine(1, 3)
+    v = frame(spark, [(i, [float(i), 2.0 * i, (-1.0) ** i * 0.01]) for i in range(8)], "id int, v array<double>")
+    model = text_features.fit_projection(v, "v", 2)
+    assert model.explainedVariance[0] > 0.99
+    assert all(len(r["projected"]) == 2 for r in text_features.project(v, "v", model).collect())
+    with pytest.raises(ValueError):
+        text_features.fit_projection(v, "v", 9)
+
+
+def test_training_on_texts(spark):
+    rows = [(i, f"{'silk' if i % 2 else 'cotton'} shirt {i % 7}", "rare" if i == 3 else "usual", 500.0 if i % 2 else 100.0, i % 3) for i in range(60)]
+    t = frame(spark, rows, "id int, name string, kind string, price double, fold int")
+    config = training.TrainingConfig(text=("name",), categorical=("kind",), n_splits=3, strength=0.1)
+    result = training.train_cross_validated(t, config, t)
+    assert result.score < 10 and result.oof.count() == result.test.count() == 60
+
+
 def test_urls(spark):
     urls = ["HTTP://Example.com:80", "https://a.b/x?q=1#f", "ftp://x", "https://u:p@x/", None, "https://h:8443/p"]
     t = frame(spark, [(u,) for u in urls], "u string")
