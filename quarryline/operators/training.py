@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from quarryline.functions.metrics import get_metric
 from quarryline.functions.text import combined_text
 from quarryline.operators.blend import aggregate_folds, clamp
+from quarryline.operators.boosting import BoostedTrees
 from quarryline.operators.encode import medians
 from quarryline.operators.splits import iter_folds
 from quarryline.operators.text_features import RareOneHot, TfIdf
@@ -35,7 +36,9 @@ class TrainingConfig:
     numeric: tuple[str, ...] = ()
     categorical: tuple[str, ...] = ()
     text: tuple[str, ...] = ()
-    engine: str = "ridge"  # ridge, logistic, gbt
+    engine: str = "ridge"  # ridge, logistic, gbt, boosted
+    objective: str = "squared"  # of boosted: squared, log_smape, raw_smape, log_mape, raw_mape
+    weight: str | None = None  # a column of row weights, for all engines
     metric: str = "smape"
     n_splits: int = 5
     temporal: bool = False
@@ -52,8 +55,8 @@ class TrainingConfig:
     params: dict = field(default_factory=dict)
 
     def __post_init__(self):
-        if self.engine not in ("ridge", "logistic", "gbt"):
-            raise ValueError("engine is ridge, logistic or gbt")
+        if self.engine not in ("ridge", "logistic", "gbt", "boosted"):
+            raise ValueError("engine is ridge, logistic, gbt or boosted")
         if self.n_splits < 2 or self.strength <= 0:
             raise ValueError("folds are 2 at least, and strength is above 0")
         if not (self.numeric or self.categorical or self.text):
@@ -80,7 +83,7 @@ def feature_stages(config: TrainingConfig) -> list:
     """TF-IDF of words and pairs of words and of runs of characters in words, categories one-hot with a rare class, numbers over their
     deviation. For trees, 20,000 terms of a kind at most."""
     stages, inputs = [], []
-    limit = 20_000 if config.engine == "gbt" else max(config.most_words, config.most_chars)
+    limit = 20_000 if config.engine in ("gbt", "boosted") else max(config.most_words, config.most_chars)
     for kind, used, most in (("words", config.words, config.most_words), ("chars", config.chars, config.most_chars)):
         if config.text and used:
             stages.append(TfIdf("_text", f"_{kind}_v", kind, config.least_documents, min(most, limit)))
@@ -94,20 +97,29 @@ def feature_stages(config: TrainingConfig) -> list:
     return [*stages, VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="error")]
 
 
-def estimator(config: TrainingConfig, n: int, spread: float):
+def estimator(config: TrainingConfig, n: int, spread: float, watched: bool = False):
     """The engine's estimator. For the ridge, Spark scales its penalty by the label's deviation, which is taken back here; for the logistic one the
-    penalty is per row."""
+    penalty is per row. boosted takes rounds, rate, depth and patience as parameters; it stops early on watched rows."""
+    weights = {"weightCol": "_weight"} if config.weight else {}
     if config.engine == "ridge":
-        return LinearRegression(featuresCol="_features", labelCol="_label", predictionCol="_raw", elasticNetParam=0.0, standardization=False, solver="auto", regParam=config.strength * spread / max(n, 1), **config.params)
+        return LinearRegression(featuresCol="_features", labelCol="_label", predictionCol="_raw", elasticNetParam=0.0, standardization=False, solver="auto", regParam=config.strength * spread / max(n, 1), **weights, **config.params)
     if config.engine == "logistic":
-        return LogisticRegression(featuresCol="_features", labelCol="_label", predictionCol="_raw", elasticNetParam=0.0, standardization=False, regParam=config.strength / max(n, 1), **config.params)
-    return GBTRegressor(featuresCol="_features", labelCol="_label", predictionCol="_raw", seed=config.seed, **{"maxIter": 20, "maxDepth": 5} | config.params)
+        return LogisticRegression(featuresCol="_features", labelCol="_label", predictionCol="_raw", elasticNetParam=0.0, standardization=False, regParam=config.strength / max(n, 1), **weights, **config.params)
+    if config.engine == "boosted":
+        return BoostedTrees(objective=config.objective, weight="_weight" if config.weight else None, validation="_watched" if watched else None, seed=config.seed, **config.params)
+    return GBTRegressor(featuresCol="_features", labelCol="_label", predictionCol="_raw", seed=config.seed, **weights, **{"maxIter": 20, "maxDepth": 5} | config.params)
 
 
-def fit_fold(train: DataFrame, config: TrainingConfig) -> tuple[PipelineModel, dict[str, float]]:
+def fit_fold(train: DataFrame, config: TrainingConfig, watched: DataFrame | None = None) -> tuple[PipelineModel, dict[str, float]]:
+    """The fold's model and medians. Features are fitted on train only; rows of watched serve early stopping alone."""
     fill = medians(train, list(config.numeric)) if config.numeric else {}
     label = F.log1p(F.col(config.target)) if config.log_target and config.engine != "logistic" else F.col(config.target).cast("double")
-    ready = prepare(train, config, fill).withColumn("_label", label)
+    named = {"_label": label, "_watched": F.lit(False)} | ({"_weight": F.col(config.weight).cast("double")} if config.weight else {})
+    ready = prepare(train, config, fill).withColumns(named)
+    if config.engine == "boosted" and watched is not None:
+        features = Pipeline(stages=feature_stages(config)).fit(ready)
+        both = features.transform(ready).unionByName(features.transform(prepare(watched, config, fill).withColumns(named | {"_watched": F.lit(True)})))
+        return PipelineModel([*features.stages, estimator(config, 0, 1.0, True).fit(both)]), fill
     row = ready.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("_label").alias("s")).first()
     return Pipeline(stages=[*feature_stages(config), estimator(config, row["n"], row["s"] or 1.0)]).fit(ready), fill
 
@@ -142,7 +154,7 @@ def train_cross_validated(train: DataFrame, config: TrainingConfig, test: DataFr
     parts, models, scores = [], [], []
     metric = get_metric(config.metric)
     for _, fit_on, held in iter_folds(train, n_splits=config.n_splits, fold=config.fold, temporal=config.temporal):
-        model, fill = fit_fold(fit_on, config)
+        model, fill = fit_fold(fit_on, config, held)
         predicted = predict_fold(model, fill, held, config)
         models.append((model, fill))
         parts.append(predicted)

@@ -112,7 +112,7 @@ def tfidf_chars(spark, d):
     return rounded(text_features.tfidf(read(spark, d, "part").select("p_partkey", "p_name"), "p_partkey", text_features.char_terms(F.col("p_name"))))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size || '0 ml' WHEN 1 THEN '1,' || p_size || ' kg' WHEN 2 THEN p_size || 'x100 g' ELSE 'code OO' || p_size END AS label FROM part")
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size || '0 ml' WHEN 1 THEN '1,' || p_size || ' kg' WHEN 2 THEN p_size || 'x1O0g' ELSE 'code OO' || p_size END AS label FROM part")
 def label_text(spark, d):
     k, s = F.col("p_partkey") % 4, F.col("p_size").cast("string")
     raw = F.when(k == 0, F.concat(F.lit(" "), s, F.lit("O m l |"))).when(k == 1, F.concat(F.lit("1 , "), s, F.lit(" k  g;"))).when(k == 2, F.concat(s, F.lit("×1O0g"))).otherwise(F.concat(F.lit("code OO"), s))

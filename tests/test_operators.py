@@ -8,10 +8,11 @@ import unicodedata
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from quarryline.functions import ids, metrics, text
-from quarryline.operators import align, audit, blend, encode, images, residuals, splits, text_features, training, validate
+from quarryline.operators import align, audit, blend, boosting, encode, images, residuals, splits, text_features, training, validate
 from quarryline.plans.dag import Runner, Stage
 from quarryline.sources import tables
 
@@ -492,6 +493,34 @@ def test_dense_vectors(spark):
         text_features.fit_projection(v, "v", 9)
 
 
+def boosting_table(spark, n=300):
+    rng = np.random.default_rng(3)
+    x = rng.uniform(-1, 1, (n, 2))
+    y = np.exp(1 + x[:, 0] + (x[:, 1] > 0)) - 1
+    return frame(spark, [(i, float(a), float(b), float(v), int(i % 3), 0.0 if i % 10 == 0 else 1.0) for i, ((a, b), v) in enumerate(zip(x, y, strict=True))], "id int, a double, b double, price double, fold int, w double")
+
+
+@pytest.mark.parametrize("objective", ["squared", "log_smape", "raw_mape"])
+def test_boosting_on_surrogates(spark, objective):
+    t = boosting_table(spark)
+    v = VectorAssembler(inputCols=["a", "b"], outputCol="_features").transform(t.withColumn("_label", F.log1p("price") if objective != "raw_mape" else F.col("price"))).withColumn("_watched", F.col("fold") == 0)
+    trees = boosting.BoostedTrees(objective=objective, rounds=25, rate=0.3, depth=3, patience=3, validation="_watched", weight="w")
+    model = trees.fit(v)
+    out = model.transform(v.filter("_watched"))
+    mean = out.agg(F.avg(boosting.loss(objective, F.col("_label"), F.col("_raw")))).first()[0]
+    assert mean == pytest.approx(min(trees.losses)) and mean < trees.losses[0]
+    assert len(model.trees) == 2 + trees.losses.index(min(trees.losses))
+    with pytest.raises(ValueError):
+        boosting.BoostedTrees(objective="other")
+
+
+def test_boosted_engine_with_weights(spark):
+    t = boosting_table(spark, 150)
+    config = training.TrainingConfig(numeric=("a", "b"), engine="boosted", n_splits=3, weight="w", objective="log_smape", params={"rounds": 8, "rate": 0.4, "depth": 3})
+    result = training.train_cross_validated(t, config, t)
+    assert result.score < 0.6 and result.oof.count() == result.test.count() == 150
+
+
 def test_training_on_texts(spark):
     rows = [(i, f"{'silk' if i % 2 else 'cotton'} shirt {i % 7}", "rare" if i == 3 else "usual", 500.0 if i % 2 else 100.0, i % 3) for i in range(60)]
     t = frame(spark, rows, "id int, name string, kind string, price double, fold int")
