@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import csv
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryline.sources.tables import malformed_rows, round_trip_equal
+
 SCHEMA = "severity string, code string, column string, value double, message string"
 
 
@@ -80,7 +85,7 @@ def validate_submission(submission: DataFrame, sample: DataFrame, *, key: str, t
         if r["rows"] > 1 and r[f"{t}|k"] == 1:
             say("CONSTANT_PREDICTIONS", t, 1, "all predictions are equal", "warning")
         if t in wanted and not other and not repeated:
-            same = submission.select(key, F.col(t).alias("_x")).join(sample.select(key, F.col(t).alias("_y")), key).agg(F.bool_and(F.coalesce(F.col("_x").eqNullSafe(F.col("_y")), F.lit(False))).alias("s"), F.count("_y").alias("n")).first()
+            same = submission.select(key, F.col(t).try_cast(sample.schema[t].dataType).alias("_x")).join(sample.select(key, F.col(t).alias("_y")), key).agg(F.bool_and(F.coalesce(F.col("_x").eqNullSafe(F.col("_y")), F.lit(False))).alias("s"), F.count("_y").alias("n")).first()
             if same["s"] and same["n"]:
                 say("UNCHANGED_SAMPLE_VALUES", t, same["n"], "the sample's own values", "warning")
     if probabilities:
@@ -93,3 +98,39 @@ def validate_submission(submission: DataFrame, sample: DataFrame, *, key: str, t
 def assert_valid(issues: DataFrame) -> None:
     if bad := [r["code"] for r in issues.filter("severity = 'error'").collect()]:
         raise SubmissionInvalid(", ".join(bad))
+
+
+def validate_submission_file(spark: SparkSession, path: str, sample: DataFrame, *, key: str, targets: list[str], scratch: str | None = None, **options) -> DataFrame:
+    """Issues of a CSV file, before and after it is read: FILE_NOT_FOUND, EMPTY_FILE, MISSING_HEADER, DUPLICATE_COLUMNS, CSV_READ_ERROR
+    (bytes that aren't UTF-8), MALFORMED_CSV_ROWS, then those of validate_submission, and CSV_ROUND_TRIP_FAILED where
+    scratch names a place to write to. The file is read by Spark only, from any store."""
+    issue = lambda code, column, value, message: spark.createDataFrame([("error", code, column, None if value is None else float(value), message)], SCHEMA)
+    try:
+        lines = spark.read.text(path)
+        first = lines.limit(1).collect()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return issue("FILE_NOT_FOUND", None, None, "there is no such file")
+        raise
+    if not first:
+        return issue("EMPTY_FILE", None, None, "the file is empty")
+    if not first[0]["value"].strip():
+        return issue("MISSING_HEADER", None, None, "the first line is blank")
+    broken = lines.filter(~F.is_valid_utf8("value")).count()
+    if broken:
+        return issue("CSV_READ_ERROR", None, broken, "lines that aren't UTF-8")
+    names = next(csv.reader([first[0]["value"].removeprefix("﻿")]))
+    repeated = sorted({n for n in names if names.count(n) > 1})
+    if repeated:
+        return issue("DUPLICATE_COLUMNS", repeated[0], len(repeated), "column names repeat")
+    ragged = malformed_rows(spark, path)
+    n = ragged.count()
+    if n:
+        return issue("MALFORMED_CSV_ROWS", None, n, f"rows with another number of fields than the header, from line {ragged.first()['line']}")
+    table = spark.read.option("header", True).csv(path)
+    found = validate_submission(table, sample, key=key, targets=targets, **options)
+    if scratch and found.filter("severity = 'error'").isEmpty():
+        typed = table.select(key, *(F.col(t).try_cast("double").alias(t) if options.get("task", "regression") == "regression" else F.col(t) for t in targets))
+        if not round_trip_equal(spark, typed, scratch, key):
+            found = found.unionByName(issue("CSV_ROUND_TRIP_FAILED", None, None, "what is written isn't what is read again"))
+    return found
