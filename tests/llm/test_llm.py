@@ -142,10 +142,10 @@ def vector_table(spark, n=300, d=16):
     return spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").withColumn("times", F.lit("clash")), {i: (np.array(v), y) for i, v, y in data[:n]}
 
 
-@pytest.mark.parametrize("cell_rows", [1024, 16])
-def test_vector_links_equal_brute_force(spark, cell_rows):
+@pytest.mark.parametrize(("cell_rows", "most_pivots"), [(1024, 4096), (16, 4096), (4, 8)])
+def test_vector_links_equal_brute_force(spark, cell_rows, most_pivots):
     table, data = vector_table(spark)
-    out = embedding_join.near_duplicate_vectors(table, cell_rows=cell_rows)
+    out = embedding_join.near_duplicate_vectors(table, cell_rows=cell_rows, most_pivots=most_pivots)
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in out.collect() if r["vec_id"] is not None}
     link = {i: [j for j, (v, z) in data.items() if j != i and y == z and u @ v / math.sqrt((u @ u) * (v @ v)) >= 0.98] for i, (u, y) in data.items()}
     assert out.count() == len(data) + 7
