@@ -8,7 +8,8 @@ import random
 import socket
 import time
 from collections.abc import Callable, Iterator
-from urllib.parse import urlsplit
+from email.utils import parsedate_to_datetime
+from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +20,7 @@ from quarryline.functions.quantities import physical_specs
 from quarryline.functions.text import LABEL_ENTITIES
 
 OK = ("downloaded", "cached")
+REDIRECTED = (301, 302, 303, 307, 308)
 RETRIED = (408, 425, 429, 500, 502, 503, 504)
 
 
@@ -81,16 +83,39 @@ def public_addresses(host: str, resolve: Callable = socket.getaddrinfo) -> list[
 
 
 def backoff(attempt: int, header: str | None, base: float = 0.75, most: float = 30.0) -> float:
-    """Seconds to wait before the next attempt: what the server asks for, up to most, else growing with jitter."""
+    """Seconds to wait before the next attempt: what the server asks for, in seconds or as a date, up to most; else growing
+    with jitter."""
     if header and header.strip().isdigit():
         return min(most, float(header))
+    if header:
+        try:
+            at = parsedate_to_datetime(header)
+            return min(most, max(0.0, at.timestamp() - time.time()))
+        except (TypeError, ValueError):
+            pass
     return min(most, base * 2**attempt + random.random() * base)
 
 
-def fetch_images(references: DataFrame, fetch: Callable[[str], tuple[int, str | None, bytes]], *, known: DataFrame | None = None, attempts: int = 4, most_bytes: int = 25 * 2**20, check_host: bool = True, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+def request(fetch: Callable, url: str, check_host: bool, most_redirects: int = 5) -> tuple[int, str | None, bytes]:
+    """fetch's answer, with redirects followed. Where hosts are checked, every hop's host is, and fetch gets the checked address
+    to connect to, so that the name can't be resolved to an inner one in between."""
+    for _ in range(most_redirects + 1):
+        parts = urlsplit(url)
+        if parts.scheme not in ("http", "https") or not parts.hostname:
+            raise PermissionError(f"{url} isn't an address of the web")
+        code, header, body = fetch(url, public_addresses(parts.hostname)[0]) if check_host else fetch(url)
+        if code not in REDIRECTED or not header:
+            return code, header, body
+        url = urljoin(url, header)
+    raise PermissionError("too many redirects")
+
+
+def fetch_images(references: DataFrame, fetch: Callable[..., tuple[int, str | None, bytes]], *, known: DataFrame | None = None, attempts: int = 4, most_bytes: int = 25 * 2**20, check_host: bool = True, wait: Callable[[float], None] = time.sleep) -> DataFrame:
     """references with status, http_status, byte_count, content_sha256, attempts, error.
 
-    Distinct addresses are fetched once on the executors through fetch(url) -> (status, Retry-After, body) and joined back; those in
+    Distinct addresses are fetched once on the executors through fetch(url, address) -> (status, header, body), which connects to
+    the address given (where check_host is off, fetch(url)), and joined back; header is Retry-After, or of a redirect its
+    Location. Redirects are followed by the same checks (request). Those in
     known (url_sha256, content_sha256, byte_count), a table of earlier results, aren't fetched again.
     """
     urls = references.filter("source_url is not null").select("url_sha256", "source_url").distinct()
@@ -107,10 +132,8 @@ def fetch_images(references: DataFrame, fetch: Callable[[str], tuple[int, str |
             for key, url in zip(pdf["url_sha256"], pdf["source_url"], strict=True):
                 code, size, digest, error, n = None, None, None, None, 0
                 try:
-                    if check_host:
-                        public_addresses(urlsplit(url).hostname)
                     for n in range(1, attempts + 1):
-                        code, header, body = fetch(url)
+                        code, header, body = request(fetch, url, check_host)
                         if code in RETRIED and n < attempts:
                             wait(backoff(n - 1, header))
                             continue

@@ -20,11 +20,12 @@ def shuffle_key(key: Column, seed: int) -> Column:
 def _ranked_folds(df: DataFrame, key: str, strata: Column, n: int, seed: int, fold: str) -> DataFrame:
     """Fold = place in the order of (stratum, shuffle), modulo n: at most 1 apart within strata and overall.
 
-    The place is the number of rows in earlier strata and shuffle buckets, of which there are a bounded number, plus the
-    rank within one: rows are ranked in many partitions, never in one.
+    The place is the number of rows in earlier strata and shuffle buckets, of which there are as many as the rows need, plus
+    the rank within one: rows are ranked in many partitions, never in one.
     """
-    buckets = 256
-    marked = df.withColumns({"_s": strata, "_h": shuffle_key(F.col(key), seed)}).withColumn("_b", F.conv(F.substring("_h", 1, 2), 16, 10).cast("int"))
+    n_rows = df.count()
+    digits = next((k for k in range(2, 7) if n_rows <= 50_000 * 16**k), 7)  # of the hash: buckets hold 50,000 rows or fewer
+    marked = df.withColumns({"_s": strata, "_h": shuffle_key(F.col(key), seed)}).withColumn("_b", F.conv(F.substring("_h", 1, digits), 16, 10).cast("int"))
     sizes = marked.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_n"))
     total = sizes.groupBy("_s").agg(F.sum("_n").alias("_t"))
     before = total.withColumn("_o", F.sum("_t").over(Window.orderBy("_s")) - F.col("_t")).select(F.col("_s").alias("_s1"), "_o")
@@ -32,7 +33,6 @@ def _ranked_folds(df: DataFrame, key: str, strata: Column, n: int, seed: int, fo
     offsets = within.join(before, F.col("_s").eqNullSafe(F.col("_s1"))).select(F.col("_s").alias("_s2"), F.col("_b").alias("_b2"), (F.col("_o") + F.col("_w")).alias("_at"))
     joined = marked.join(offsets, F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_b") == F.col("_b2")))
     rank = F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", key)) - 1
-    assert buckets == 256
     return joined.withColumn(fold, F.pmod(F.col("_at") + rank, F.lit(n)).cast("short")).select(*df.columns, fold)
 
 
@@ -196,6 +196,43 @@ def validate_folds(df: DataFrame, *, fold: str = "fold", n_splits: int = 5, grou
         raise ValueError("a group lies in several folds")
 
 
+def check_feasible(df: DataFrame, n_splits: int, *, strata: Column | None = None, group: str | None = None, time: str | None = None) -> None:
+    """Raises InfeasibleStrata where n_splits folds can't be had: too few rows, rows of a stratum, groups, groups of a stratum, or times."""
+    if n_splits < 2:
+        raise InfeasibleStrata("folds are 2 at least")
+
+    def need(n: int | None, what: str, least: int = n_splits) -> None:
+        if (n or 0) < least:
+            raise InfeasibleStrata(f"{n or 0} {what}, but {least} are needed")
+
+    need(df.count(), "rows")
+    if time:
+        need(df.select(time).filter(F.col(time).isNotNull()).distinct().count(), "times", n_splits + 1)
+    unit = [] if group is None else [group]
+    if group:
+        need(df.select(group).distinct().count(), "groups")
+    if strata is not None:
+        sizes = df.select(strata.cast("string").alias("_s"), *unit)
+        by = sizes.groupBy("_s").agg(F.count_distinct(*unit).alias("n") if group else F.count(F.lit(1)).alias("n"))
+        need(by.agg(F.min("n")).first()[0], "rows or groups in the smallest stratum")
+
+
+def stratified_or_kfold(df: DataFrame, key: str, target: str, *, n_splits: int = 5, seed: int = 42, bins: int = 20, fold: str = "fold") -> tuple[DataFrame, str]:
+    """(df with folds, strategy): folds stratified by the target's bins, or plain ones where it has too few values or rows for bins."""
+    try:
+        stratum, _ = regression_strata(df, target, n_splits=n_splits, bins=bins)
+    except InfeasibleStrata:
+        return kfold(df, key, n_splits=n_splits, seed=seed, fold=fold), "kfold"
+    return stratified(df, key, stratum, n_splits=n_splits, seed=seed, fold=fold), "stratified"
+
+
+def fold_metadata(df: DataFrame, key: str, *, strategy: str, n_splits: int, seed: int, fold: str = "fold") -> dict:
+    """What a fold file is of: strategy, settings, rows of each fold, and a fingerprint of keys and folds whatever their order."""
+    sizes = {str(r[fold]): r["count"] for r in df.groupBy(fold).count().collect()}
+    row = df.agg(F.sum(F.xxhash64(key, fold).cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(key, fold)).alias("x")).first()
+    return {"strategy": strategy, "n_splits": n_splits, "seed": seed, "rows": sum(sizes.values()), "fold_rows": sizes, "fingerprint": f"{row['s']}:{row['x']}"}
+
+
 def leaking_groups(df: DataFrame, group: str, fold: str = "fold") -> DataFrame:
     return df.groupBy(group).agg(F.countDistinct(fold).alias("n_folds")).filter("n_folds > 1")
 

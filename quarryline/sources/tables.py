@@ -117,6 +117,26 @@ def adapt_catalog(df: DataFrame, key: str = "sample_id", text: str = "catalog_co
     return df.select(*out, F.coalesce(F.col(image), F.lit("")).alias("IMAGE_URL"))
 
 
+def adapt_tables(train: DataFrame, test: DataFrame, sample: DataFrame, *, key: str = "sample_id", price: str = "price", order: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(train, test, sample) in the canonical layout, after checks: needed columns, ids neither blank nor repeated, the same ids in
+    test and sample (and the same places, by a column that states them), prices that are finite and not negative."""
+    for name, df, needed in (("train", train, [key, "catalog_content", "image_link", price]), ("test", test, [key, "catalog_content", "image_link"]), ("sample", sample, [key, price])):
+        require_columns(df, needed)
+        ids = df.select(F.trim(F.col(key).cast("string")).alias(key))
+        if not ids.filter(F.coalesce(F.col(key), F.lit("")) == "").isEmpty():
+            raise ValueError(f"{name} has blank ids")
+        require_unique_ids(ids, key)
+    own, wanted = (df.select(F.trim(F.col(key).cast("string")).alias("_id"), *([F.col(order).alias(f"_{n}")] if order else [])) for n, df in enumerate((test, sample)))
+    joined = own.withColumn("_a", F.lit(True)).join(wanted.withColumn("_b", F.lit(True)), "_id", "full_outer")
+    moved = F.col("_0") != F.col("_1") if order else F.lit(False)
+    if not joined.filter(F.col("_a").isNull() | F.col("_b").isNull() | moved).isEmpty():
+        raise ValueError("test and sample hold different ids, or in other places")
+    value = F.col(price).try_cast("double")
+    if not train.filter(~F.coalesce((value >= 0) & ~F.isnan(value) & (value < float("inf")), F.lit(False))).isEmpty():
+        raise ValueError("prices are finite numbers, and not negative")
+    return adapt_catalog(train, key, price=price), adapt_catalog(test, key, price=None), sample.select(F.trim(F.col(key).cast("string")).alias("PRODUCT_ID"), F.col(price).cast("double").alias("PRICE"))
+
+
 def split_labelled(df: DataFrame, key: str, price: str, *, share: float = 0.75, seed: int = 42) -> DataFrame:
     """df with role: unlabelled where the price is null; else train or valid.
 

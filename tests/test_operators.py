@@ -4,7 +4,9 @@ import collections
 import hashlib
 import math
 import re
+import time
 import unicodedata
+from email.utils import formatdate
 
 import numpy as np
 import pytest
@@ -553,6 +555,48 @@ def test_fetch(spark):
     assert images.alias_stems(frame(spark, [("A",), ("a",), ("x y",)], "id string"), "id").filter("alias = 'x_y'").count() == 1
 
 
+def test_requests_check_every_hop(monkeypatch):
+    monkeypatch.setattr(images.socket, "getaddrinfo", lambda host, port: [(0, 0, 0, "", ("10.0.0.1" if host == "inner" else "93.184.216.34", 0))])
+    monkeypatch.setattr(images.public_addresses, "__defaults__", (images.socket.getaddrinfo,))
+    asked = []
+
+    def fetch(url, address):
+        asked.append((url, address))
+        return {"http://a/1": (302, "/2", b""), "http://a/2": (301, "https://b/x", b""), "https://b/x": (200, None, b"ok"), "http://a/in": (302, "http://inner/", b""), "http://a/round": (302, "/round", b"")}[url]
+
+    assert images.request(fetch, "http://a/1", True) == (200, None, b"ok")
+    assert asked == [(u, "93.184.216.34") for u in ("http://a/1", "http://a/2", "https://b/x")]
+    for url in ("http://a/in", "http://a/round", "ftp://a/x"):
+        with pytest.raises(PermissionError):
+            images.request(fetch, url, True)
+    soon = formatdate(time.time() + 12, usegmt=True)
+    assert 9 < images.backoff(0, soon) <= 12 and images.backoff(0, formatdate(0, usegmt=True)) == 0 and images.backoff(0, "later") < 2
+
+
+def test_fold_feasibility(spark):
+    t = frame(spark, [(i, i % 3, "a" if i < 3 else "b", float(i % 2), i) for i in range(12)], "id int, g int, c string, price double, t int")
+    splits.check_feasible(t, 3, strata=F.col("c"), time="t")
+    for n, options in ((4, {"strata": F.col("c")}), (4, {"group": "g"}), (13, {}), (12, {"time": "t"}), (1, {}), (3, {"group": "g", "strata": F.when(F.col("g") > 0, 1).otherwise(0)})):
+        with pytest.raises(splits.InfeasibleStrata):
+            splits.check_feasible(t, n, **options)
+    folds, strategy = splits.stratified_or_kfold(t.withColumn("price", F.lit(1.0)), "id", "price", n_splits=3)
+    assert strategy == "kfold" and splits.stratified_or_kfold(t, "id", "t", n_splits=3, bins=3)[1] == "stratified"
+    made = splits.fold_metadata(folds, "id", strategy=strategy, n_splits=3, seed=42)
+    assert made["rows"] == 12 and made["fold_rows"] == {"0": 4, "1": 4, "2": 4}
+    assert made == splits.fold_metadata(folds.orderBy(F.desc("id")), "id", strategy=strategy, n_splits=3, seed=42)
+
+
+def test_raw_tables_are_checked(spark):
+    train = frame(spark, [("1", "a", "u", "5"), ("2", "b", None, "0")], "sample_id string, catalog_content string, image_link string, price string")
+    test = train.drop("price").withColumn("sample_id", F.concat(F.lit("t"), "sample_id")).withColumn("n", F.col("sample_id"))
+    sample = test.select("sample_id", F.lit(0.0).alias("price"), "n")
+    a, b, c = tables.adapt_tables(train, test, sample, order="n")
+    assert a.columns[:3] == ["PRODUCT_ID", "PRICE", "TITLE"] and "PRICE" not in b.columns and c.count() == 2
+    for bad in ((train.withColumn("price", F.lit("-1")), test, sample), (train.withColumn("price", F.lit("x")), test, sample), (train, test, sample.limit(1)), (train.union(train), test, sample), (train.withColumn("sample_id", F.lit(" ")), test, sample), (train, test, sample.withColumn("n", F.lit("z")))):
+        with pytest.raises(ValueError):
+            tables.adapt_tables(*bad, order="n")
+
+
 def test_detections(spark):
     d = "array<struct<text:string,confidence:double,bbox:array<int>,variant:string>>"
     rows = [([("NET WT 500 g", 0.9, [0, 0, 10, 10], "rgb"), ("net wt 500 G", 0.8, [0, 50, 10, 60], "gray"), ("other", 0.7, [0, 0, 10, 10], "rgb"), ("low", 0.1, [0, 90, 1, 91], "rgb")],)]
