@@ -177,9 +177,9 @@ def _sampled_partners(queries, threshold: float, most: int = 4):
         held: list[list[int]] = [[] for _ in asked]
         for pdf in batches:
             k = pdf["k"].to_numpy()
-            for i in range(0, len(pdf), 512):
-                sig = np.stack(pdf["sig"].iloc[i : i + 512].to_list())
-                alike = (sketches[:, None, :] == sig[None]).mean(axis=2) >= threshold
+            for i in range(0, len(pdf), 128):
+                sig = np.stack(pdf["sig"].iloc[i : i + 128].to_list())
+                alike = np.count_nonzero(sketches[:, None, :] == sig[None], axis=2) >= threshold * COORDINATES
                 for q, at in zip(*np.nonzero(alike), strict=True):
                     if len(held[q]) < most and asked[q] != k[i + at]:
                         held[q].append(int(k[i + at]))
@@ -240,7 +240,7 @@ def _row_hash(docs: DataFrame):
     return F.xxhash64(*(F.to_json(F.struct(docs[f"`{c}`"].alias("v"))) for c in sorted(docs.columns)))
 
 
-def _linked(docs: DataFrame, *, threshold: float = 0.8, words: int = 5, recall: float = 0.999, runs: int = 10, most_rounds: int = 4, small: int = 256, depth: int = 4, block: int = 512, sample: int = 128, most_broadcast: int = 500_000, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _linked(docs: DataFrame, *, threshold: float = 0.8, words: int = 5, recall: float = 0.999, runs: int = 10, most_rounds: int = 4, small: int = 256, depth: int = 4, block: int = 512, sample: int = 384, most_broadcast: int = 500_000, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, reps, found): per row doc_id, k (its set's fingerprint) and row (a hash of the whole row); per set its
     smallest id and its number of rows; and links as link_result takes them."""
     spark = docs.sparkSession
@@ -311,7 +311,7 @@ def jaccard_groups(docs: DataFrame, **options) -> DataFrame:
     pair is emitted as a row (tasks return link counts and spanning stars).
 
     Options are those of _linked: threshold 0.8, words 5, recall 0.999, runs 10, most_rounds 4 (an error
-    is raised if they don't reach the recall), small 256, depth 4, block 512, sample 128, most_broadcast 500,000
+    is raised if they don't reach the recall), small 256, depth 4, block 512, sample 384, most_broadcast 500,000
     (more candidates than that meet the texts in a join by doc_id instead; the result is the same), seed 7.
 
     Equal shingle sets are joined once and counted. Rows with a null text, or without words, link with nothing: their
