@@ -86,7 +86,7 @@ def rewritten(text: Column, pattern: str, change) -> Column:
     return F.when(text.rlike(pattern), whole).otherwise(text)
 
 
-def _tidy(text: Column) -> Column:
+def tidy_label(text: Column) -> Column:
     """normal_label_text of text in compatibility form."""
     s = F.translate(text, "×✕•", "xx ")
     s = F.regexp_replace(F.regexp_replace(s, SPLIT_UNIT, "$1$2"), SPACED_NUMBER, "$1$2$3")
@@ -101,20 +101,22 @@ def _tidy(text: Column) -> Column:
 def normal_label_text(text: Column) -> Column:
     """Text read off a label in one spelling: NFKC, signs, "1 . 5" and "m l" closed up, O as 0 in a number before a unit, one
     blank between both, single blanks, no marks at the ends. Null counts as empty."""
-    return _tidy(compatibility_form(F.coalesce(text, F.lit(""))))
+    return tidy_label(compatibility_form(F.coalesce(text, F.lit(""))))
 
 
-def packaging_text(lines: Column) -> Column:
+def packaging_text(lines: Column, *, compatible: bool = False) -> Column:
     """(text, rejected) of an array of label lines: those that state a quantity, joined by " | ", and the others.
 
     "buy x get y free" becomes "pack of x+y"; promotions go; lines alike but for case and signs count once; nutrition facts
-    stay only beside net contents or packs. Empty lines count as none; a null array gives an empty text.
+    stay only beside net contents or packs. Empty lines count as none; a null array gives an empty text. Lines that are
+    NFKC already (compatible) need no Python.
     """
-    whole = compatibility_form(F.array_join(F.transform(F.coalesce(lines, F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit(""))), "\x01"))
+    given = F.coalesce(lines, F.array().cast("array<string>"))
+    raw = given if compatible else F.split(compatibility_form(F.array_join(F.transform(given, lambda x: F.coalesce(x, F.lit(""))), "\x01")), "\x01")
     number = lambda hit, i: F.regexp_extract(hit, BUY_GET, i).cast("long")
     offer = lambda t: rewritten(t, BUY_GET, lambda hit: F.concat(F.lit("pack of "), (number(hit, 1) + number(hit, 2)).cast("string")))
-    tidy = F.filter(F.transform(F.split(whole, "\x01"), _tidy), lambda t: t != "")
-    pairs = F.transform(tidy, lambda t: let(offer(t), lambda line: F.struct(line.alias("line"), _tidy(F.regexp_replace(line, PROMOTION, " ")).alias("kept"))))
+    tidy = F.filter(F.transform(raw, lambda t: tidy_label(F.coalesce(t, F.lit("")))), lambda t: t != "")
+    pairs = F.transform(tidy, lambda t: let(offer(t), lambda line: F.struct(line.alias("line"), tidy_label(F.regexp_replace(line, PROMOTION, " ")).alias("kept"))))
     keyed = F.transform(pairs, lambda x: F.struct(x["line"].alias("line"), x["kept"].alias("kept"), F.lower(F.regexp_replace(x["kept"], r"(?U)\W+", "")).alias("key")))
 
     def judged(rows: Column) -> Column:
