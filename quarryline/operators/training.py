@@ -10,7 +10,7 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +22,7 @@ from quarryline.operators.blend import aggregate_folds, clamp
 from quarryline.operators.boosting import BoostedTrees
 from quarryline.operators.encode import medians
 from quarryline.operators.splits import iter_folds
-from quarryline.operators.text_features import RareOneHot, TfIdf
+from quarryline.operators.text_features import RareOneHot, TfIdf, UnitScale
 from quarryline.sources.tables import require_columns, require_unique_ids
 
 
@@ -92,7 +92,7 @@ def feature_stages(config: TrainingConfig) -> list:
         stages.append(RareOneHot(c, f"_{c}_v", config.least_documents))
         inputs.append(f"_{c}_v")
     if config.numeric:
-        stages += [VectorAssembler(inputCols=list(config.numeric), outputCol="_numbers", handleInvalid="error"), StandardScaler(inputCol="_numbers", outputCol="_numbers_v", withMean=False, withStd=True)]
+        stages += [VectorAssembler(inputCols=list(config.numeric), outputCol="_numbers", handleInvalid="error"), UnitScale("_numbers", "_numbers_v")]
         inputs.append("_numbers_v")
     return [*stages, VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="error")]
 
