@@ -138,7 +138,7 @@ def _join(threshold: float):
                     new = (members["k"].to_numpy(), np.asarray(members["vector"].to_list(), np.float64))
                     block = new if block is None else tuple(np.concatenate(x) for x in zip(block, new, strict=True))
                     counts = np.zeros(len(block[0]), np.int64)
-                for i in range(0, len(others), 2048):
+                for i in range(0, len(others) if block is not None else 0, 2048):  # a block may have none at home
                     out += compare(block, others.iloc[i : i + 2048], counts)
             yield frame(out)
         yield frame(finish(block, counts))
