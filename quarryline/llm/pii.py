@@ -132,7 +132,8 @@ def redact(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
 
 def span_digests(docs: DataFrame) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, top_score."""
+    """Per row of docs (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added (spans of added kinds). Scores
+    are in the pii_spans of personal_spans. A null text counts as empty; null and repeated doc_ids keep their rows."""
     found = personal_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "pii_spans")
 
     def shown(spans: Column) -> Column:
