@@ -520,7 +520,40 @@ def narrower_types(spark, d):
     return audit.narrower_types(read(spark, d, "part"), ["p_size", "p_retailprice"])
 
 
-@query()
+_F = "o_custkey, o_orderstatus, o_orderpriority, x"
+
+
+def _found(level: str, code: str, column: str | None, value: str, message: str, where: str, source: str) -> str:
+    return f"SELECT '{level}' AS severity, '{code}' AS code, {f"'{column}'" if column else 'NULL'} AS \"column\", ({value})::DOUBLE AS value, '{message}' AS message FROM ({source}) WHERE {where}"
+
+
+def _ks(column: str) -> str:
+    return f"""SELECT max(abs(a / n - b / m)) AS v FROM (SELECT sum(sum(train::INT)) OVER o AS a, sum(sum((NOT train)::INT)) OVER o AS b, (SELECT count(*) FROM h WHERE train) AS n, (SELECT count(*) FROM h WHERE NOT train) AS m
+ FROM h GROUP BY {column} WINDOW o AS (ORDER BY {column} ROWS UNBOUNDED PRECEDING))"""
+
+
+def _shares(column: str, what: str) -> str:
+    return f"SELECT {what} AS v FROM (SELECT count(*) FILTER (train) AS a, count(*) FILTER (NOT train) AS b, (SELECT count(*) FROM h WHERE train) AS n, (SELECT count(*) FROM h WHERE NOT train) AS m FROM h GROUP BY {column})"
+
+
+_FOUND = [
+    _found("error", "ID_DUPLICATE", "o_orderkey", "v", "rows", "v > 0", "SELECT coalesce(sum(n), 0) AS v FROM (SELECT count(*) AS n FROM h WHERE train GROUP BY o_orderkey HAVING count(*) > 1)"),
+    _found("error", "TARGET_MISSING", "o_totalprice", "v", "rows without a target", "v > 0", "SELECT count(*) AS v FROM h WHERE train AND o_totalprice IS NULL"),
+    _found("error", "TARGET_CLONE_FEATURE", "x", "1", "equals the target", "v", "SELECT bool_and(x = o_totalprice) AS v FROM h WHERE train"),
+    _found("warning", "NEAR_PERFECT_TARGET_CORRELATION", "o_custkey", "v", "correlates with the target", "abs(v) >= 0.995", "SELECT corr(o_custkey, o_totalprice) AS v FROM h WHERE train"),
+    _found("warning", "CONFLICTING_DUPLICATE_TARGETS", "o_totalprice", "v", "equal features with different targets", "v > 0", f"SELECT count(*) AS v FROM (SELECT 1 FROM h WHERE train GROUP BY {_F} HAVING count(DISTINCT o_totalprice) > 1)"),
+    _found("warning", "EXACT_DUPLICATE_ROWS", None, "v", "rows that repeat", "v > 0", f"SELECT coalesce(sum(n), 0) AS v FROM (SELECT count(*) AS n FROM h WHERE train GROUP BY {_F}, o_totalprice HAVING count(*) > 1)"),
+    _found("info", "DUPLICATE_TRAIN_FEATURES", None, "v", "rows whose features repeat", "v > 0", f"SELECT coalesce(sum(n), 0) AS v FROM (SELECT count(*) AS n FROM h WHERE train GROUP BY {_F} HAVING count(*) > 1)"),
+    _found("warning", "TRAIN_TEST_FEATURE_OVERLAP", None, "v", "test rows whose features are in train", "v > 0", f"SELECT count(*) AS v FROM h WHERE NOT train AND ({_F}) IN (SELECT ({_F}) FROM h WHERE train)"),
+    *(_found("warning", "HIGH_MISSING_RATE", c, "v", "many values are missing", "v >= 0.3", f"SELECT avg(({c} IS NULL)::INT) AS v FROM h WHERE train") for c in _F.split(", ")),
+    *(_found("warning", "CONSTANT_COLUMN", c, "v", "one value or none", "v <= 1", f"SELECT count(DISTINCT {c}) AS v FROM h WHERE train") for c in _F.split(", ")),
+    *(_found("warning", "NUMERIC_DRIFT", c, "v", "distributions differ", "v >= 0.2", _ks(c)) for c in ("o_custkey", "x")),
+    *(_found("warning", "CATEGORICAL_DRIFT", c, "v", "shares differ", "v >= 0.2", _shares(c, "sum(abs(a / n - b / m)) / 2")) for c in ("o_orderstatus", "o_orderpriority")),
+    *(_found("warning", "UNSEEN_TEST_CATEGORIES", c, "v", "test has new categories", "v >= 0.1", _shares(c, "sum(CASE WHEN a = 0 THEN b / m ELSE 0 END)")) for c in ("o_orderstatus", "o_orderpriority")),
+]
+
+
+@query(f"WITH h AS ({_H}) " + " UNION ALL ".join(_FOUND))
 def audit_findings(spark, d):
     a, b = halves(spark, d)
     drop = ["o_orderdate"]

@@ -191,3 +191,19 @@ def golden_quantities(spark, d):
     return rounded(t.select("title", quantities.weight_grams(c).alias("grams"), quantities.volume_ml(c).alias("ml"), quantities.pack_count(c)["count"].alias("pack")))
 
 
+
+
+@query("""WITH t AS (SELECT p_partkey AS k, p_size AS s, p_size % 5 + 1 AS p FROM part),
+ v AS (SELECT *, CASE WHEN p > 1 AND (k % 7 <> 0 OR k % 6 IN (0, 2)) THEN p ELSE 1 END AS pack, CASE k % 6 WHEN 0 THEN s::DOUBLE WHEN 1 THEN (s + 0.5::DOUBLE) * 1000 END AS title_g, CASE WHEN k % 3 <> 0 THEN s::DOUBLE END AS text_g FROM t),
+ w AS (SELECT *, coalesce(title_g, text_g) AS g, CASE WHEN title_g IS NOT NULL THEN 1 WHEN text_g IS NOT NULL THEN 3 ELSE 0 END AS rank FROM v)
+ SELECT k AS PRODUCT_ID, pack::DOUBLE AS pack_count, (pack > 1)::INT AS is_multipack, g AS unit_weight_g, g * pack AS total_weight_g, round(ln(1 + g * pack), 4) AS log_total_weight_g, rank AS weight_source_rank, (rank = 3)::INT AS weight_is_per_item,
+ CASE k % 6 WHEN 2 THEN s::DOUBLE WHEN 5 THEN 500.0 END AS unit_volume_ml, CASE k % 6 WHEN 2 THEN s::DOUBLE * pack WHEN 5 THEN 500.0 * pack END AS total_volume_ml,
+ CASE WHEN k % 6 = 3 THEN greatest(s, p)::DOUBLE END AS dim_length_cm, CASE WHEN k % 6 = 3 THEN least(s, p)::DOUBLE END AS dim_width_cm, CASE WHEN k % 6 = 3 THEN (s * p)::DOUBLE END AS dim_volume_cm3,
+ CASE WHEN k % 6 = 4 THEN s::DOUBLE END AS power_watts, CASE WHEN k % 6 = 5 THEN 220.0::DOUBLE END AS voltage_volts, CASE WHEN k % 6 = 4 THEN p * 1000::DOUBLE END AS battery_mah, CASE WHEN k % 6 = 4 THEN 128.0::DOUBLE END AS storage_gb,
+ CASE WHEN k % 6 = 5 THEN s::DOUBLE END AS percentage_spec FROM w""")
+def specs_core(spark, d):
+    """The parsed columns that the catalog's texts decide."""
+    names = "pack_count unit_weight_g total_weight_g log_total_weight_g unit_volume_ml total_volume_ml dim_length_cm dim_width_cm dim_volume_cm3 power_watts voltage_volts battery_mah storage_gb percentage_spec".split()
+    out = quantities.physical_specs(catalog(spark, d))
+    flags = [F.col(c).cast("int").alias(c) for c in ("is_multipack", "weight_source_rank", "weight_is_per_item")]
+    return out.select("PRODUCT_ID", *(F.round(F.col(c).cast("double"), 4).alias(c) for c in names), *flags)
