@@ -219,6 +219,7 @@ def test_pieces_equal_the_library():
 def test_piece_queries(spark, odd, none):
     out = sentencepiece_bpe.round_trip_digests(odd, PIECES)
     assert out.count() == len(ODD) and sentencepiece_bpe.round_trip_digests(none, PIECES).count() == 0
+    assert [n > 2 for (n,) in rows(out.filter("doc_id is null"), "n_tokens")] == [True]
     empty = out.filter("doc_id = 1").first()
     assert empty["n_tokens"] == 2 and empty["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
     back = sentencepiece_bpe.decode_documents(sentencepiece_bpe.encode_documents(odd, PIECES), PIECES)
@@ -354,7 +355,9 @@ def test_classifiers_on_held_out_rows(spark, kind, classify):
 @pytest.mark.parametrize(("name", "classify", "drop"), [("toxic", toxicity.classify_toxicity, toxicity.drop_toxic), ("quality", quality.classify_quality, quality.drop_low_quality)])
 def test_classifiers_on_odd_tables(spark, odd, none, name, classify, drop):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, None), (None, 1), (5, 1), (6, 7)], f"doc_id long, {name} int")
-    assert classify(odd, labels).count() == len(ODD)
+    scored = classify(odd, labels).collect()
+    by_id = {i: {r["score"] for r in scored if r["doc_id"] == i} for i in (None, 1, 2, 5)}
+    assert len(scored) == len(ODD) and by_id[1] == by_id[2] and all(len(x) == 1 for x in by_id.values())  # null and empty texts, and repeated rows, score alike
     assert classify(odd, labels.limit(0)).filter("score is null").count() == 0
     assert classify(none, labels).count() == 0
     assert drop(odd, labels).columns == odd.columns
@@ -564,6 +567,7 @@ def test_licences(spark, odd, none):
     got = {r["doc_id"]: (r["license"], r["n_units"]) for r in licenses.scan_licenses(t).collect()}
     assert got[1] == ("MIT", 1) and got[2] == ("MIT", 1) and got[3] == (None, 0) and got[5] == (None, 0)
     assert licenses.scan_licenses(odd).count() == len(ODD) and licenses.scan_licenses(none).count() == 0
+    assert rows(licenses.scan_licenses(odd).filter("doc_id is null"), "license", "n_units") == [(None, 0)]
 
 
 def test_size_bounds_lose_nothing():
