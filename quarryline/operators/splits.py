@@ -70,13 +70,24 @@ class InfeasibleStrata(ValueError):
     pass
 
 
-def class_strata(df: DataFrame, target: str, *, n_splits: int = 5, rare: str = "pool") -> Column:
-    """The target as stratum, with classes of fewer than n_splits rows pooled, left out of the strata, or rejected."""
-    few = [r[target] for r in df.groupBy(target).count().filter(F.col("count") < n_splits).collect()]
+def class_strata(df: DataFrame, target: str, *, n_splits: int = 5, rare: str = "pool", most_listed: int = 1_000) -> Column:
+    """The target as stratum, with classes of fewer than n_splits rows pooled, or rejected. Null is a class of its own.
+
+    Up to most_listed rare classes are named in the column. Where there are more, it looks up each row's class in the table of
+    class sizes by a sorted join, so that the driver holds no more of them than that.
+    """
+    few = [r[target] for r in df.groupBy(target).count().filter(F.col("count") < n_splits).select(target).limit(most_listed + 1).collect()]
     if few and rare == "error":
-        raise InfeasibleStrata(f"classes with fewer than {n_splits} rows: {few}")
-    label = F.col(target).cast("string")
-    return F.when(F.col(target).isin(few), "__RARE__").otherwise(label) if few else label
+        raise InfeasibleStrata(f"classes with fewer than {n_splits} rows: {few[:20]}{' and more' if len(few) > 20 else ''}")
+    own, label = F.col(target), F.col(target).cast("string")
+    if not few:
+        return label
+    if len(few) > most_listed:
+        name = f"_{target}_class"
+        classes = df.select(own.alias(name)).hint("merge").alias("_classes").where(F.col(name).eqNullSafe(own.outer()))  # the alias hides df's own target, so that the outer one is meant
+        return F.when(classes.select(F.count(F.lit(1))).scalar() < n_splits, "__RARE__").otherwise(label)
+    listed = own.isin([c for c in few if c is not None])
+    return F.when(listed | own.isNull() if None in few else listed, "__RARE__").otherwise(label)
 
 
 def group_labels(df: DataFrame, columns: list[str], row_key: str, missing: str = "unique") -> Column:

@@ -153,6 +153,28 @@ def test_strata_rules(spark):
         splits.class_strata(c, "y", rare="error")
 
 
+def test_rare_classes_are_looked_up_where_they_are_many(spark):
+    rows = [(i, i // 2) for i in range(40)] + [(i, 100) for i in range(40, 50)] + [(i, None) for i in range(50, 53)]
+    t = frame(spark, rows, "id int, y int").withColumn("other", F.col("y") + 1)
+    want = {i: "100" if y == 100 else "__RARE__" for i, y in rows}
+    for most in (1_000, 21, 20, 0):  # 21 classes are rare, null among them
+        strata = splits.class_strata(t, "y", most_listed=most)
+        d = t.select("id", strata.alias("s"))
+        assert {r["id"]: r["s"] for r in d.collect()} == want
+        assert {r["s"]: r["n"] for r in t.groupBy(strata.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()} == {"100": 10, "__RARE__": 43}
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert ("SortMergeJoin" in plan) == (most < 21) and "Broadcast" not in plan
+        folds = splits.stratified(t, "id", strata).join(d, "id").groupBy("s").pivot("fold").count().collect()
+        assert len(folds) == 2 and all(max(r[1:]) - min(r[1:]) <= 1 for r in folds)
+    assert {r["s"] for r in t.select(splits.class_strata(t, "y", n_splits=3, most_listed=0).alias("s")).collect()} == {"100", "__RARE__", None}  # three nulls are enough
+    assert {r["s"] for r in t.select(splits.class_strata(t, "y").alias("s")).collect()} == {"100", "__RARE__"}
+    many = spark.range(1_500)
+    assert " in(id, " in str(splits.class_strata(many, "id", most_listed=1_500))
+    assert " in(id, " not in str(splits.class_strata(many, "id"))  # the rare classes aren't in the column
+    with pytest.raises(splits.InfeasibleStrata, match="and more"):
+        splits.class_strata(t, "y", rare="error")
+
+
 def test_strategy():
     assert splits.resolve_strategy(False, False, False) == "kfold" and splits.resolve_strategy(True, False, True) == "stratified_group"
     with pytest.raises(ValueError):
